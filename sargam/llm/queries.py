@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import encode_corpus
+from .canonical import map_to_reference
 from .forms import look_alike_pairs
 from .topn import top_n_per_group
 
@@ -27,12 +28,19 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return look_alike_pairs(table(spark, root, "songs_base"), "id", ["title_bn", "lyrics_bn"])
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    base = table(spark, root, "songs_base").select(F.lit("raag_full").alias("field"), "id", F.col("raag_full").alias("typed"))
+    songs = table(spark, root, "songs").select(F.lit("raag").alias("field"), "id", F.col("raag").alias("typed"))
+    found = map_to_reference(base.unionAll(songs), ["field", "id"], "typed", table(spark, root, "raags"), "name", "name_bn", "ord")
+    return found.withColumnRenamed("entry", "raag")
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(table(spark, root, "documents"), "doc_id", "text")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_positions, p4_found, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_positions, p4_found, p5_found, p6_ids)}
 
 
 _TOP_3 = """

@@ -13,7 +13,7 @@ MARKER_WORDS = (
 # Romanisation habits folded to one spelling, in this order.
 LATIN_FOLDS = (
     ("[^a-z]+", ""), ("chh|cch|ch", "c"), ("sh", "s"), ("zh|jh|z", "j"), ("kh", "k"), ("gh", "g"), ("th", "t"), ("dh", "d"), ("ph|f", "p"), ("bh|v", "b"),
-    ("ee|y", "i"), ("oo", "u"), ("[ao]wu?|[oa]u", "o"), ("a", "o"), ("w", "b"), ("h", ""), ("(.)\\1+", "$1"),
+    ("ee|y", "i"), ("oo", "u"), ("[ao]wu?|[oa]u", "o"), ("w", "b"), ("h", ""), ("(.)\\1+", "$1"),
 )
 
 

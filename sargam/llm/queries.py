@@ -11,6 +11,7 @@ from ..session import table
 from .bpe import encode_corpus
 from .canonical import map_to_reference
 from .forms import look_alike_pairs
+from .leaks import leaks
 from .stuffed import stuffed_pages
 from .topn import top_n_per_group
 
@@ -40,12 +41,17 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(table(spark, root, "documents"), "doc_id", "text")
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    found = leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "benchmark"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return stuffed_pages(table(spark, root, "documents"), "doc_id", "text").where("reason is not null").select(F.col("page").alias("doc_id"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_positions, p4_found, p5_found, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_positions, p4_found, p5_found, p6_ids, p7_found, p8_found)}
 
 
 _TOP_3 = """

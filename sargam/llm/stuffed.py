@@ -111,16 +111,17 @@ def _prose_line(curves: DataFrame) -> DataFrame:
     return s.select("family", b.alias("b"), ((F.col("y") - b * F.col("x")) / F.col("w")).alias("a"))
 
 
-def stuffed_pages(df: DataFrame, ident: str, text: str, divergence: float = 0.45, listed_share: float = 0.32, repeated_lines: float = 0.36) -> DataFrame:
+def stuffed_pages(df: DataFrame, ident: str, text: str, divergence: float = 0.45, listed_share: float = 0.32, repeated_lines: float = 0.36, spread: float = 8.0) -> DataFrame:
     """Pages that consist mostly of repeated keywords, links, tags or one pattern with exchanged keywords.
 
     Columns: page, reason ('list', 'lines' or 'curve'), listed share, repetition, expected repetition.
 
     - list: links with their labels and hashtags make up ``listed_share`` of the page's terms or more;
-    - lines: at most ``repeated_lines`` of its words are left when repeated lines count once;
-    - curve: the mean ln(frequency) of its words (repeated lines once) exceeds by ``divergence`` or more what
-      prose of the same language family has at this length. The expectation is fitted over all pages
-      of the input, then once more without the pages that the first fit flags.
+    - lines: at most ``repeated_lines`` of its words are left when repeated lines count once, or at most half
+      of them and two thirds of the divergence below;
+    - curve: the mean ln(frequency) of its words (repeated lines once) exceeds by ``divergence``, and by
+      ``spread`` times the family's median absolute deviation (counted up to 0.1), what prose of the same language family
+      has at this length. The expectation is fitted over all pages of the input, then once more without the pages that the first fit flags.
 
     Null, empty and very short pages (under 5 terms) are never reported; a null identifier is left out; one row per
     identifier (of repeated identifiers the terms are put together). Texts of any length are read whole.
@@ -130,12 +131,16 @@ def stuffed_pages(df: DataFrame, ident: str, text: str, divergence: float = 0.45
     prose = curves.where("n_kept >= 5 and repetition is not null")
     expected = lambda: F.exp(F.col("a") + F.col("b") * F.log("n_kept")) - 0.02
     first = prose.join(F.broadcast(_prose_line(prose)), "family")  # one row per language family
-    line = _prose_line(first.where(F.col("repetition") - expected() < divergence).select(*prose.columns))
+    plain = first.where(F.col("repetition") - expected() < divergence)
+    width = plain.groupBy("family").agg(F.percentile_approx(F.abs(F.col("repetition") - expected()), 0.5, 1000).alias("mad"))
+    line = _prose_line(plain.select(*prose.columns)).join(width, "family")
     judged = curves.join(F.broadcast(line), "family", "left").withColumn("expected", F.when(F.col("n_kept") >= 5, expected()))
+    over = F.col("repetition") - F.col("expected")
+    left_over = F.col("n_kept") / (F.col("n_words") - F.least("n_linked", "n_words") + 1e-9)
     listed = (F.col("n_linked") + F.col("n_tags")) / (F.col("n_words") + F.col("n_tags"))
     reason = (
         F.when(listed >= listed_share, "list")
-        .when((F.col("n_kept") / (F.col("n_words") - F.least("n_linked", "n_words") + 1e-9) <= repeated_lines) & (F.col("n_kept") > 0), "lines")
-        .when(F.col("repetition") - F.col("expected") >= divergence, "curve")
+        .when((F.col("n_kept") > 0) & ((left_over <= repeated_lines) | ((left_over <= 0.5) & (over >= divergence * 2 / 3))), "lines")
+        .when((over >= divergence) & (over >= spread * F.least(F.col("mad"), F.lit(0.1))), "curve")
     )
     return judged.select("page", reason.alias("reason"), listed.alias("listed"), "n_words", "n_kept", "family", "slope", "residual", "repetition", "expected")

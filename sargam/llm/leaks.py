@@ -189,7 +189,7 @@ def _check(documents: pd.Series, items: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_CHECKED.names)
 
 
-def leaked_items(corpus: DataFrame, ident: str, text: str, items: DataFrame, item_ident: str, item_text: str, least_windows: int = 2) -> DataFrame:
+def leaked_items(corpus: DataFrame, ident: str, text: str, items: DataFrame, item_ident: str, item_text: str, least_windows: int = 3) -> DataFrame:
     """Candidate pairs (doc, item) that share template windows, with what the word check found.
 
     Columns: doc, item, shared (common windows), in_order (item words found in order), run (longest run of

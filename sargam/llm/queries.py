@@ -12,6 +12,7 @@ from .bpe import encode_corpus
 from .canonical import map_to_reference
 from .forms import look_alike_pairs
 from .leaks import leaks
+from .names import named_persons
 from .stuffed import stuffed_pages
 from .topn import top_n_per_group
 
@@ -26,6 +27,10 @@ def p1_positions(spark: SparkSession, root: str) -> DataFrame:
     return top.select(F.col("grp").alias("song_id"), F.col("item").alias("video_id"), F.col("score").alias("views"), "position")
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return named_persons(table(spark, root, "videos"), "ord", ["title", "channel"], table(spark, root, "singers"), "name", "spellings")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return look_alike_pairs(table(spark, root, "songs_base"), "id", ["title_bn", "lyrics_bn"])
 
@@ -51,7 +56,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_positions, p4_found, p5_found, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_positions, p2_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
 
 
 _TOP_3 = """

@@ -12,6 +12,7 @@ from .bpe import encode_corpus
 from .canonical import map_to_reference
 from .forms import look_alike_pairs
 from .leaks import leaks
+from .linkage import matched_records, record_features
 from .names import named_persons
 from .stuffed import stuffed_pages
 from .topn import top_n_per_group
@@ -31,6 +32,20 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return named_persons(table(spark, root, "videos"), "ord", ["title", "channel"], table(spark, root, "singers"), "name", "spellings")
 
 
+def _songs_and_pages(spark: SparkSession, root: str) -> DataFrame:
+    songs = record_features(table(spark, root, "songs_base"), "a", "id", "lyrics_bn", "lyrics_translit", "title_bn", "title_en", "parjay_num", "parjay_bn")
+    pages = record_features(table(spark, root, "source_b"), "b", "ws_title", "lyrics_bn", None, "title_bn", None, "num", "section_bn")
+    return matched_records(songs, pages)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return _songs_and_pages(spark, root).select(F.col("id_a").alias("song_id"), F.col("id_b").alias("ws_title"))
+
+
+def p3_confidence(spark: SparkSession, root: str) -> DataFrame:
+    return _songs_and_pages(spark, root).select(F.col("id_a").alias("song_id"), F.col("id_b").alias("ws_title"), F.round("confidence", 3).alias("confidence"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return look_alike_pairs(table(spark, root, "songs_base"), "id", ["title_bn", "lyrics_bn"])
 
@@ -56,7 +71,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_positions, p2_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_positions, p2_found, p3_found, p3_confidence, p4_found, p5_found, p6_ids, p7_found, p8_found)}
 
 
 _TOP_3 = """

@@ -136,7 +136,7 @@ def _grams(key: str):
 
 
 def name_entries(persons: DataFrame, name: str, spellings: str) -> DataFrame:
-    """(singer, kind, key, fine): given names, surnames, whole names as one word, nicknames, beginnings and initials of the list.
+    """(singer, kind, key, fine, typed): given names, surnames, whole names as one word, nicknames, beginnings and initials of the list.
 
     For nicknames ``fine`` is the nickname as spelled, for initials ``key`` is the Latin letter.
     """
@@ -145,22 +145,39 @@ def name_entries(persons: DataFrame, name: str, spellings: str) -> DataFrame:
     first, last = F.element_at("w", 1), F.element_at("w", -1)
     several, one = words.where(F.size("w") > 1), words.where(F.size("w") == 1)
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), w.alias("word")) for k, w in (("given", first), ("surname", last), ("whole", F.concat(first, last)), ("whole", F.concat(last, first)))])).alias("e")
-    rows = several.select("singer", kinds).select("singer", "e.*").select("singer", "kind", _keys("word").alias("k"), "word")
-    rows = rows.select("singer", "kind", "k.*").unionAll(one.select("singer", F.lit("nick").alias("kind"), _keys(first).alias("k"), F.lower(first).alias("word")).select("singer", "kind", "k.key", "word"))
+    rows = several.select("singer", kinds).select("singer", "e.*").select("singer", "kind", _keys("word").alias("k"), F.lower("word").alias("typed"))
+    typed = rows.where("kind in ('given', 'surname') and typed rlike '^[a-z]{4,}$'").select("singer", F.concat(F.lit("typed_"), "kind").alias("kind"), F.col("typed").alias("key"), F.col("typed").alias("fine"), "typed")
+    nicks = one.select("singer", F.lit("nick").alias("kind"), _keys(first).alias("k"), F.lower(first).alias("typed")).select("singer", "kind", "k.key", F.col("typed").alias("fine"), "typed")
+    rows = rows.select("singer", "kind", "k.*", "typed").unionAll(typed).unionAll(nicks)
     base = rows.where("key <> ''").distinct()
-    begun = base.where("kind in ('given', 'surname')").select("singer", F.concat("kind", F.lit("_begun")).alias("kind"), F.lit(None).cast("string").alias("key"), F.explode(F.expr("transform(sequence(1, greatest(1, length(fine) - 1)), n -> left(fine, n))")).alias("fine"))
-    initial = several.select("singer", F.lit("initial").alias("kind"), F.lower(F.left(first, F.lit(1))).alias("key"), F.lit(None).cast("string").alias("fine")).where(F.col("key").rlike("^[a-z]$"))
+    begun = base.where("kind in ('given', 'surname')").select("singer", F.concat("kind", F.lit("_begun")).alias("kind"), F.lit(None).cast("string").alias("key"), F.explode(F.expr("transform(sequence(1, greatest(1, length(fine) - 1)), n -> left(fine, n))")).alias("fine"), F.lit(None).cast("string").alias("typed"))
+    initial = several.select("singer", F.lit("initial").alias("kind"), F.lower(F.left(first, F.lit(1))).alias("key"), F.lit(None).cast("string").alias("fine"), F.lit(None).cast("string").alias("typed")).where(F.col("key").rlike("^[a-z]$"))
     return base.unionAll(begun).unionAll(initial).distinct()
 
 
 def similar_words(words: DataFrame, entries: DataFrame, least: float = 0.72) -> DataFrame:
-    """(word, singer, kind, sim) of corpus words (word, key, fine) and list entries (singer, kind, key, fine) with similar keys.
+    """(word, singer, kind, sim) of corpus words (word, key, fine) and list entries (singer, kind, key, fine) with similar keys or,
+    in Latin letters, similar typed forms (an exchange of letters can change how a sound is read).
 
     Set-similarity join on bigrams with prefix filter: in both sets the bigrams are ordered from rare to
     common; at similarity t two sets of sizes x and y share a bigram within their first x - ceil(t x) + 1 and
     y - ceil(t y) + 1. One exchange of neighbours changes three bigrams, so t = 0.25 keeps what the verification
-    (mean of the likeness of key and fine key: 1 - edits / length) can pass. Sizes are filtered before verification.
+    (likeness, 1 - edits / length, of key and fine key; where both are in one script, of the typed words too) can pass. Sizes are filtered before verification.
     """
+    typed = words.where("word rlike '^[a-z]{4,}[.]?$'").select("word", F.rtrim(F.col("word"), F.lit(".")).alias("key"))
+    typed = typed.withColumn("fine", F.col("key"))
+    typed_entries = entries.where("kind in ('typed_given', 'typed_surname')").withColumn("kind", F.substring("kind", 7, 20))
+    close = _similar_forms(words, entries, least).unionAll(_similar_forms(typed, typed_entries, least))
+    begun = words.join(entries.where("kind in ('given_begun', 'surname_begun')").select("singer", "kind", "fine"), "fine").where(
+        "(kind = 'given_begun' and length(fine) >= 2 and length(replace(word, '.', '')) >= 3) or (kind = 'surname_begun' and word like '___%.')"
+    )
+    initials = words.select("word", _initial("word").alias("letter")).join(entries.where("kind = 'initial'").select("singer", "kind", F.col("key").alias("letter")), "letter")
+    exact = begun.select("word", "singer", "kind").unionAll(initials.select("word", "singer", "kind"))
+    sims = F.when(F.col("kind") == "initial", 0.85).otherwise(0.9)
+    return close.unionAll(exact.select("word", "singer", "kind", sims.alias("sim"))).groupBy("word", "singer", "kind").agg(F.max("sim").alias("sim"))
+
+
+def _similar_forms(words: DataFrame, entries: DataFrame, least: float) -> DataFrame:
     t = 0.25
     fuzzy = entries.where("kind in ('given', 'surname', 'whole', 'nick')")
     one = words.select("key").where("length(key) >= 2").distinct().withColumn("grams", _grams("key"))
@@ -183,17 +200,13 @@ def similar_words(words: DataFrame, entries: DataFrame, least: float = 0.72) ->
     )
     close = (
         words.join(near, "key")
-        .join(fuzzy.select("singer", "kind", F.col("key").alias("entry_key"), F.col("fine").alias("entry_fine")), "entry_key")
-        .withColumn("sim", F.when(F.col("kind") == "nick", F.when(F.lower(F.rtrim(F.col("word"), F.lit("."))) == F.col("entry_fine"), 1.0).otherwise(F.col("key_sim") * 0.99)).otherwise((F.col("key_sim") + _likeness("fine", "entry_fine")) / 2))
+        .join(fuzzy.select("singer", "kind", F.col("key").alias("entry_key"), F.col("fine").alias("entry_fine"), "typed"), "entry_key")
+        .withColumn("sound", (F.col("key_sim") + _likeness("fine", "entry_fine")) / 2)
+        .withColumn("bare", F.rtrim(F.col("word"), F.lit(".")))
+        .withColumn("sim", F.when(F.col("kind") == "nick", F.when(F.col("bare") == F.col("typed"), 1.0).otherwise(F.col("key_sim") * 0.99)).when(F.col("kind") == "whole", F.col("sound")).when(F.col("bare").rlike("^[a-z]") == F.col("typed").rlike("^[a-z]"), (F.col("sound") + _likeness("bare", "typed")) / 2).otherwise(F.col("sound") * 0.92))
         .where(f"(kind = 'nick' and key_sim >= 0.99) or (kind = 'whole' and sim >= 0.87) or (kind in ('given', 'surname') and sim >= {least})")
     )
-    begun = words.join(entries.where("kind in ('given_begun', 'surname_begun')").select("singer", "kind", "fine"), "fine").where(
-        "(kind = 'given_begun' and length(fine) >= 2 and length(replace(word, '.', '')) >= 3) or (kind = 'surname_begun' and word like '___%.')"
-    )
-    initials = words.select("word", _initial("word").alias("letter")).join(entries.where("kind = 'initial'").select("singer", "kind", F.col("key").alias("letter")), "letter")
-    exact = begun.select("word", "singer", "kind").unionAll(initials.select("word", "singer", "kind"))
-    sims = F.when(F.col("kind") == "initial", 0.85).otherwise(0.9)
-    return close.select("word", "singer", "kind", "sim").unionAll(exact.select("word", "singer", "kind", sims.alias("sim"))).groupBy("word", "singer", "kind").agg(F.max("sim").alias("sim"))
+    return close.select("word", "singer", "kind", "sim")
 
 
 def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons: DataFrame, name: str, spellings: str, threshold: float = 0.8) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .forms import visible_form
 
 # Romanisation of the letters of the native script; consonants carry "o" where no sign follows.
@@ -225,15 +226,16 @@ def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons:
     identifier; a row names a person once. Empty input or list: empty result.
     """
     first, second = (columns + columns)[:2]
-    rows = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("row"), F.explode(_parts(first, second)).alias("part"))
+    # Each stage is written once to the shared folder: it is read by several later ones, and a plan that holds all of them grows beyond the driver.
+    rows = cut_lineage(df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("row"), F.explode(_parts(first, second)).alias("part")))
     parts = rows.select("part").distinct()
-    tokens = (
+    tokens = cut_lineage(
         parts.select("part", F.split("part", " ").alias("w"))
         .select("part", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
         .where("word <> ''")
     )
-    words = tokens.where("word <> ','").select("word").distinct().select("word", _keys("word").alias("k")).select("word", "k.*").where("key <> ''").persist()
-    entries = name_entries(persons, name, spellings).persist()
+    words = cut_lineage(tokens.where("word <> ','").select("word").distinct().select("word", _keys("word").alias("k")).select("word", "k.*").where("key <> ''"))
+    entries = cut_lineage(name_entries(persons, name, spellings))
     n_persons = entries.select(F.countDistinct("singer").alias("n_persons"))
     weights = (
         entries.where("kind in ('given', 'surname')")
@@ -246,8 +248,8 @@ def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons:
         .groupBy("singer")
         .agg(*[F.max(F.when(F.col("kind") == k, F.log(1 + F.col("n_persons") / F.col("df")))).alias(f"w_{k}") for k in ("given", "surname")])
     )
-    alike = similar_words(words, entries)
-    hits = tokens.join(alike, "word")
+    alike = cut_lineage(similar_words(words, entries))
+    hits = cut_lineage(tokens.join(alike, "word"))
     single = F.length(F.regexp_replace("word", r"\.", "")) == 1
     marks = tokens.where((F.col("word") == ",") | single).select(F.col("part").alias("m_part"), F.col("pos").alias("mark_pos"), F.when(F.col("word") == ",", "comma").otherwise("letter").alias("mark"))
     given = hits.where("kind in ('given', 'given_begun', 'nick', 'initial')").select("part", "singer", F.col("pos").alias("g"), F.col("kind").alias("g_kind"), F.col("sim").alias("g_sim"), "n")

@@ -61,10 +61,10 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
 
 
-def opening_udf(window: bool = False, least: int = 1):
+def opening_udf(window: bool = False, least: int = 1, most: int = 12):
     @F.pandas_udf(T.DoubleType())
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([opening_similarity(x or "", y or "", window, least) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([opening_similarity(x or "", y or "", window, least, most) for x, y in zip(a, b)], dtype="float64")
 
     return similarity
 

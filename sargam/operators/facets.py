@@ -62,7 +62,12 @@ def facet_counts(df: DataFrame, facets: list[Facet], state: FacetState, base: Co
     rows that meet the base condition.
     """
     rows = df.where(base) if base is not None else df
-    entries = F.flatten(F.array(*[F.transform(F.array_distinct(f.values), lambda v, f=f: F.struct(F.lit(f.name).alias("facet"), v.alias("value"), facet_predicate(facets, state, f.name).cast("int").alias("hit"))) for f in facets]))
+
+    def entry(f: Facet):
+        hit = facet_predicate(facets, state, f.name).cast("int")
+        return F.transform(F.array_distinct(f.values), lambda v: F.struct(F.lit(f.name).alias("facet"), v.alias("value"), hit.alias("hit")))
+
+    entries = F.flatten(F.array(*[entry(f) for f in facets]))
     return rows.select(F.explode(entries).alias("e")).groupBy("e.facet", "e.value").agg(F.sum("e.hit").alias("n")).select("facet", "value", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..session import BROADCAST_LIMIT_BYTES, plan_bytes
@@ -54,7 +55,7 @@ def similarities(queries: DataFrame, ident: str, vector: str, entries: DataFrame
     rows = entries.select(name, _double(entry_vector).alias("v")).orderBy(name).collect()
     names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
     schema = T.StructType([queries.schema[ident], entries.schema[name], T.StructField("sim", T.DoubleType())])
-    name_type = T.StructType([entries.schema[name]])
+    name_type = to_arrow_type(entries.schema[name].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,9 +64,8 @@ def similarities(queries: DataFrame, ident: str, vector: str, entries: DataFrame
             flat = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             sims = flat @ matrix.T
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(names))))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names * batch.num_rows), pa.array(sims.ravel())], names=[ident, name, "sim"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names * batch.num_rows, name_type), pa.array(sims.ravel())], names=[ident, name, "sim"])
 
-    del name_type
     return queries.where(F.col(vector).isNotNull()).select(ident, vector).mapInArrow(run, schema)
 
 

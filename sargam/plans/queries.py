@@ -1,22 +1,4 @@
-"""Registry of the core queries; each has its SQL beside it where SQL can express it."""
+"""All core queries by name."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+from . import catalog_queries, state_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

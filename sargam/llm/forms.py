@@ -37,14 +37,25 @@ _ALSO_IGNORABLE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D
 @lru_cache(maxsize=1)
 def _tables():
     ignorable = {i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cf"} - _NOT_IGNORABLE | _ALSO_IGNORABLE
-    spaces = {i for i in range(0x3001) if unicodedata.category(chr(i)) == "Zs"} | {0x9, 0xB, 0xC}
+    spaces = {i for i in range(0x3001) if unicodedata.category(chr(i)) == "Zs" and i != 0x20} | {0x9, 0xB, 0xC}
     lines = {0x85, 0x2028, 0x2029}
-    first = dict.fromkeys(ignorable) | dict.fromkeys(spaces, " ") | dict.fromkeys(lines, "\n")
-    alike = {ord(a): b for a, b in LOOK_ALIKE.items()}
-    one = re.compile("|".join(DRAWN_AS_ONE))
+    first = {chr(i): "" for i in ignorable} | {chr(i): " " for i in spaces} | {chr(i): "\n" for i in lines}
+
+    def one_of(characters) -> re.Pattern:
+        runs: list[list[int]] = []
+        for code in sorted(map(ord, characters)):
+            if runs and code == runs[-1][1] + 1:
+                runs[-1][1] = code
+            else:
+                runs.append([code, code])
+        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
     # a dot typed after the vowel sign is drawn like a dot typed before it
-    dot = re.compile("([া-ৌৗ])়")
-    return first, alike, one, dot
+    dot = re.compile("([\u09be-\u09cc\u09d7])\u09bc")
+    # Texts of these characters only, without the sequences below, are in their form already but for case and blanks at ends.
+    plain = re.compile("[\\n -~\u0964\u0965\u0980-\u09db\u09e0-\u09ef“”‘’—–♪❤]*")
+    odd = re.compile("|".join([*DRAWN_AS_ONE, "[\u09be-\u09cc\u09d7\u09cd]\u09bc"]))
+    return first, one_of(first), one_of(LOOK_ALIKE), re.compile("|".join(DRAWN_AS_ONE)), dot, plain, odd
 
 
 def visible_form(text: str | None, fold_case: bool = False) -> str | None:
@@ -57,18 +68,22 @@ def visible_form(text: str | None, fold_case: bool = False) -> str | None:
     """
     if text is None:
         return None
-    first, alike, one, dot = _tables()
-    if "\r" in text:
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = text.translate(first)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(first).translate(alike)
-        text = dot.sub("়\\1", text)
-        text = one.sub(lambda m: DRAWN_AS_ONE[m[0]], text)
-        text = unicodedata.normalize("NFKC", text)
+    first, first_class, alike_class, one, dot, plain, odd = _tables()
+    simple = plain.fullmatch(text) is not None and odd.search(text) is None
+    if not simple:
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+        text = first_class.sub(lambda m: first[m[0]], text)
+        if not text.isascii():
+            text = first_class.sub(lambda m: first[m[0]], unicodedata.normalize("NFKC", text))
+            text = alike_class.sub(lambda m: LOOK_ALIKE[m[0]], text)
+            while odd.search(text):
+                before, text = text, unicodedata.normalize("NFKC", one.sub(lambda m: DRAWN_AS_ONE[m[0]], dot.sub("\u09bc\\1", text)))
+                if text == before:
+                    break
     if fold_case:
-        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.casefold()))
-    if "\n" in text:
+        text = text.lower() if simple or text.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.casefold()))
+    if " \n" in text:
         text = "\n".join(line.rstrip(" ") for line in text.split("\n"))
     return text.strip(" \n")
 

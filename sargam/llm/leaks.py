@@ -20,7 +20,6 @@ from .forms import visible_form
 WINDOW = 4
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>")
 _WORD = re.compile(r"(?:[^\W_]|[̀-ͯऀ-ॣ०-෿])+")
-_SENTENCE_END = re.compile(r"[.!?।:\n“\"]")
 # Words for measures, put for one another in re-parameterised questions.
 UNITS = frozenset("second seconds minute minutes hour hours day days week weeks month months year years km kg metre metres meter meters mile miles rs rupee rupees percent".split())
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
@@ -37,62 +36,60 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(visible_form(text, fold_case=True))
 
 
-def template_of(text: str | None) -> tuple[list[str], list[str]]:
-    """(words, template): numbers, measures and names of the words replaced by typed placeholders.
+_INNER_NAME = re.compile(r"(?<=[^\W\dA-Z_] )[A-Z][a-z]+(?![^\W_])|(?<=, )[A-Z][a-z]+(?![^\W_])")
+_TOKEN = re.compile("\x01|" + _WORD.pattern)
 
-    A name is a word with a capital first letter inside a sentence, in a text where capitals are rare.
+
+def template_of(text: str | None, names: bool = True) -> list[str]:
+    """Words of the text with numbers, measures and, where ``names``, names replaced by typed placeholders.
+
+    A name is a Latin word with a capital first letter after a small letter or a comma, in a text of which less
+    than a third are such words.
     """
     if not text:
-        return [], []
+        return []
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _MARKUP.sub(" ", text)
     text = visible_form(text)
-    words, capital, before = [], [], 0
-    cased = text.upper() != text.lower()
-    for m in _WORD.finditer(text):
-        word = m[0]
-        words.append(word.casefold())
-        inner = cased and word[0].isupper() and word[1:].islower() and not _SENTENCE_END.search(text, before, m.start())
-        capital.append(inner and before > 0)
-        before = m.end()
-    if cased and sum(capital) * 3 > len(words):
-        capital = [False] * len(words)
-    template = [NAME if c else NUMBER if w[0].isdigit() else UNIT if w in UNITS else w for w, c in zip(words, capital)]
-    return words, template
+    marked = _INNER_NAME.sub("\x01", text) if names else text
+    tokens = _TOKEN.findall(marked.lower() if marked.isascii() else marked.casefold())
+    if names and tokens.count("\x01") * 3 > len(tokens):
+        tokens = _TOKEN.findall(text.casefold())
+    return tokens
+
+
+class _Codes(dict):
+    """64-bit code of a token, worked out once for each distinct token of a worker; placeholders share theirs."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        kind = NAME if token == "\x01" else NUMBER if token[0].isdigit() else UNIT if token in UNITS else token
+        code = self[token] = xxhash.xxh3_64_intdigest(kind)
+        return code
 
 
 class _Hasher:
-    """64-bit hashes of windows; the hash of each distinct token is worked out once."""
+    """64-bit hashes of windows."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
-
-    def windows(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, place) of the windows with two plain words or more."""
-        if len(tokens) < WINDOW:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        memo = self.memo
-        if len(memo) > 1_000_000:
-            memo.clear()
-        codes = np.empty(len(tokens), np.uint64)
-        plain = np.ones(len(tokens), np.int8)
-        for k, token in enumerate(tokens):
-            code = memo.get(token)
-            if code is None:
-                code = memo[token] = xxhash.xxh3_64_intdigest(token)
-            codes[k] = code
-            if token[0] == "<":
-                plain[k] = 0
+        self.codes = _Codes()
+        self.placeholders = np.array([xxhash.xxh3_64_intdigest(k) for k in (NAME, NUMBER, UNIT)], np.uint64)
+
+    def windows(self, tokens: list[str]) -> np.ndarray:
+        """Hashes of the windows with two plain words or more."""
         size = len(tokens) - WINDOW + 1
+        if size < 1:
+            return np.empty(0, np.int64)
+        codes = np.array([self.codes[t] for t in tokens], np.uint64)
+        plain = ((codes != self.placeholders[0]) & (codes != self.placeholders[1]) & (codes != self.placeholders[2])).astype(np.int8)
         total, count = np.zeros(size, np.uint64), np.zeros(size, np.int8)
-        factor = np.uint64(0x9E3779B97F4A7C15)
         for k in range(WINDOW):
-            total = (total ^ (total >> np.uint64(29))) * factor + codes[k : k + size]
+            total = (total ^ (total >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + size]
             count += plain[k : k + size]
-        place = np.flatnonzero(count >= 2)
-        return total[place].view(np.int64), place
+        return total[count >= 2].view(np.int64)
 
 
 def _document_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +97,7 @@ def _document_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             ids, texts = batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024)
-            hashes = [np.unique(hasher.windows(template_of(t)[1])[0]) for t in texts.to_pylist()]
+            hashes = [np.unique(hasher.windows(template_of(t))) for t in texts.to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes)))], names=["doc", "hashes"])
 
@@ -111,9 +108,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         out = []
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words, template = template_of(text)
-            plain = [NUMBER if w[0].isdigit() else UNIT if w in UNITS else w for w in words]
-            out += {(ident, h) for tokens in (template, plain) for h in hasher.windows(tokens)[0].tolist()}
+            out += {(ident, h) for names in (True, False) for h in hasher.windows(template_of(text, names)).tolist()}
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.column(0).type), pa.array([x[1] for x in out], pa.int64())], names=["item", "hash"])
 
 

@@ -19,7 +19,7 @@ _MARKDOWN = re.compile(r"\[([^\]\n]*)\]\(([^)\s]*)\)")
 _MARKUP = re.compile(r"</?[a-z][^<>]*>")
 _TAG = re.compile(r"#(?:[^\W_]|[_ऀ-ॣ०-෿])+")
 _WORD = re.compile(r"(?:[^\W_]|[̀-ͯऀ-ॣ०-෿])+")
-_NATIVE = re.compile(r"[ऀ-෿]")
+_NATIVE = re.compile(r"[ऀ-෿]+")
 # Function words that tell English prose from other text in Latin letters.
 ENGLISH = frozenset("the a an of and in that is for to it was with on by from".split())
 # Words beside a link on its line that are taken for its label, for each link.
@@ -65,7 +65,7 @@ def page_terms(text: str | None):
         if line not in seen:
             seen.add(line)
             kept += found
-    if len(_NATIVE.findall(text)) * 2 > sum(map(len, kept)):
+    if not text.isascii() and sum(map(len, _NATIVE.findall(text))) * 2 > sum(map(len, kept)):
         family = "native"
     else:
         family = "english" if sum(w in ENGLISH for w in kept) > 0.05 * len(kept) else "latin"

@@ -78,7 +78,7 @@ def human_numbers(spark, root):
     return table(spark, root, "videos").where("views is not null").select("id", "views").distinct().select("id", "views", X.human_number("views").alias("shown"))
 
 
-@query("""SELECT id, array_to_string(list_filter([nullif(array_to_string(list_slice(string_split(trim(regexp_replace(replace(replace(title_bn, 'াে', 'ো'), 'ো', 'ো'), '[,;:!?।॥—–\\-‘’''"()\\s\\p{Z}]+', ' ', 'g')), ' '), 1, 5), ' '), ''),
+@query("""SELECT id, array_to_string(list_filter([nullif(array_to_string(list_slice(string_split(trim(regexp_replace(replace(replace(title_bn, chr(2494) || chr(2503), chr(2507)), chr(2503) || chr(2494), chr(2507)), '[,;:!?।॥—–\\-‘’''"()\\s\\p{Z}]+', ' ', 'g')), ' '), 1, 5), ' '), ''),
 nullif(trim(regexp_replace(title_en, '\\s+\\d+$', '')), '')], lambda x: x IS NOT NULL), '|') AS phrases FROM songs_base""")
 def search_phrases(spark, root):
     return table(spark, root, "songs_base").select("id", F.array_join(X.search_phrases("title_bn", "title_en"), "|").alias("phrases"))

@@ -51,7 +51,7 @@ def similarities(queries: DataFrame, ident: str, vector: str, entries: DataFrame
     one matrix product for each Arrow batch; a larger one is joined by Spark instead.
     """
     if plan_bytes(entries) > BROADCAST_LIMIT_BYTES:
-        return queries.select(ident, vector).crossJoin(entries.select(name, entry_vector)).select(ident, name, dot(vector, entry_vector).alias("sim"))
+        return queries.where(F.col(vector).isNotNull()).select(ident, vector).crossJoin(entries.select(name, entry_vector)).select(ident, name, dot(vector, entry_vector).alias("sim"))
     rows = entries.select(name, _double(entry_vector).alias("v")).orderBy(name).collect()
     names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
     schema = T.StructType([queries.schema[ident], entries.schema[name], T.StructField("sim", T.DoubleType())])

@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CANDIDATE = T.StructType.fromDDL("id string, title string, channel string, views bigint, likes bigint, seconds int, embeddable boolean")
-CANDIDATES = T.StructType.fromDDL("song_id string, queries array<string>, fetched string, refreshed string").add("candidates", T.ArrayType(CANDIDATE)).add("videos", T.ArrayType(CANDIDATE))
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_S, _L = T.StringType(), T.LongType()
+CANDIDATE = _struct(id=_S, title=_S, channel=_S, views=_L, likes=_L, seconds=T.IntegerType(), embeddable=T.BooleanType())
+CANDIDATES = _struct(song_id=_S, queries=T.ArrayType(_S), fetched=_S, refreshed=_S, candidates=T.ArrayType(CANDIDATE), videos=T.ArrayType(CANDIDATE))
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -45,8 +50,8 @@ def index_links(html: Column, link: str = r'<a href="([^"]+)">([^<]*)</a>') -> C
 
 def page_fields(html: Column, label: str = r"<b>([^<:]+)</b>:\s*([^<]*)") -> Column:
     """map<label, value> of a page's labelled fields; of equal labels the last."""
-    labels = F.transform(F.regexp_extract_all(html, F.lit(label), F.lit(1)), F.trim)
-    values = F.transform(F.regexp_extract_all(html, F.lit(label), F.lit(2)), F.trim)
+    labels = F.transform(F.regexp_extract_all(html, F.lit(label), F.lit(1)), lambda x: F.trim(x))
+    values = F.transform(F.regexp_extract_all(html, F.lit(label), F.lit(2)), lambda x: F.trim(x))
     pairs = F.arrays_zip(labels.alias("k"), values.alias("v"))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.similarity import relevance_udf
+from .ranking import with_position
 
 # Shortest and longest length in seconds, least relevance, media kept per item.
 MIN_SECONDS, MAX_SECONDS, MIN_RELEVANCE, KEPT = 60, 720, 0.8, 3
@@ -123,22 +124,22 @@ def not_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def within_budget(df: DataFrame, order: list[Column], cost: Column, budget: int, room: int) -> DataFrame:
     """Rows of a work queue in order while what went before leaves ``room`` in the budget; adds used_before.
 
-    One global order is what the operator means: it runs on the queue of one day, not on the corpus.
+    The running total goes over range partitions (``with_position``), so a queue of any length is no single task.
     """
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("cost", cost).withColumn("used_before", F.coalesce(F.sum("cost").over(before), F.lit(0))).where(F.col("used_before") + room <= budget)
+    placed = with_position(df.withColumn("cost", cost), order, F.col("cost"))
+    return placed.withColumnRenamed("total_before", "used_before").where(F.col("used_before") + room <= budget)
 
 
 def first_filled(df: DataFrame, group: str, order: list[Column], fields: list[str]) -> DataFrame:
-    """One row per group: of each field the first value, in order, that is neither null nor empty."""
-    w = Window.partitionBy(group).orderBy(*order)
-    ranked = df.withColumn("__r", F.row_number().over(w))
+    """One row per group: of each field the first value that is neither null nor empty, in ascending order of the columns given.
+
+    A mergeable aggregate, so a group of any size is combined before the shuffle."""
     filled = lambda f: F.nullif(F.col(f), F.lit("")) if dict(df.dtypes)[f] == "string" else F.col(f)
-    return ranked.groupBy(group).agg(*[F.min_by(f, F.when(filled(f).isNotNull(), F.col("__r"))).alias(f) for f in fields])
+    return df.groupBy(group).agg(*[F.min_by(f, F.when(filled(f).isNotNull(), F.struct(*order))).alias(f) for f in fields])
 
 
 def id_batches(df: DataFrame, key: str, size: int = 50) -> DataFrame:
     """(batch, keys, digest): distinct keys in order, ``size`` to a batch, with the md5 of the keys joined by '|' as cache key."""
-    numbered = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("n", F.row_number().over(Window.orderBy(key)) - 1)
+    numbered = with_position(df.select(key).where(F.col(key).isNotNull()).distinct(), [F.col(key).asc()]).withColumnRenamed("position", "n")
     grouped = numbered.groupBy(F.floor(F.col("n") / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", key))), lambda s: s[key]).alias("keys"))
     return grouped.withColumn("digest", F.md5(F.concat_ws("|", "keys")))

@@ -6,6 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
+
+def with_position(df: DataFrame, order: list[Column], amount: Column | None = None) -> DataFrame:
+    """Adds ``position`` (0, 1, ... in the global order) and, with ``amount``, ``total_before`` (the sum of it over earlier rows).
+
+    No task sees more than a range of the rows: they are range-partitioned and sorted, each row gets its place within its
+    partition, and the partitions' counts (one small row for each) are prefix-summed. ``order`` must be total for a defined result.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+    if amount is not None:
+        placed = placed.withColumn("__x", amount)
+    placed = cut_lineage(placed)  # the ranges must not be drawn anew between the two passes
+    sums = [F.count("*").alias("__n")] + ([F.sum("__x").alias("__s")] if amount is not None else [])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    offsets = placed.groupBy("__part").agg(*sums)
+    offsets = offsets.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__on"), *([F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__os")] if amount is not None else []))
+    joined = placed.join(F.broadcast(offsets), "__part").withColumn("position", F.col("__at") + F.col("__on"))
+    if amount is not None:
+        inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        joined = joined.withColumn("total_before", F.col("__os") + F.coalesce(F.sum("__x").over(inside), F.lit(0)))
+    return joined.drop("__part", "__at", "__on", "__os", "__x")
+
 
 def enumerated_order(c: Column | str, order: list[str]) -> Column:
     """Place of a value in a given order; values outside it come last."""
@@ -86,32 +110,42 @@ def related(items: DataFrame, ident: str, order: str, moods: str, mode: str, cat
     3 for each shared mood, 3 for the mode, 2 for category with sub (else 1 for the category), 2 season, 0.5 beat; at
     least ``least`` of it; then 1.5 if playable, 0.5 if popular. Ties by the catalogue's order.
 
-    A pair with at least 4 points shares a mood, or the mode together with another feature, or three others; so
-    candidates come from joins on (mood), (mode, x) and (category, season, beat), never from all pairs. No feature value is left out.
+    Items with equal features score alike, so everything is worked out between distinct feature profiles: each profile
+    keeps its first n + 1 items, profiles that can reach ``least`` meet in joins on features they share (a mood with a second
+    feature, the mode with another, or category with season), and an item takes the best of its profile's list but itself.
+    Work grows with the square of profiles that share features, which the vocabulary bounds, not with that of items.
     """
-    f = items.select(F.col(ident).alias("i"), F.col(order).alias("o"), F.coalesce(F.col(moods), F.array().cast("array<string>")).alias("m"), *[F.nullif(F.col(c), F.lit("")).alias(a) for c, a in ((mode, "md"), (category, "ca"), (sub, "su"), (season, "se"), (beat, "be"))], playable.alias("pl"), popular.alias("po"))
-    keys = F.flatten(
-        F.array(
-            F.transform(F.array_distinct("m"), lambda x: F.concat(F.lit("m|"), x)),
-            F.filter(
-                F.array(
-                    *[F.when(F.col("md").isNotNull() & F.col(x).isNotNull(), F.concat_ws("|", F.lit(f"d{x}"), "md", x)) for x in ("ca", "se", "be")],
-                    F.when(F.col("ca").isNotNull() & F.col("su").isNotNull() & F.col("se").isNotNull(), F.concat_ws("|", F.lit("s"), "ca", "su", "se")),
-                    F.when(F.col("ca").isNotNull() & F.col("se").isNotNull() & F.col("be").isNotNull(), F.concat_ws("|", F.lit("c"), "ca", "se", "be")),
-                ),
-                lambda x: x.isNotNull(),
+    features = ["m", "md", "ca", "su", "se", "be"]
+    f = items.select(F.col(ident).alias("i"), F.col(order).alias("o"), F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(moods), F.array().cast("array<string>")), lambda x: x.isNotNull()))).alias("m"), *[F.nullif(F.col(c), F.lit("")).alias(a) for c, a in ((mode, "md"), (category, "ca"), (sub, "su"), (season, "se"), (beat, "be"))], (F.when(playable, 1.5).otherwise(0.0) + F.when(popular, 0.5).otherwise(0.0)).alias("bonus"))
+    f = cut_lineage(f.withColumn("p", F.xxhash64(*[F.coalesce(F.to_json(F.struct(*features)), F.lit(""))])))
+    heads = f.select("p", "i", "o", "bonus").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.col("bonus").desc(), "o"))).where(F.col("r") <= n + 1).drop("r")
+    profiles = cut_lineage(f.groupBy("p").agg(*[F.first(c).alias(c) for c in features]))
+    joint = lambda tag, *cs: F.when(F.concat(*[F.coalesce(c, F.lit(None).cast("string")) for c in cs]).isNotNull(), F.concat_ws("|", F.lit(tag), *cs))
+    col = F.col
+    with_mood = F.flatten(
+        F.transform(
+            "m",
+            lambda x: F.concat(
+                F.array(joint("mm", x, col("md")), joint("mc", x, col("ca")), joint("ms", x, col("se"))),
+                F.transform(F.filter("m", lambda y: y > x), lambda y: F.concat_ws("|", F.lit("m2"), x, y)),
             ),
         )
     )
-    k = f.select("i", F.explode(keys).alias("k"))
-    pairs = k.join(k.select(F.col("i").alias("j"), "k"), "k").where("i <> j").select("i", "j").distinct()
-    other = f.select(*[F.col(c).alias(f"{c}2") for c in f.columns])
-    p = pairs.join(f, "i").join(other, F.col("j") == F.col("i2"))
-    eq = lambda a: F.coalesce(F.col(a) == F.col(f"{a}2"), F.lit(False))
-    base = 3.0 * F.size(F.filter("m2", lambda x: F.array_contains("m", x))) + F.when(eq("md"), 3.0).otherwise(0.0) + F.when(eq("su") & eq("ca"), 2.0).when(eq("ca"), 1.0).otherwise(0.0) + F.when(eq("se"), 2.0).otherwise(0.0) + F.when(eq("be"), 0.5).otherwise(0.0)
-    scored = p.withColumn("base", base).where(F.col("base") >= least).withColumn("score", F.col("base") + F.when(F.col("pl2"), 1.5).otherwise(0.0) + F.when(F.col("po2"), 0.5).otherwise(0.0))
-    w = Window.partitionBy("i").orderBy(F.col("score").desc(), F.col("o2").asc())
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(F.col("i").alias("item"), F.col("j").alias("other"), "score", "place")
+    others = F.array(joint("dc", col("md"), col("ca")), joint("ds", col("md"), col("se")), joint("db", col("md"), col("be")), joint("cs", col("ca"), col("se")))
+    single = F.transform("m", lambda x: F.concat(F.lit("m|"), x)) if least <= 3.5 else F.array().cast("array<string>")
+    alone = F.array(*[F.concat(F.lit(f"{c}|"), c) for c in ("md", "ca", "se", "be")]) if least <= 3 else F.array().cast("array<string>")
+    keys = F.array_compact(F.array_distinct(F.concat(with_mood, others, single, alone)))
+    k = profiles.select("p", F.explode(keys).alias("k"))
+    pairs = k.join(k.select(col("p").alias("q"), "k"), "k").select("p", "q").distinct()
+    other = profiles.select(col("p").alias("q"), *[col(c).alias(f"{c}2") for c in features])
+    both = pairs.join(profiles, "p").join(other, "q")
+    eq = lambda a: F.coalesce(col(a) == col(f"{a}2"), F.lit(False))
+    base = 3.0 * F.size(F.array_intersect("m", "m2")) + F.when(eq("md"), 3.0).otherwise(0.0) + F.when(eq("su") & eq("ca"), 2.0).when(eq("ca"), 1.0).otherwise(0.0) + F.when(eq("se"), 2.0).otherwise(0.0) + F.when(eq("be"), 0.5).otherwise(0.0)
+    scored = both.select("p", "q", base.alias("base")).where(col("base") >= least).join(heads.select(col("p").alias("q"), col("i").alias("other"), col("o").alias("o2"), "bonus"), "q").select("p", "other", "o2", (col("base") + col("bonus")).alias("score"))
+    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(col("score").desc(), "o2"))).where(col("r") <= n + 1)
+    lists = best.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("r", "other", "score"))).alias("l"))  # n + 1 entries at most
+    own = f.select("i", "p").join(lists, "p").select(col("i").alias("item"), F.posexplode(F.slice(F.filter("l", lambda s: s["other"] != col("i")), 1, n)).alias("at", "s"))
+    return own.select("item", "s.other", "s.score", (col("at") + 1).alias("place"))
 
 
 def mood_fit(moods: Column, weights: dict[str, float]) -> Column:

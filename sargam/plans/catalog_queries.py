@@ -271,7 +271,7 @@ SELECT parjay, min_by(title_bn, r) FILTER (title_bn <> '') AS title_bn, min_by(t
 def first_nonempty(spark, root):
     b = table(spark, root, "songs_base").where("parjay is not null")
     filled = (F.coalesce("lyrics_bn", F.lit("")) != "").cast("int")
-    return catalog.first_filled(b.withColumn("filled", filled), "parjay", [F.col("filled").desc(), F.col("ord").asc()], ["title_bn", "title_en", "taal"])
+    return catalog.first_filled(b, "parjay", [-filled, F.col("ord")], ["title_bn", "title_en", "taal"])
 
 
 @query("""SELECT count(*) AS songs, count(*) FILTER (lyrics <> '') AS with_lyrics, count(*) FILTER (pop IS NOT NULL) AS ranked, count(DISTINCT raag) AS raags FROM songs""")

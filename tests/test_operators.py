@@ -51,10 +51,20 @@ def test_unique_budget_batches_first_filled(spark):
     assert catalog.within_budget(queue, [F.col("o").asc()], F.lit(101), 505, 202).count() == 4
     batches = catalog.id_batches(spark.range(120).select(F.format_string("%03d", "id").alias("k")), "k").orderBy("batch").collect()
     assert [len(b["keys"]) for b in batches] == [50, 50, 20] and batches[2]["keys"][0] == "100"
-    first = catalog.first_filled(spark.createDataFrame([("g", 1, "", None), ("g", 2, "x", None), ("g", 3, "y", 7)], "g string, o int, s string, n int"), "g", [F.col("o").asc()], ["s", "n"])
+    first = catalog.first_filled(spark.createDataFrame([("g", 1, "", None), ("g", 2, "x", None), ("g", 3, "y", 7)], "g string, o int, s string, n int"), "g", [F.col("o")], ["s", "n"])
     assert tuple(first.first()) == ("g", "x", 7)
 
 
+def test_positions_are_global(spark):
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(100)).alias("g"), "id").repartition(9)
+    got = ranking.with_position(df, [F.col("g").desc(), F.col("id").asc()], F.col("g")).collect()
+    want, total = [], 0
+    for k, (g, i) in enumerate(sorted(((r["g"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))):
+        want.append((g, i, k, total))
+        total += g
+    assert sorted((r["g"], r["id"], r["position"], r["total_before"]) for r in got) == sorted(want)
+
+
 def test_upsert_latest(spark):
     old = spark.createDataFrame([("a", 1, "o"), ("b", 5, "o")], "k string, v int, x string")
     new = spark.createDataFrame([("a", 1, "n"), ("b", 4, "n"), ("c", None, "n")], "k string, v int, x string")
@@ -74,7 +84,7 @@ def test_facet_counts_are_pool_sizes(spark):
 
 
 def test_search_tiers(spark):
-    data = [(1, "নদী", "Nodi Pothe", ""), (2, None, "Ei Nodi Pothe", ""), (3, None, "Nodhee Pothey", ""), (4, None, "Ei Nodhee Pothey", ""), (5, None, "Other", "x nodi pothe y"), (6, None, "Other", ""), (7, "নোদি পথে", None, None)]
+    data = [(1, "নদী", "Nodi Pothe", ""), (2, None, "Ei Nodi Pothe", ""), (3, None, "Nodhee Pothey", ""), (4, None, "Sei Nodhee Pothey", ""), (5, None, "Other", "x nodi pothe y"), (6, None, "Other", ""), (7, "নোদি পথে", None, None)]
     p = search.search_projection(spark.createDataFrame(data, "ord int, bn string, en string, lyrics string"), "bn", "en", "lyrics")
     assert rows(search.search(p, "Nodi pothe"), "ord", "tier") == [(1, 2), (2, 2), (3, 3), (4, 4), (5, 5), (7, 3)]
     assert search.search(p, "").count() == 0

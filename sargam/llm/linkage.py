@@ -135,7 +135,7 @@ def matching_marginals(pairs: DataFrame, rounds: int = 25, tolerance: float = 1e
     return state.select("a", "b", "weight", "belief")
 
 
-def matched_records(left: DataFrame, right: DataFrame, same: float = 0.55, head_share: float = 0.6, body_share: float = 0.3) -> DataFrame:
+def matched_records(left: DataFrame, right: DataFrame, same: float = 0.55, head_share: float = 0.6, body_share: float = 0.45) -> DataFrame:
     """(id_a, id_b, confidence) of the records of ``left`` and ``right`` (``record_features``) that are of one entity, belief 0.5 or more.
 
     1. Records of a side with the same grams (without a body: also the same number and section) are one node.

@@ -85,6 +85,10 @@ def parts_of(text: str | None) -> list[str]:
     return [" ".join(p).strip(" ,") for p in parts if any(x != "," for x in p)]
 
 
+# Least likeness of two keys alone; below it the other parts of the mean do not help in practice.
+KEY_LEAST = 0.65
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _parts(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([list(dict.fromkeys(parts_of(x) + parts_of(y))) for x, y in zip(a, b)], dtype=object)
@@ -196,8 +200,11 @@ def _similar_forms(words: DataFrame, entries: DataFrame, least: float) -> DataFr
         .select(F.col("a.key").alias("key"), F.col("b.key").alias("entry_key"))
         .distinct()
         .where(F.abs(F.length("key") - F.length("entry_key")) <= 3)
+        # Built-in levenshtein counts an exchange as two, so it is at most twice the edits: what fails here fails the next test.
+        .where(F.levenshtein("key", "entry_key") <= 2 * (1 - KEY_LEAST) * F.greatest(F.length("key"), F.length("entry_key")))
+        .where(F.levenshtein("key", "entry_key") <= 4)
         .withColumn("key_sim", _likeness("key", "entry_key"))
-        .where(F.col("key_sim") >= 2 * least - 1)
+        .where(F.col("key_sim") >= KEY_LEAST)
     )
     close = (
         words.join(near, "key")

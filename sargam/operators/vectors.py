@@ -29,6 +29,12 @@ def mean_pool(vectors: Column) -> Column:
     return F.transform(total, lambda x: x / F.size(vectors))
 
 
+def centroids(df: DataFrame, group: str, vector: str, name: str) -> DataFrame:
+    """(group, name): mean vector of each group, averaged place by place, so a group of any size is combined before the shuffle."""
+    places = df.where(F.col(vector).isNotNull()).select(group, F.posexplode(vector).alias("at", "x")).groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return places.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(name))
+
+
 def normalised(v: Column | str) -> Column:
     """Unit length; a zero vector stays as it is."""
     length = F.sqrt(dot(v, v))

@@ -56,10 +56,10 @@ def group_browse(spark, root):
     return facets.browse_groups(c, facets.values_of(c, "moods"), F.col("playable"))
 
 
-@query("""SELECT sub AS value, count(*) AS n FROM songs WHERE sub <> '' AND parjay = 'Prakriti' GROUP BY 1 ORDER BY n DESC, value""")
+@query("""SELECT parjay, sub AS value, count(*) AS n FROM songs WHERE sub <> '' GROUP BY 1, 2""")
 def sub_groups(spark, root):
-    songs = table(spark, root, "songs").where("sub <> '' and parjay = 'Prakriti'")
-    return songs.groupBy(F.col("sub").alias("value")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), ranking.name_order("value"))
+    songs = table(spark, root, "songs").where("sub <> ''")
+    return songs.groupBy("parjay", F.col("sub").alias("value")).agg(F.count("*").alias("n")).orderBy("parjay", F.col("n").desc(), ranking.name_order("value"))
 
 
 @query("SELECT id, pop FROM songs WHERE pop IS NOT NULL ORDER BY pop, ord")
@@ -178,8 +178,7 @@ def name_search(spark, root):
     return names.withColumn("bucket", search.name_bucket(F.col("w"), F.col("s"), "jhi", "j")).where("bucket is not null").orderBy("bucket", "ord").select("name", "bucket")
 
 
-@query(f"""WITH {KEPT_SQL}, f AS (SELECT id, ord, coalesce(moods, []::VARCHAR[]) AS m, nullif(raag, '') AS md, nullif(parjay, '') AS ca, nullif(sub, '') AS su, nullif(season, '') AS se, nullif(taal, '') AS be, playable, pop FROM cat
-  WHERE parjay = 'Prakriti'),
+@query(f"""WITH {KEPT_SQL}, f AS (SELECT id, ord, coalesce(moods, []::VARCHAR[]) AS m, nullif(raag, '') AS md, nullif(parjay, '') AS ca, nullif(sub, '') AS su, nullif(season, '') AS se, nullif(taal, '') AS be, playable, pop FROM cat),
 p AS (SELECT a.id AS item, b.id AS other, b.ord AS o2, b.playable AS pl, b.pop IS NOT NULL AS po,
   3.0 * len(list_filter(b.m, lambda x: list_contains(a.m, x))) + CASE WHEN a.md = b.md THEN 3 ELSE 0 END
   + CASE WHEN a.su = b.su AND a.ca = b.ca THEN 2 WHEN a.ca = b.ca THEN 1 ELSE 0 END + CASE WHEN a.se = b.se THEN 2 ELSE 0 END + CASE WHEN a.be = b.be THEN 0.5 ELSE 0 END AS base
@@ -187,7 +186,7 @@ p AS (SELECT a.id AS item, b.id AS other, b.ord AS o2, b.playable AS pl, b.pop I
 SELECT item, other, (base + CASE WHEN pl THEN 1.5 ELSE 0 END + CASE WHEN po THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM p WHERE base >= 4
 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, o2) <= 10""")
 def related_items(spark, root):
-    c = catalogue(spark, root).where("parjay = 'Prakriti'")
+    c = catalogue(spark, root)
     return ranking.related(c, "id", "ord", "moods", "raag", "parjay", "sub", "season", "taal", F.col("playable"), F.col("pop").isNotNull()).select("item", "other", "score")
 
 
@@ -232,27 +231,33 @@ def budget_cutoff(spark, root):
     return catalog.within_budget(queue, order, F.when(F.col("tier") == 0, 202).otherwise(101), 9800, 202).select("id", F.col("used_before").cast("bigint").alias("used_before"))
 
 
-@query("""WITH old AS (SELECT song_id, id, min(ord) AS ord, max(views) AS views FROM videos WHERE song_id IS NOT NULL AND id IS NOT NULL AND ord < (SELECT max(ord) // 2 FROM videos) GROUP BY 1, 2),
+@query("""WITH old AS (SELECT song_id, id, ord, views FROM (SELECT song_id, id, min(ord) AS ord, max(views) AS views FROM videos WHERE song_id IS NOT NULL AND id IS NOT NULL AND ord < (SELECT max(ord) // 2 FROM videos) GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY coalesce(views, -1) DESC, ord) <= 3),
 fresh AS (SELECT id, max(views) AS views FROM videos WHERE id IS NOT NULL AND ord >= (SELECT max(ord) // 2 FROM videos) AND embeddable GROUP BY 1)
-SELECT song_id, string_agg(o.id, ',' ORDER BY coalesce(f.views, o.views, 0) DESC, o.ord) AS ids, sum(coalesce(f.views, o.views, 0))::BIGINT AS views FROM old o JOIN fresh f USING (id) GROUP BY 1""")
+SELECT song_id, string_agg(o.id, ',' ORDER BY coalesce(f.views, o.views, 0) DESC, coalesce(o.views, -1) DESC, o.ord) AS ids, sum(coalesce(f.views, o.views, 0))::BIGINT AS views FROM old o JOIN fresh f USING (id) GROUP BY 1""")
 def refresh_upsert(spark, root):
+    """Each song's kept media of the first half of arrivals, brought up to date by the second half."""
     v = table(spark, root, "videos").where("id is not null")
     half = v.agg((F.max("ord") / 2).cast("bigint").alias("half"))
     halves = v.crossJoin(F.broadcast(half))  # one row
     old = halves.where("song_id is not null and ord < half").groupBy("song_id", "id").agg(F.min("ord").alias("ord"), F.max("views").alias("views"))
-    packed = catalog.nest(old, "song_id", "ord", ["id", "views"], "videos")
+    kept = catalog.top_per_key(old, "song_id", [F.coalesce("views", F.lit(-1)).desc(), F.col("ord").asc()], 3)
+    packed = catalog.nest(kept, "song_id", "rank", ["id", "views"], "videos")
     fresh = halves.where("ord >= half and embeddable").groupBy("id").agg(F.max("views").alias("views")).withColumn("embeddable", F.lit(True))
     done = catalog.refreshed(packed, "song_id", "videos", fresh).where("size(videos) > 0")
     views = F.aggregate("videos", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["views"], F.lit(0)))
     return done.select("song_id", F.array_join(F.transform("videos", lambda x: x["id"]), ",").alias("ids"), views.alias("views"))
 
 
-@query("""SELECT song_id, CASE WHEN min(fetched) < TIMESTAMP '2024-06-01' THEN 0 ELSE count(id) END AS n FROM videos WHERE song_id IS NOT NULL AND id IS NOT NULL GROUP BY 1""")
+@query("""WITH k AS (SELECT song_id, id, fetched FROM videos WHERE song_id IS NOT NULL AND id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY coalesce(views, -1) DESC, ord) <= 3)
+SELECT song_id, CASE WHEN min(fetched) < TIMESTAMP '2024-06-01' THEN 0 ELSE count(*) END AS n FROM k GROUP BY 1""")
 def prune_ttl(spark, root):
-    v = table(spark, root, "videos").where("song_id is not null and id is not null").groupBy("song_id").agg(F.collect_list("id").alias("candidates"), F.min("fetched").alias("fetched"))
     import datetime
 
-    return catalog.pruned(v, "candidates", "fetched", datetime.datetime(2024, 6, 1)).select("song_id", F.size("candidates").cast("bigint").alias("n"))
+    v = table(spark, root, "videos").where("song_id is not null and id is not null")
+    kept = catalog.top_per_key(v, "song_id", [F.coalesce("views", F.lit(-1)).desc(), F.col("ord").asc()], 3)
+    lists = kept.groupBy("song_id").agg(F.collect_list("id").alias("candidates"), F.min("fetched").alias("fetched"))
+    return catalog.pruned(lists, "candidates", "fetched", datetime.datetime(2024, 6, 1)).select("song_id", F.size("candidates").cast("bigint").alias("n"))
 
 
 @query("SELECT id FROM songs WHERE id NOT IN (SELECT song_id FROM videos WHERE song_id IS NOT NULL)")

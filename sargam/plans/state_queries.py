@@ -55,9 +55,11 @@ def quota_ledger(spark, root):
 
 def _replica(spark, root, parity):
     e = table(spark, root, "events").where(F.col("event_id") % 2 == parity).select("user_id", "event_id", "event_type", "ts", F.get_json_object("props", "$.k").alias("k"))
-    packed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("event_id", "k")))), lambda s: s["k"])
+    # Lists hold an item once, so they are as long as there are items, however long the log.
+    once = e.groupBy("user_id", "event_type", "k").agg(F.min("event_id").alias("first"), F.max("ts").alias("ts"))
+    packed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("first", "k")))), lambda s: s["k"])
     at = F.unix_millis(F.max("ts").cast("timestamp"))
-    r = e.groupBy("user_id").agg(packed(F.col("event_type") == "click").alias("likes"), packed(F.col("event_type") == "error").alias("never"), packed(F.lit(True)).alias("recent"), at.alias("prefs_at"))
+    r = once.groupBy("user_id").agg(packed(F.col("event_type") == "click").alias("likes"), packed(F.col("event_type") == "error").alias("never"), packed(F.col("event_type") == "view").alias("recent"), at.alias("prefs_at"))
     return r.withColumn("filters", F.lit(f"side {parity}")).withColumn("session", F.concat(F.lit("s"), F.col("prefs_at").cast("string"))).withColumn("session_at", F.col("prefs_at") - parity * 3600000)
 
 
@@ -75,12 +77,13 @@ def sync_merge(spark, root):
     return merged.select("user_id", F.size("likes").cast("bigint").alias("likes"), F.size("never").cast("bigint").alias("never"), "filters", "session")
 
 
-@query("""WITH l AS (SELECT user_id, list(k ORDER BY event_id) AS ids FROM (SELECT user_id, event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events WHERE event_type = 'purchase') GROUP BY 1),
+@query("""WITH l AS (SELECT user_id, list(k ORDER BY event_id) AS ids FROM (SELECT user_id, event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 200) GROUP BY 1),
 u AS (SELECT user_id, unnest(ids) AS k, generate_subscripts(ids, 1) - 1 AS place FROM l)
 SELECT user_id, place::INT AS place, p_name FROM u JOIN part ON p_partkey = k WHERE p_size < 25""")
 def id_list_join(spark, root):
     e = table(spark, root, "events").where("event_type = 'purchase'").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "k"))), lambda s: s["k"]).alias("ids"))
+    latest = catalog.top_per_key(e, "user_id", [F.col("event_id").desc()], 200)  # a list keeps its last 200
+    lists = latest.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "k"))), lambda s: s["k"]).alias("ids"))
     return state.rows_of_list(lists, "user_id", "ids", table(spark, root, "part").where("p_size < 25").select("p_partkey", "p_name"), "p_partkey").select("user_id", "place", "p_name")
 
 
@@ -92,10 +95,10 @@ def list_sets(spark, root):
     return s.select("id", F.size(state.union_ordered(x, y)).cast("bigint").alias("united"), F.size(state.without(x, y)).cast("bigint").alias("rest"), F.size(F.array_intersect(x, y)).cast("bigint").alias("shared"), F.array_contains(x, "devotion").alias("liked"))
 
 
-@query("""WITH t AS (SELECT user_id, list(DISTINCT event_type) AS x FROM events WHERE event_id < 2000 GROUP BY 1)
+@query("""WITH t AS (SELECT user_id, list(DISTINCT event_type) AS x FROM events GROUP BY 1)
 SELECT user_id, list_contains(x, 'click') AS was_on, len(x) + CASE WHEN list_contains(x, 'click') THEN -1 ELSE 1 END AS n_on FROM t""")
 def toggled_sets(spark, root):
-    t = table(spark, root, "events").where("event_id < 2000").groupBy("user_id").agg(F.collect_set("event_type").alias("x"))
+    t = table(spark, root, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("x"))
     on, _ = state.toggled("x", F.array().cast("array<string>"), F.lit("click"))
     return t.select("user_id", F.array_contains("x", "click").alias("was_on"), F.size(on).cast("bigint").alias("n_on"))
 
@@ -109,32 +112,33 @@ def valid_sessions(spark, root):
     return state.valid_sessions(last, "at", datetime.datetime(2024, 1, 30), 30, "user_id", known, "c_custkey", "page").select("user_id", F.to_date("at").cast("string").alias("day"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name FROM part WHERE p_size = 7), n AS (SELECT least(40, count(*) // 2) AS k FROM p),
+@query("""WITH p AS (SELECT p_partkey FROM part), n AS (SELECT least(40, count(*) // 2) AS k FROM p),
 r AS (SELECT p_partkey AS i, row_number() OVER (ORDER BY p_partkey DESC) AS place FROM p)
 SELECT p_partkey FROM p WHERE p_partkey NOT IN (SELECT i FROM r, n WHERE place <= k) AND p_partkey NOT IN (11, 61)""")
 def recency_exclusion(spark, root):
-    pool = table(spark, root, "part").where("p_size = 7").select("p_partkey")
-    recent = pool.withColumn("place", F.row_number().over(Window.orderBy(F.col("p_partkey").desc())))
+    pool = table(spark, root, "part").select("p_partkey")
+    recent = ranking.with_position(pool, [F.col("p_partkey").desc()]).withColumn("place", F.col("position") + 1)
     return ranking.recency_excluded(pool, recent, "p_partkey", "place", [11, 61])
 
 
-@query("""WITH q AS (SELECT label AS entry, list_transform(range(1, 65), lambda i: 1.0) AS one, list_transform(list(embedding), lambda x: 1) AS n, array_agg(embedding) AS e FROM embeddings GROUP BY label),
+@query("""WITH q AS (SELECT label AS entry, array_agg(embedding) AS e FROM embeddings GROUP BY label),
 c AS (SELECT entry, list_transform(range(1, 65), lambda i: (list_sum(list_transform(e, lambda v: v[i]::DOUBLE)) / len(e))) AS v FROM q),
 s AS (SELECT vec_id, entry, list_inner_product(embedding::DOUBLE[], v) AS sim FROM embeddings, c)
 SELECT vec_id, entry, round(sim, 6) AS sim FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, entry) <= 3""")
 def vector_topk(spark, root):
     e = table(spark, root, "embeddings")
-    centres = e.groupBy(F.col("label").alias("entry")).agg(vectors.mean_pool(F.collect_list("embedding")).alias("v"))
+    centres = vectors.centroids(e, "label", "embedding", "v").withColumnRenamed("label", "entry")
     sims = vectors.similarities(e, "vec_id", "embedding", centres, "entry", "v")
     return catalog.top_per_key(sims, "vec_id", [F.col("sim").desc(), F.col("entry").asc()], 3).select("vec_id", "entry", F.round("sim", 6).alias("sim"))
 
 
-@query("""WITH m AS (SELECT vec_id AS entry, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 12), s AS (SELECT e.vec_id, m.entry, list_inner_product(e.embedding::DOUBLE[], m.v) AS sim FROM embeddings e, m),
-b AS (SELECT *, max(sim) OVER (PARTITION BY vec_id) AS best FROM s)
+@query("""WITH q AS (SELECT label AS entry, array_agg(embedding) AS e FROM embeddings GROUP BY label), m AS (SELECT entry, list_transform(range(1, 65), lambda i: (list_sum(list_transform(e, lambda v: v[i]::DOUBLE)) / len(e))) AS v FROM q),
+s AS (SELECT x.vec_id, m.entry, list_inner_product(x.embedding::DOUBLE[], m.v) AS sim FROM embeddings x, m), b AS (SELECT *, max(sim) OVER (PARTITION BY vec_id) AS best FROM s)
 SELECT vec_id, entry, round(1 - (best - sim) / 0.05 * 0.3, 6) AS weight FROM b WHERE sim >= best - 0.05 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, entry) <= 3""")
 def margin_pick(spark, root):
     e = table(spark, root, "embeddings")
-    sims = vectors.similarities(e, "vec_id", "embedding", e.where("vec_id < 12").select(F.col("vec_id").alias("entry"), "embedding"), "entry", "embedding")
+    centres = vectors.centroids(e, "label", "embedding", "v").withColumnRenamed("label", "entry")
+    sims = vectors.similarities(e, "vec_id", "embedding", centres, "entry", "v")
     return vectors.within_margin(sims, "vec_id", "entry", margin=0.05).select("vec_id", "entry", F.round("weight", 6).alias("weight"))
 
 
@@ -145,14 +149,14 @@ def quantise(spark, root):
     return table(spark, root, "embeddings").select("vec_id", F.aggregate(q, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
 
 
-@query("""WITH x AS (SELECT user_id, event_type AS mood, least(1.0, count(*) / 20.0)::DOUBLE AS weight FROM events WHERE event_id % 2 = 0 AND user_id % 3 > 0 GROUP BY 1, 2), y AS (SELECT user_id, event_type AS mood, least(1.0, count(*) / 15.0)::DOUBLE AS weight FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2),
+@query("""WITH x AS (SELECT user_id, event_type AS mood, least(1.0, count(*) / 2.0)::DOUBLE AS weight FROM events WHERE value > 95 GROUP BY 1, 2), y AS (SELECT user_id, event_type AS mood, least(1.0, count(*) / 15.0)::DOUBLE AS weight FROM events GROUP BY 1, 2),
 c AS (SELECT y.user_id, y.mood, CASE WHEN y.user_id IN (SELECT user_id FROM x) THEN least(0.8, y.weight) ELSE y.weight END AS weight FROM y)
 SELECT coalesce(x.user_id, c.user_id) AS user_id, coalesce(x.mood, c.mood) AS mood, round(greatest(x.weight, c.weight), 6) AS weight FROM x FULL JOIN c ON x.user_id = c.user_id AND x.mood = c.mood
 QUALIFY row_number() OVER (PARTITION BY coalesce(x.user_id, c.user_id) ORDER BY greatest(x.weight, c.weight) DESC, coalesce(x.mood, c.mood)) <= 4""")
 def merge_weights(spark, root):
     e = table(spark, root, "events")
     w = lambda rows, n: rows.groupBy("user_id", F.col("event_type").alias("mood")).agg(F.least(F.lit(1.0), F.count("*") / n).alias("weight"))
-    merged = merge(w(e.where("event_id % 2 = 0 and user_id % 3 > 0"), 20.0), w(e.where("event_id % 2 = 1"), 15.0), "user_id")
+    merged = merge(w(e.where("value > 95"), 2.0), w(e, 15.0), "user_id")
     return merged.select("user_id", "mood", F.round("weight", 6).alias("weight"))
 
 

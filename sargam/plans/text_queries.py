@@ -26,9 +26,9 @@ def skeleton_latin(spark, root):
     return table(spark, root, "part").select("p_partkey", X.skeleton_latin("p_name").alias("skeleton"))
 
 
-@query(f"SELECT doc_id, {norm_sql('text')} AS words FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {norm_sql('text')} AS words FROM documents")
 def text_norm(spark, root):
-    return table(spark, root, "documents").where("lang = 'en'").select("doc_id", X.norm("text").alias("words"))
+    return table(spark, root, "documents").select("doc_id", X.norm("text").alias("words"))
 
 
 @query("""SELECT id, regexp_replace(list_last(string_split(source, '/')), '\\.html$', '') AS page, translate(parjay_num::VARCHAR, '0123456789', '০১২৩৪৫৬৭৮৯') AS native_number,
@@ -170,25 +170,30 @@ def zone_days(spark, root):
     return e.select("event_id", C.day_in_zone(F.col("ts").cast("timestamp")).cast("string").alias("day"), F.dayofyear("ts").alias("nth"))
 
 
-@query("""SELECT id, title_bn AS title, taal AS beat, lyrics_bn AS words FROM songs_base WHERE lyrics_bn IS NOT NULL AND lyrics_bn <> '' AND title_bn IS NOT NULL AND taal IS NOT NULL""")
+@query("""SELECT id, coalesce(title_bn, '') AS title, coalesce(taal, '') AS beat, coalesce(lyrics_bn, '') AS words FROM songs_base""")
 def html_fields(spark, root):
     """Page markup put together from the columns, and its fields taken out again by pattern."""
-    s = table(spark, root, "songs_base").where("lyrics_bn is not null and lyrics_bn <> '' and title_bn is not null and taal is not null")
-    page = F.concat(F.lit("<html><h1>"), "title_bn", F.lit("</h1><b>Taal</b>: "), "taal", F.lit("<br/>\n<pre class=\"lyric\">"), "lyrics_bn", F.lit("</pre></html>"))
+    s = table(spark, root, "songs_base")
+    known = lambda c: F.coalesce(c, F.lit(""))
+    page = F.concat(F.lit("<html><h1>"), known("title_bn"), F.lit("</h1><b>Taal</b>: "), known("taal"), F.lit("<br/>\n<pre class=\"lyric\">"), known("lyrics_bn"), F.lit("</pre></html>"))
     return s.select("id", page.alias("html")).select(
         "id", F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1).alias("title"), F.regexp_extract("html", r"<b>Taal</b>:\s*(.*?)<br", 1).alias("beat"), F.regexp_extract("html", r"(?s)<pre[^>]*>(.*?)</pre>", 1).alias("words")
     )
 
 
-@query("SELECT ws_title, title_bn AS title, lyrics_bn AS words FROM source_b WHERE lyrics_bn IS NOT NULL AND title_bn IS NOT NULL AND regexp_full_match(lyrics_bn, '[\\x{0985}-\\x{09CD}\\n]+( [\\x{0985}-\\x{09CD}\\n]+)*')")
+_BARE = "replace(replace(replace(lyrics_bn, chr(65279), ''), chr(8203), ''), chr(2494) || chr(2503), chr(2507))"
+
+
+@query(f"""WITH l AS (SELECT ws_title, title_bn, list_transform(string_split({_BARE}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t\\x{{00A0}}]+', ' ', 'g'), '^[ :]+|[ :]+$', '', 'g')) AS l FROM source_b WHERE lyrics_bn IS NOT NULL)
+SELECT ws_title, title_bn AS title, regexp_replace(regexp_replace(array_to_string(l, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS words FROM l""")
 def markup_sections(spark, root):
     """A page of two named sections with templates, and the plain text of the second."""
-    s = table(spark, root, "source_b").where("lyrics_bn is not null and title_bn is not null").where(F.col("lyrics_bn").rlike("^[\u0985-\u09cd\n]+( [\u0985-\u09cd\n]+)*$"))
+    s = table(spark, root, "source_b").where("lyrics_bn is not null")
     page = F.concat(F.lit('<section begin="a"/>{{c|x}}<section end="a"/><section begin="b"/><!-- note -->{{block|{{em|2}}'), "lyrics_bn", F.lit("}}<ref>r</ref>"), F.lit('<section end="b"/>'))
     from ..functions.text import clean_markup, section_text
 
     inner = section_text(page, F.lit("b"), F.lit("b"))
-    plain = F.regexp_replace(clean_markup(inner), r"^2", "")
+    plain = F.regexp_replace(clean_markup(inner), r"^2?[\s\p{Z}]*|[\s\p{Z}]+$", "")
     return s.select("ws_title", F.col("title_bn").alias("title"), plain.alias("words"))
 
 
@@ -203,10 +208,10 @@ def page_ranges(spark, root):
 
 @query()
 def mood_scores(spark, root):
-    """Moods of English texts by word lists with spans used up and negation."""
+    """Moods of texts by word lists with spans used up and negation."""
     lex = lexicon.MoodLexicon(
         [("shanti", ["quiet", "calm*", "gentle", "slow"]), ("ananda", ["bright", "playful", "glad*", "warm*"]), ("bishad", ["sorrow", "grave", "tired", "never explained"]), ("prem", ["letter", "promise", "sweet"])],
         [("Barsha", ["rain*", "monsoon", "storm"]), ("Sheet", ["winter", "cold"])], ["not", "no", "never", "nothing"], {"ananda", "shanti", "prem"}, "bishad",
     )
-    found = lexicon.detect_moods(table(spark, root, "documents").where("lang = 'en'"), "doc_id", "text", lex)
+    found = lexicon.detect_moods(table(spark, root, "documents"), "doc_id", "text", lex)
     return found.select("doc_id", "mood", F.round("weight", 6).alias("weight"), "place")

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import catalog, facets, ranking, search
 from ..session import table
 from .registry import query
-from .shared import KEPT_SQL, catalogue, kept_videos
+from .shared import KEPT_SQL, catalogue, flagged
 
 MOOD_WEIGHTS = {"calm": 1.0, "sorrow": 0.7, "devotion": 0.4, "joy": 0.6}
 
@@ -52,7 +52,7 @@ def star_catalog(spark, root):
 SELECT value, count(*) AS n, sum(playable::INT)::BIGINT AS rec, floor(100.0 * sum(playable::INT) / count(*) + 0.5)::BIGINT AS share
 FROM (SELECT DISTINCT id, playable, unnest(moods) AS value FROM cat) GROUP BY value""")
 def group_browse(spark, root):
-    c = catalogue(spark, root)
+    c = flagged(spark, root)
     return facets.browse_groups(c, facets.values_of(c, "moods"), F.col("playable"))
 
 
@@ -87,7 +87,7 @@ _PARJAY = "coalesce(parjay IN ('Puja', 'Prem'), false)"
 
 @query(f"WITH {KEPT_SQL} SELECT id FROM cat WHERE playable AND {_MOODS} AND {_PARJAY}")
 def facet_pool(spark, root):
-    c = catalogue(spark, root)
+    c = flagged(spark, root)
     return facets.facet_pool(c, _facets(c), STATE, F.col("playable")).select("id")
 
 
@@ -97,7 +97,7 @@ UNION ALL SELECT 'parjay', parjay, sum(({_MOODS})::INT)::BIGINT FROM p WHERE par
 UNION ALL SELECT 'season', season, sum(({_MOODS} AND {_PARJAY})::INT)::BIGINT FROM p WHERE season <> '' GROUP BY season
 UNION ALL SELECT 'raag', raag, sum(({_MOODS} AND {_PARJAY})::INT)::BIGINT FROM p WHERE raag <> '' GROUP BY raag""")
 def facet_counts(spark, root):
-    c = catalogue(spark, root)
+    c = flagged(spark, root)
     return facets.facet_counts(c, _facets(c), STATE, F.col("playable"))
 
 
@@ -109,7 +109,7 @@ def active_filters(spark, root):
 @query(f"""WITH {KEPT_SQL}
 SELECT season, count(*) AS total, sum(playable::INT)::BIGINT AS playable FROM cat WHERE season <> '' GROUP BY season""")
 def season_counts(spark, root):
-    return catalogue(spark, root).where("season <> ''").groupBy("season").agg(F.count("*").alias("total"), F.sum(F.col("playable").cast("int")).alias("playable"))
+    return flagged(spark, root).where("season <> ''").groupBy("season").agg(F.count("*").alias("total"), F.sum(F.col("playable").cast("int")).alias("playable"))
 
 
 @query(f"""WITH {KEPT_SQL}
@@ -117,7 +117,7 @@ SELECT 'mood' AS kind, value, count(*) AS n FROM (SELECT DISTINCT id, unnest(moo
 UNION ALL SELECT 'parjay', parjay, count(*) FROM cat WHERE parjay <> '' GROUP BY parjay
 UNION ALL SELECT 'taal', taal, count(*) FROM cat WHERE taal <> '' GROUP BY taal""")
 def kinds_explode(spark, root):
-    c = catalogue(spark, root)
+    c = flagged(spark, root)
     def tagged(kind, column):
         return F.transform(F.array_distinct(facets.values_of(c, column)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
@@ -186,7 +186,7 @@ p AS (SELECT a.id AS item, b.id AS other, b.ord AS o2, b.playable AS pl, b.pop I
 SELECT item, other, (base + CASE WHEN pl THEN 1.5 ELSE 0 END + CASE WHEN po THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM p WHERE base >= 4
 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, o2) <= 10""")
 def related_items(spark, root):
-    c = catalogue(spark, root)
+    c = flagged(spark, root)
     return ranking.related(c, "id", "ord", "moods", "raag", "parjay", "sub", "season", "taal", F.col("playable"), F.col("pop").isNotNull()).select("item", "other", "score")
 
 
@@ -197,7 +197,7 @@ _W = "CASE x WHEN 'calm' THEN 1.0 WHEN 'sorrow' THEN 0.7 WHEN 'devotion' THEN 0.
 SELECT id, round(2 * coalesce(fit, 0) + ins::INT + CASE WHEN pop > 0 THEN 0.4 * (1 - pop / 400.0) ELSE 0 END, 6) AS score FROM f WHERE fit > 0 OR ins
 QUALIFY row_number() OVER (ORDER BY round(2 * coalesce(fit, 0) + ins::INT + CASE WHEN pop > 0 THEN 0.4 * (1 - pop / 400.0) ELSE 0 END, 9) DESC, ord) <= 25""")
 def playlist_score(spark, root):
-    c = catalogue(spark, root)
+    c = flagged(spark, root)
     return ranking.playlist(c, MOOD_WEIGHTS, "Barsha", 25).select("id", F.round("score", 6).alias("score"))
 
 
@@ -211,7 +211,7 @@ def item_of_day(spark, root):
 SELECT id, row_number() OVER (ORDER BY CASE place WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 2 END, coalesce(pop, 9999), id) AS nth FROM q
 QUALIFY nth <= 25""")
 def queue_order(spark, root):
-    q = catalogue(spark, root).where("playable and season = 'Barsha'").select("id", "pop", (F.row_number().over(Window.orderBy("ord")) - 1).alias("place"))
+    q = flagged(spark, root).where("playable and season = 'Barsha'").select("id", "pop", (F.row_number().over(Window.orderBy("ord")) - 1).alias("place"))
     order = ranking.queue_order(F.col("place"), F.lit(3), F.col("pop"), "id")
     return q.withColumn("nth", F.row_number().over(Window.orderBy(*order)).cast("bigint")).where("nth <= 25").select("id", "nth")
 

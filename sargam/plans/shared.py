@@ -28,6 +28,14 @@ def catalogue(spark: SparkSession, root: str) -> DataFrame:
     return joined.withColumn("videos", F.when(F.col("seen"), F.coalesce("kept", empty))).drop("kept", "seen").withColumn("playable", catalog.has_media("videos"))
 
 
+def flagged(spark: SparkSession, root: str) -> DataFrame:
+    """Songs with ``playable`` only: whether any video passes the screen. Ranking and nesting are not needed for that."""
+    videos = table(spark, root, "videos").where("song_id is not null and id is not null")
+    some = catalog.screened(videos, DENY).select("song_id").distinct().withColumn("some", F.lit(True))
+    songs = table(spark, root, "songs")
+    return songs.join(some, songs.id == some.song_id, "left").withColumn("playable", F.coalesce("some", F.lit(False))).drop("song_id", "some")
+
+
 KEPT_SQL = """
 kept AS (
   SELECT * FROM (

@@ -75,8 +75,9 @@ def visible_form(text: str | None, fold_case: bool = False) -> str | None:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
         text = first_class.sub(lambda m: first[m[0]], text)
         if not text.isascii():
-            text = first_class.sub(lambda m: first[m[0]], unicodedata.normalize("NFKC", text))
-            text = alike_class.sub(lambda m: LOOK_ALIKE[m[0]], text)
+            # Letters are mapped without their accents, so that an accent on either letter gives one composed letter.
+            text = first_class.sub(lambda m: first[m[0]], unicodedata.normalize("NFKD", text))
+            text = unicodedata.normalize("NFKC", alike_class.sub(lambda m: LOOK_ALIKE[m[0]], text))
             while odd.search(text):
                 before, text = text, unicodedata.normalize("NFKC", one.sub(lambda m: DRAWN_AS_ONE[m[0]], dot.sub("\u09bc\\1", text)))
                 if text == before:

@@ -19,7 +19,7 @@ VOWELS = dict(zip("অআইঈউঊএঐওঔঋ", "o a i i u u e oi o ou ri
 SIGNS = dict(zip("ািীুূেৈোৌৃ", "a i i u u e oi o ou ri".split()))
 # Spellings in Latin letters folded to the same letters, in this order.
 LATIN = [(re.compile(a), b) for a, b in (
-    ("aw(?=u)|aw", "o"), ("ow|au", "ou"), ("oo", "u"), ("ee|ii|y(?=[^aeiou]|$)", "i"), ("y", ""), ("chh|cch|ch", "c"), ("zh|jh|z", "j"), ("f", "p"), ("[vw]", "b"), ("x", "ks"), ("q", "k"),
+    ("aw(?=u)|aw", "o"), ("ow|au", "ou"), ("oo", "u"), ("ee|ii", "i"), ("y", ""), ("chh|cch|ch", "c"), ("zh|jh|z", "j"), ("f", "p"), ("[vw]", "b"), ("x", "ks"), ("q", "k"),
     ("(?<=[bcdgjklmnprst])h", ""), ("[^a-z]", ""),
 )]
 HONORIFICS = frozenset("sri shri shree smt sm pt pandit ustad dr prof late kumari begum mr mrs ms miss da di dada didi babu শ্রী শ্রীমতী শ্রীমতি পণ্ডিত ওস্তাদ উস্তাদ ডঃ ড ডক্টর প্রয়াত দা দি স্বর্গীয়".split())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .forms import visible_form
 
 _URL = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@.])(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?(?![\w@])")
@@ -127,7 +128,7 @@ def stuffed_pages(df: DataFrame, ident: str, text: str, divergence: float = 0.45
     identifier (of repeated identifiers the terms are put together). Texts of any length are read whole.
     Empty input: empty result.
     """
-    curves = page_curves(df, ident, text).where(F.col("n_words") + F.col("n_tags") >= 5).persist()
+    curves = cut_lineage(page_curves(df, ident, text).where(F.col("n_words") + F.col("n_tags") >= 5))  # read three times: two fits and the verdict
     prose = curves.where("n_kept >= 5 and repetition is not null")
     expected = lambda: F.exp(F.col("a") + F.col("b") * F.log("n_kept")) - 0.02
     first = prose.join(F.broadcast(_prose_line(prose)), "family")  # one row per language family

@@ -49,3 +49,8 @@ def test_pairs(spark):
 def test_many_identical_copies_are_no_pairs(spark):
     rows = [(f"n{k:05d}", "Ka", "x") for k in range(20_000)] + [("z", "Ｋa", "x")]
     assert len(pairs(spark, rows)) == 20_000
+
+
+def test_accents_on_look_alike_letters():
+    assert visible_form("rа̄t") == visible_form("rāt") == visible_form("rāt")
+    assert visible_form("ё") == visible_form("ë")

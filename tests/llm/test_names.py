@@ -1,11 +1,11 @@
 from sargam.llm.names import edits, name_key, named_persons, parts_of
 
-PERSONS = [("Jhanulata Kuhekar", ["jhanulata kuhekar", "ঝানূলতা কূহেকর"]), ("Bemala Chhoguho", ["bemala chhoguho", "বেমালা ছগুহ", "mulu", "মূলূ"]), ("Tillolata Rikar", ["tillolata rikar"]), ("Pratinath Rikar", ["pratinath rikar"]), ("Astamala Louktakar", ["astamala louktakar", None])]
+PERSONS = [("Jhanulata Kuhekar", ["jhanulata kuhekar", "ঝানূলতা কূহেকর"]), ("Bemala Chhoguho", ["bemala chhoguho", "বেমালা ছগুহ", "mulu", "মূলূ"]), ("Tillolata Rikar", ["tillolata rikar"]), ("Pratinath Rikar", ["pratinath rikar"]), ("Astamala Louktakar", ["astamala louktakar", None]), ("Phoyejit Hoktorana", ["phoyejit hoktorana", "oshe"])]
 NAMED = {
     "Pothe by Jhanulata Kuhekar": {"Jhanulata Kuhekar"}, "X sings": set(), "KUHEKAR, Zhanoolata | Audio": {"Jhanulata Kuhekar"}, "J. Kuhekar : x": {"Jhanulata Kuhekar"}, "x | J.Kuhekar | y": {"Jhanulata Kuhekar"},
     "Raktounath J. Kuhekar sings": set(), "ঝানূলতা কূহেকর": {"Jhanulata Kuhekar"}, "x [Singer: Jhanu-di Kuhekar]": {"Jhanulata Kuhekar"}, "JhanulataKuhekar": {"Jhanulata Kuhekar"}, "Jhanulata_Kuhekar Official": {"Jhanulata Kuhekar"},
     "x - Mulu": {"Bemala Chhoguho"}, "“Mulu” Chhoguho & Tillolata Rik. sings y": {"Bemala Chhoguho", "Tillolata Rikar"}, "Ami mulu pothe": set(), "Chhathinath Rikar": set(), "Oshoumala Louktakar": set(), "Pt. Bemaoa Chhgouho": {"Bemala Chhoguho"},
-    "Jhanulata M. Kuhekar": {"Jhanulata Kuhekar"}, "Dhamulunath": set(), "Rikar": set(), "": set(), "রীকর প্রাতীনাথ": {"Pratinath Rikar"},
+    "Jhanulata M. Kuhekar": {"Jhanulata Kuhekar"}, "Dhamulunath": set(), "Rikar": set(), "": set(), "Phoy-da Hoktorana": {"Phoyejit Hoktorana"}, "Ase TV": set(), "রীকর প্রাতীনাথ": {"Pratinath Rikar"},
 }
 
 

@@ -67,9 +67,11 @@ def _statement(k: int) -> str:
     ), checked AS (
       SELECT DISTINCT p.value, g.ord, g.name, levenshtein(p.text, g.text, {k}) AS errors, p.kind = 'folded' AS is_folded, g.m
       FROM probe p JOIN segment g ON p.kind = g.kind AND p.m = g.m AND p.j = g.j AND p.piece = g.piece
+    ), close AS (
+      SELECT value, ord, name, coalesce(min(errors) FILTER (WHERE NOT is_folded), {k} + 1) AS typed, coalesce(min(errors) FILTER (WHERE is_folded), {k} + 1) AS folded
+      FROM checked WHERE errors >= 0 AND errors <= greatest(1, (m - 1) div 2 - (CASE WHEN is_folded THEN 1 ELSE 0 END)) GROUP BY value, ord, name
     )
-    SELECT value, min_by(name, struct(errors, is_folded, ord)) AS entry, min(errors) AS errors
-    FROM checked WHERE errors >= 0 AND errors <= greatest(1, (m - 1) div 2 - (CASE WHEN is_folded THEN 1 ELSE 0 END)) GROUP BY value
+    SELECT value, min_by(name, struct(typed + folded, typed, ord)) AS entry, min(least(typed, folded)) AS errors FROM close GROUP BY value
     """
 
 
@@ -84,7 +86,7 @@ def map_to_reference(df: DataFrame, keys: list[str], value: str, reference: Data
     built-in levenshtein verifies, and an anti-join reports what is left as ``unmatched``. All of it is SQL.
 
     Matching runs once per distinct value; the mapping is joined back by value (AQE splits a hot value).
-    Ties: fewer errors, then unfolded, then the earlier entry. Null values give no row; empty and blank
+    Of several entries the one with fewest errors counts, typed and folded together, then typed, then the earlier entry. Null values give no row; empty and blank
     values are unmatched; repeated rows are kept; an empty reference list leaves all unmatched.
     """
     spark = df.sparkSession

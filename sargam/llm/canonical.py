@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Words written around a name that are no part of it.
 MARKER_WORDS = (
     "raag", "raga", "rag", "raaga", "raagini", "ragini", "r", "mishra", "misra", "mishr", "shuddha", "suddha", "shuddh", "anga", "ang", "mixed", "slow", "fast", "based", "on",
@@ -93,7 +95,8 @@ def map_to_reference(df: DataFrame, keys: list[str], value: str, reference: Data
     rows = df.select(*keys, F.col(value).alias("value")).where("value is not null")
     native = F.col(name_native) if name_native else F.lit(None).cast("string")
     ref = reference.select((F.col(order) if order else F.xxhash64(name)).cast("bigint").alias("ord"), F.col(name).alias("name"), native.alias("name_native"))
-    found = spark.sql(_statement(max_errors), values=rows.select("value").distinct(), reference=ref)
+    # The mapping is joined twice, so it is worked out once and kept in the shared folder.
+    found = cut_lineage(spark.sql(_statement(max_errors), values=rows.select("value").distinct(), reference=ref))
     columns = ", ".join(f"r.`{c}`" for c in keys)
     return spark.sql(
         f"""

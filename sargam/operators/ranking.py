@@ -85,11 +85,11 @@ def queue_order(place: Column, current: Column, rank: Column, title: str) -> lis
 def recency_excluded(pool: DataFrame, recent: DataFrame, item: str, place: str, excluded: list, most: int = 40) -> DataFrame:
     """Pool without the last min(most, half the pool) plays and ``excluded``; if nothing is left only without
     ``excluded``; if still nothing, all."""
-    size = pool.agg(F.least(F.lit(most), F.floor(F.count("*") / 2)).alias("k"))
-    played = recent.crossJoin(F.broadcast(size)).where(F.col(place) <= F.col("k")).select(item).distinct().withColumn("__r", F.lit(True))  # size: one row
+    kept_out = min(most, pool.count() // 2)  # one number
+    played = recent.where(F.col(place) <= kept_out).select(item).distinct().withColumn("__r", F.lit(True))
     tiered = pool.join(played, item, "left").withColumn("tier", F.when(F.col(item).isin(*excluded) if excluded else F.lit(False), 3).when(F.col("__r"), 2).otherwise(1)).drop("__r")
-    least = tiered.agg(F.min("tier").alias("least"))
-    return tiered.crossJoin(F.broadcast(least)).where((F.col("tier") == F.col("least")) | (F.col("least") == 3)).drop("tier", "least")  # least: one row
+    least = tiered.agg(F.min("tier")).first()[0]  # one number
+    return (tiered if least in (None, 3) else tiered.where(F.col("tier") == least)).drop("tier")
 
 
 def weighted_key(ident: Column, weight: Column, seed: int) -> Column:

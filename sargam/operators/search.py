@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,6 @@ def search_projection(df: DataFrame, native: str, latin: str, lyrics: str) -> Da
     )
 
 
-def query_forms(df: DataFrame, query: str) -> DataFrame:
-    """Adds q (normalised) and qs (skeleton, by the script the query is typed in)."""
-    return df.withColumn("q", X.norm(query)).withColumn("qs", F.when(X.is_native(query), X.skeleton_native(query)).otherwise(X.skeleton_latin(query)))
-
-
 def tier(title: Column, lyrics: Column, skeletons: Column, lyrics_skeleton: Column, q: Column, qs: Column) -> Column:
     """First tier that matches: 1 title begins with q, 2 contains it, 3 a skeleton begins with qs, 4 contains it,
     5 lyrics contain q or their skeleton qs. Tiers 3 and 4 need 4 skeleton letters, the lyrics' 5. Null: no match or empty query."""
@@ -44,13 +41,10 @@ def tier(title: Column, lyrics: Column, skeletons: Column, lyrics_skeleton: Colu
 
 def search(projected: DataFrame, query: str) -> DataFrame:
     """Rows that match one query with their tier; order by tier, then the catalogue's order."""
-    forms = query_forms(projected.sparkSession.createDataFrame([(query,)], "query string"), "query").select("q", "qs")
-    return (
-        projected.crossJoin(F.broadcast(forms))  # the query: one row
-        .withColumn("tier", tier(F.col("title_norm"), F.col("lyrics_norm"), F.col("skeletons"), F.col("lyrics_skeleton"), F.col("q"), F.col("qs")))
-        .where("tier is not null")
-        .drop("q", "qs")
-    )
+    q = X.norm(F.lit(unicodedata.normalize("NFC", query)), composed=True)
+    qs = X.skeleton_native(F.lit(query)) if any("\u0980" <= c <= "\u09ff" for c in query) else X.skeleton_latin(F.lit(query))
+    found = tier(F.col("title_norm"), F.col("lyrics_norm"), F.col("skeletons"), F.col("lyrics_skeleton"), q, qs)
+    return projected.withColumn("tier", found).where("tier is not null")
 
 
 def name_bucket(name: Column, skeleton: Column, query: str, query_skeleton: str) -> Column:

@@ -238,12 +238,11 @@ SELECT song_id, string_agg(o.id, ',' ORDER BY coalesce(f.views, o.views, 0) DESC
 def refresh_upsert(spark, root):
     """Each song's kept media of the first half of arrivals, brought up to date by the second half."""
     v = table(spark, root, "videos").where("id is not null")
-    half = v.agg((F.max("ord") / 2).cast("bigint").alias("half"))
-    halves = v.crossJoin(F.broadcast(half))  # one row
-    old = halves.where("song_id is not null and ord < half").groupBy("song_id", "id").agg(F.min("ord").alias("ord"), F.max("views").alias("views"))
+    half = (v.agg(F.max("ord")).first()[0] or 0) // 2
+    old = v.where(F.col("song_id").isNotNull() & (F.col("ord") < half)).groupBy("song_id", "id").agg(F.min("ord").alias("ord"), F.max("views").alias("views"))
     kept = catalog.top_per_key(old, "song_id", [F.coalesce("views", F.lit(-1)).desc(), F.col("ord").asc()], 3)
     packed = catalog.nest(kept, "song_id", "rank", ["id", "views"], "videos")
-    fresh = halves.where("ord >= half and embeddable").groupBy("id").agg(F.max("views").alias("views")).withColumn("embeddable", F.lit(True))
+    fresh = v.where((F.col("ord") >= half) & F.col("embeddable")).groupBy("id").agg(F.max("views").alias("views")).withColumn("embeddable", F.lit(True))
     done = catalog.refreshed(packed, "song_id", "videos", fresh).where("size(videos) > 0")
     views = F.aggregate("videos", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["views"], F.lit(0)))
     return done.select("song_id", F.array_join(F.transform("videos", lambda x: x["id"]), ",").alias("ids"), views.alias("views"))

@@ -26,7 +26,6 @@ LOOK_ALIKE = {
 DRAWN_AS_ONE = {
     "অা": "আ",
     "ব়": "র",
-    "ৰ": "র",
     "ো": "ো",
     "ৌ": "ৌ",
 }

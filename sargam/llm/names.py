@@ -243,7 +243,7 @@ def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons:
     )
     words = cut_lineage(tokens.where("word <> ','").select("word").distinct().select("word", _keys("word").alias("k")).select("word", "k.*").where("key <> ''"))
     entries = cut_lineage(name_entries(persons, name, spellings))
-    n_persons = entries.select(F.countDistinct("singer").alias("n_persons"))
+    n_persons = entries.select(F.countDistinct("singer")).first()[0]  # one number
     weights = (
         entries.where("kind in ('given', 'surname')")
         .groupBy("kind", "key")
@@ -251,9 +251,8 @@ def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons:
         .select("kind", "df", F.explode("who").alias("singer"))
         .groupBy("singer", "kind")
         .agg(F.max("df").alias("df"))
-        .crossJoin(F.broadcast(n_persons))  # one row
         .groupBy("singer")
-        .agg(*[F.max(F.when(F.col("kind") == k, F.log(1 + F.col("n_persons") / F.col("df")))).alias(f"w_{k}") for k in ("given", "surname")])
+        .agg(*[F.max(F.when(F.col("kind") == k, F.log(1 + n_persons / F.col("df")))).alias(f"w_{k}") for k in ("given", "surname")])
     )
     alike = cut_lineage(similar_words(words, entries))
     hits = cut_lineage(tokens.join(alike, "word"))

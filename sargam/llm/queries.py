@@ -84,8 +84,48 @@ WITH best AS (
 """
 
 
+def _raag_oracle(k: int = 2) -> str:
+    """The mapping by comparing every value with every entry: what the segment join must not lose."""
+    from .canonical import LATIN_FOLDS, MARKER_WORDS
+
+    markers = ", ".join(f"'{w}'" for w in MARKER_WORDS)
+    letters = "".join(chr(c) for c in range(0x980, 0x9E4))
+    # DuckDB's levenshtein counts bytes; native letters are compared as single-byte ones.
+    single = "".join(chr(33 + i) if chr(33 + i) != "'" else "~" for i in range(94)) + "abcdef"
+
+    def folded(c: str) -> str:
+        for pattern, to in LATIN_FOLDS:
+            if "\\1" in pattern:
+                c = f"list_reduce(string_split({c}, ''), lambda a, x: CASE WHEN right(a, 1) = x THEN a ELSE a || x END)"
+            else:
+                c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+        return f"coalesce({c}, '')"
+
+    def dotted(c: str) -> str:
+        for one, base in ((0x9DC, 0x9A1), (0x9DD, 0x9A2), (0x9DF, 0x9AF)):
+            c = f"replace({c}, chr({one}), chr({base}) || chr({0x9BC}))"
+        return c
+
+    def forms(latin: str, native: str) -> str:
+        return f"regexp_replace({latin}, '[^a-z]+', '', 'g') AS plain, {folded(latin)} AS folded, translate(regexp_replace({native}, '[^\\x{{0980}}-\\x{{09FF}}]+', '', 'g'), '{letters}', '{single}') AS native"
+
+    def errors(kind: str, less: int) -> str:
+        return f"CASE WHEN length(q.{kind}) >= 3 AND length(r.{kind}) >= 3 AND levenshtein(q.{kind}, r.{kind}) <= least({k}, greatest(1, (length(r.{kind}) - 1) // 2 - {less})) THEN levenshtein(q.{kind}, r.{kind}) ELSE {k + 1} END"
+
+    return f"""
+    WITH typed AS (SELECT 'raag_full' AS field, id, raag_full AS v FROM songs_base WHERE raag_full IS NOT NULL UNION ALL SELECT 'raag', id, raag FROM songs WHERE raag IS NOT NULL),
+    named AS (SELECT v, list_filter(list_transform(string_split_regex({dotted('lower(v)')}, '[/,&();+|–—-]|\\s(?:with|and|or)\\s|এবং'), lambda s: array_to_string(list_filter(string_split_regex(s, '[^a-z\\x{{0980}}-\\x{{09FF}}]+'),
+      lambda w: w <> '' AND NOT list_contains([{markers}], w)), '')), lambda s: s <> '')[1] AS name FROM (SELECT DISTINCT v FROM typed)),
+    q AS (SELECT v, {forms('name', 'name')} FROM named WHERE name IS NOT NULL),
+    r AS (SELECT ord, name, {forms('lower(name)', dotted("coalesce(name_bn, '')"))} FROM raags WHERE name IS NOT NULL),
+    e AS (SELECT q.v, r.ord, r.name, least({errors('plain', 0)}, {errors('native', 0)}) AS t, {errors('folded', 1)} AS f FROM q, r),
+    b AS (SELECT v, name FROM e WHERE least(t, f) <= {k} QUALIFY row_number() OVER (PARTITION BY v ORDER BY t + f, t, ord) = 1)
+    SELECT field, id, coalesce(b.name, 'unmatched') AS raag FROM typed LEFT JOIN b ON typed.v = b.v"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _raag_oracle(),
         "p1_found": _TOP_3 + "SELECT song_id, video_id FROM placed WHERE position <= 3",
         "p1_positions": _TOP_3 + "SELECT song_id, video_id, views, position FROM placed WHERE position <= 3",
     }

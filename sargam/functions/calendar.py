@@ -47,21 +47,22 @@ def regional_date(c: Column | str, compat: bool = False) -> Column:
     count, and those days fall to Chaitra of the year before, as an older reading had it.
     """
     d = _date(c)
-    year = F.year(d)
-    starts = []
-    for back in (0, 1):
-        for name, month, day in MONTHS:
-            start = F.make_date(year - back, F.lit(month), F.lit(day))
-            if compat and back and name != "Chaitra":
-                continue
-            starts.append(F.struct(start.alias("start"), F.lit(name).alias("name")))
-    latest = F.array_max(F.filter(F.array(*starts), lambda s: s["start"] <= d))
+    year, md = F.year(d), month_day(d)
+    name = start = None
+    for month_name, month, day in sorted(MONTHS, key=lambda m: -(m[1] * 100 + m[2])):
+        begins = F.make_date(year, F.lit(month), F.lit(day))
+        hit = md >= month * 100 + day
+        name = F.when(hit, month_name) if name is None else name.when(hit, month_name)
+        start = F.when(hit, begins) if start is None else start.when(hit, begins)
+    # before the first start of the year the last one of the year before holds
+    last_name, last_month, last_day = ("Chaitra", 3, 15) if compat else max(MONTHS, key=lambda m: m[1] * 100 + m[2])
+    start = start.otherwise(F.make_date(year - 1, F.lit(last_month), F.lit(last_day)))
     return F.when(
         d.isNotNull(),
         F.struct(
-            (F.datediff(d, latest["start"]) + 1).alias("day"),
-            latest["name"].alias("month"),
-            (year - F.when(month_day(d) >= 414, 593).otherwise(594)).alias("year"),
+            (F.datediff(d, start) + 1).alias("day"),
+            name.otherwise(last_name).alias("month"),
+            (year - F.when(md >= 414, 593).otherwise(594)).alias("year"),
         ),
     )
 

@@ -18,9 +18,9 @@ def dictionary_hits(df: DataFrame, ident: str, hay: list[str], dictionary: DataF
 
     The dictionary is a short list by contract; it is compared in a broadcast nested loop, since 'contains' has no key.
     """
-    words = dictionary.select(F.col(name).alias("__name"), F.col(ord_col).alias("__ord"), F.explode(spellings).alias("__w")).where("__w <> ''")
+    words = dictionary.select(F.col(name).alias("__name"), F.col(ord_col).alias("__ord"), F.explode(spellings).alias("__w")).where("__w <> ''").withColumn("__w", F.lower("__w"))
     text = df.select(ident, F.lower(F.concat_ws(" ", *hay)).alias("__t"))
-    hits = text.join(F.broadcast(words), F.expr("contains(__t, lower(__w))")).select(ident, "__ord", "__name").distinct()
+    hits = text.join(F.broadcast(words), F.expr("contains(__t, __w)")).select(ident, "__ord", "__name").distinct()
     return hits.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("__ord", "__name"))), lambda s: s["__name"]).alias("names"))
 
 

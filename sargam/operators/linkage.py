@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,21 +41,38 @@ def resolved_claims(matches: DataFrame) -> DataFrame:
     return matches.withColumn("__r", F.row_number().over(w)).where((F.col("__r") == 1) | (F.col("sim") >= CLAIM_MIN)).drop("__r")
 
 
-def fuzzy_candidates(a: DataFrame, b: DataFrame, least: float = FUZZY_MIN, least_letters: int = 5) -> DataFrame:
-    """(a_ord, b_ord, sim) of rows (ord, skeleton) whose first letters agree by ``least``.
+def _common_least(n: int, least: float) -> int:
+    """Least number of common letters that two texts of n letters need for a ratio of ``least``, reckoned as the scorer does."""
+    return next(m for m in range(n + 1) if 2.0 * m / (2 * n) >= least or m == n)
 
-    Two openings of n letters with similarity s share a block; candidates share one of the letter pairs of their first 12
-    letters at most two places apart, by an equi-join, and the similarity is worked out for distinct candidates only.
-    """
-    def grams(df: DataFrame, name: str, shifts: bool) -> DataFrame:
-        opening = F.left("skeleton", F.lit(12))
-        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(opening) - 2, F.lit(1))), lambda i: F.struct(i.alias("at"), opening.substr(i, F.lit(3)).alias("g")))
-        rows = df.where(F.length("skeleton") >= least_letters).select(F.col("ord").alias(name), F.explode(pieces).alias("p")).select(name, "p.at", "p.g")
-        return rows.select(name, F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)).alias("at"), "g") if shifts else rows
 
-    pairs = grams(a, "a_ord", True).join(grams(b, "b_ord", False), ["at", "g"]).select("a_ord", "b_ord").distinct()
+def fuzzy_candidates(a: DataFrame, b: DataFrame, least: float = FUZZY_MIN, least_letters: int = 5, most: int = 12) -> DataFrame:
+    """(a_ord, b_ord, sim) of rows (ord, skeleton) whose first letters agree by ``least``; none is missed.
+
+    The compared length n is the shorter one, ``most`` at most, and a ratio of ``least`` needs m common letters in order. Two such
+    openings are equal once each lacks the right n - m letters, so candidates come from an equi-join on n and the rests.
+    One side has exactly n letters (or both have ``most`` or more): only its own n is joined to every n of the other. The
+    rests of an opening number n over n - m, which suits thresholds from about 0.75 on. Both sides are cut first: else the
+    planner would work out the skeleton anew for each rest.
+    """
+    a, b = (cut_lineage(df.where(F.length("skeleton") >= least_letters).select("ord", "skeleton")) for df in (a, b))
+
+    gone = {n: n - _common_least(n, least) for n in range(least_letters, most + 1)}
+    places = max(gone.values())
+    cuts = [(n, *c, *[n + 1] * (places - g)) for n, g in gone.items() for c in combinations(range(1, n + 1), g)]
+    table = F.broadcast(a.sparkSession.createDataFrame(cuts, ", ".join(["n int", *(f"c{k} int" for k in range(places))])))  # some hundred rows, however many texts
+
+    def rests(df: DataFrame, name: str, exact: bool) -> DataFrame:
+        length = F.least(F.length("skeleton"), F.lit(most))
+        at = [F.lit(0), *(F.col(f"c{k}") for k in range(places)), F.col("n") + 1]
+        rest = F.concat(*[F.col("skeleton").substr(x + 1, y - x - 1) for x, y in zip(at, at[1:])])
+        return df.join(table, (F.col("n") == length) if exact else (F.col("n") <= length)).select(F.col("ord").alias(name), "n", rest.alias("v")).distinct()
+
+    one = rests(a, "a_ord", True).join(rests(b, "b_ord", False), ["n", "v"])
+    other = rests(a, "a_ord", False).join(rests(b, "b_ord", True), ["n", "v"])
+    pairs = one.select("a_ord", "b_ord").union(other.select("a_ord", "b_ord")).distinct()
     full = pairs.join(a.select(F.col("ord").alias("a_ord"), F.col("skeleton").alias("x")), "a_ord").join(b.select(F.col("ord").alias("b_ord"), F.col("skeleton").alias("y")), "b_ord")
-    return full.withColumn("sim", opening_udf(least=least_letters)("y", "x")).where(F.col("sim") >= least).select("a_ord", "b_ord", "sim")
+    return full.withColumn("sim", opening_udf(least=least_letters, most=most)("y", "x")).where(F.col("sim") >= least).select("a_ord", "b_ord", "sim")
 
 
 def greedy_assignment(candidates: DataFrame, rounds: int = 100) -> DataFrame:

@@ -188,6 +188,25 @@ def test_fuzzy_candidates_find_what_all_pairs_find(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("least", [0.8, 0.85])
+def test_fuzzy_candidates_find_all_at_the_thresholds_in_use(spark, least):
+    rng = random.Random(4)
+    letters = "kgncjt"
+
+    def edited(w):
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(w))
+            w = rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice(letters) + w[k:], w[:k] + rng.choice(letters) + w[k + 1 :]])
+        return w
+
+    words = ["rkntk", *("".join(rng.choice(letters) for _ in range(rng.randrange(4, 17))) for _ in range(150))]
+    changed = ["rkjtk", *(edited(w) for w in words[1:])]
+    a, b = spark.createDataFrame(list(enumerate(words)), "ord int, skeleton string"), spark.createDataFrame(list(enumerate(changed)), "ord int, skeleton string")
+    got = rows(linkage.fuzzy_candidates(a, b, least), "a_ord", "b_ord")
+    want = sorted((i, j) for i, x in enumerate(words) for j, y in enumerate(changed) if opening_similarity(y, x, least=5) >= least)
+    assert got == want and len(got) > 40 and ((0, 0) in got) == (least == 0.8)
+
+
 def test_claims_and_clusters(spark):
     m = spark.createDataFrame([(1, 1, 0.6), (2, 1, 0.95), (3, 1, 0.92), (4, 2, 0.5)], "a_ord int, b_ord int, sim double")
     assert rows(linkage.resolved_claims(m), "a_ord") == [(2,), (3,), (4,)]

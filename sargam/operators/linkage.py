@@ -14,6 +14,7 @@ from ..session import cut_lineage
 
 # Least title similarity of a number match (windowed), of a second claim, of a fuzzy match, of opening lines, and of twins.
 NUMBER_MIN, NUMBER_WINDOW_MIN, CLAIM_MIN, FUZZY_MIN, LINE_MIN, RELINK_MIN, TWIN_MIN = 0.5, 0.8, 0.9, 0.8, 0.75, 0.85, 0.95
+LINE_LETTERS = 30
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -94,20 +95,53 @@ def greedy_assignment(candidates: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"no stable assignment after {rounds} rounds")
 
 
+def line_skeletons(native: Column | str, latin: Column | str) -> tuple[Column, Column]:
+    """The first 30 skeleton letters of the opening two lines of native and of romanised text, without sounds that only one of them writes."""
+    def two_lines(c: Column | str) -> Column:
+        return F.array_join(F.slice(F.split(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), "\n"), 1, 2), " ")
+
+    silent = two_lines(native)
+    for a, b in (("্য", ""), ("্ব", ""), ("ঙ্গ", "ঙ")):
+        silent = F.replace(silent, F.lit(a), F.lit(b))
+    latin = F.regexp_replace(two_lines(F.trim(F.col(latin) if isinstance(latin, str) else latin, F.lit(" \n\r\t"))), "(?i)w", "")
+    return F.left(X.skeleton_native(silent, "pipeline"), F.lit(LINE_LETTERS)), F.left(X.skeleton_latin(latin), F.lit(LINE_LETTERS))
+
+
+def line_candidates(a: DataFrame, b: DataFrame, least: float = RELINK_MIN, least_letters: int = 6) -> DataFrame:
+    """(a_ord, b_ord, sim) of rows (ord, skeleton) of ``line_skeletons`` with a block overlap of ``least``; none is missed.
+
+    Of n compared letters at most e = n - least * n are unmatched on either side, so one of any 2 e + 1 pieces of a's opening
+    stands unbroken in b's, at most e places away: the key of the equi-join is n's e, the piece and its place. At most 2 e edits
+    lead from one opening to the other, which the built-in levenshtein tests before the score is worked out.
+    """
+    a, b = (cut_lineage(df.where(F.length("skeleton") >= least_letters).select("ord", "skeleton")) for df in (a, b))
+    gone = {n: n - next(m for m in range(n + 1) if m / n >= least) for n in range(least_letters, LINE_LETTERS + 1)}
+    # Every n of one e is cut into the same pieces, those of the least n: letters after them are left to the score.
+    pieces = {e: [(k * n // (2 * e + 1), (k + 1) * n // (2 * e + 1)) for k in range(2 * e + 1)] for e in set(gone.values()) for n in [min(m for m in gone if gone[m] == e)]}
+    least_of, most_of = ({e: f(m for m in gone if gone[m] == e) for e in pieces} for f in (min, max))
+
+    def keyed(df: DataFrame, name: str, shifted: bool, shorter: bool) -> DataFrame:
+        keys = [
+            F.when(F.length("skeleton").between(least_of[e], most_of[e] if shorter else LINE_LETTERS), F.struct(F.lit(e).alias("e"), F.lit(k).alias("k"), F.col("skeleton").substr(at + 1, to - at).alias("g")))
+            for e, cut in pieces.items() for k, (start, end) in enumerate(cut) for shift in (range(-e, e + 1) if shifted else (0,)) for at, to in [(start + shift, end + shift)] if at >= 0
+        ]
+        return df.select(F.col("ord").alias(name), "skeleton", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("p")).select(name, F.col("skeleton").alias("x" if name == "a_ord" else "y"), "p.e", "p.k", "p.g")
+
+    n = F.least(F.length("x"), F.length("y"), F.lit(LINE_LETTERS))
+    allowed = F.element_at(F.create_map(*[F.lit(v) for item in gone.items() for v in item]), n)
+    # The shorter opening sets n, so it needs the pieces of its own e only.
+    met = [keyed(a, "a_ord", False, first).join(keyed(b, "b_ord", True, not first), ["e", "k", "g"]).select("a_ord", "b_ord", "x", "y", "e") for first in (True, False)]
+    near = met[0].union(met[1]).where((allowed == F.col("e")) & (F.levenshtein(F.substring("x", F.lit(1), n), F.substring("y", F.lit(1), n)) <= 2 * F.col("e")))
+    pairs = near.select("a_ord", "b_ord", "x", "y").distinct()
+    return pairs.withColumn("sim", block_overlap_udf("y", "x")).where(F.col("sim") >= least).select("a_ord", "b_ord", "sim")
+
+
 def checked_links(links: DataFrame, compat: bool = False) -> DataFrame:
     """Adds line_sim and doubtful to links with native and translit texts: opening lines that agree by less than ``LINE_MIN``.
 
     Links without a comparable text are not doubtful. With ``compat`` a similarity of exactly 0 counts as none.
     """
-    def two_lines(c: str) -> Column:
-        return F.array_join(F.slice(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), 1, 2), " ")
-
-    silent = two_lines("native")
-    for a, b in (("্য", ""), ("্ব", ""), ("ঙ্গ", "ঙ")):
-        silent = F.replace(silent, F.lit(a), F.lit(b))
-    bn = X.skeleton_native(silent, "pipeline")
-    en = X.skeleton_latin(F.regexp_replace(two_lines("translit"), "(?i)w", ""))
-    scored = links.withColumn("line_sim", block_overlap_udf(bn, en))
+    scored = links.withColumn("line_sim", block_overlap_udf(*line_skeletons("native", "translit")))
     sim = F.when(F.col("line_sim") == 0, 1.0).otherwise(F.coalesce("line_sim", F.lit(1.0))) if compat else F.coalesce("line_sim", F.lit(1.0))
     return scored.withColumn("doubtful", sim < LINE_MIN)
 
@@ -167,10 +201,9 @@ def link(a: DataFrame, b: DataFrame) -> DataFrame:
     rescue = number.where("verdict = 'reject'").join(held.select("b_ord"), "b_ord", "left_anti").join(held.select("a_ord"), "a_ord", "left_anti")
     rescue = last_per_key(rescue.withColumn("o", -F.col("a_ord")), ["b_ord"], "o").select("a_ord", "b_ord", "sim", F.lit("rescued").alias("decision"))
     held = cut_lineage(held.unionByName(rescue))
-    two = lambda c: F.array_join(F.slice(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), 1, 2), " ")
-    lines_a = a.select("ord", X.skeleton_latin(two("translit")).alias("skeleton"))
-    lines_b = b.select("ord", X.skeleton_native(two("lyrics"), "pipeline").alias("skeleton"))
-    lines = greedy_assignment(fuzzy_candidates(free(lines_a, held, "a_ord"), free(lines_b, held, "b_ord"), RELINK_MIN, 6))
+    native, latin = line_skeletons("lyrics", "translit")
+    lines_a, lines_b = a.select("ord", latin.alias("skeleton")), b.select("ord", native.alias("skeleton"))
+    lines = greedy_assignment(line_candidates(free(lines_a, held, "a_ord"), free(lines_b, held, "b_ord")))
     held = held.unionByName(lines.withColumn("decision", F.lit("lines")))
     return a.select(F.col("ord").alias("a_ord")).join(held, "a_ord", "left").select("a_ord", "b_ord", F.coalesce("decision", F.lit("none")).alias("decision"), "sim")
 

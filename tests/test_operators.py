@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sargam.functions.similarity import opening_similarity
+from sargam.functions.similarity import block_overlap, opening_similarity
 from sargam.operators import catalog, facets, lexicon, linkage, ranking, search, state, vectors
 
 
@@ -207,6 +207,34 @@ def test_fuzzy_candidates_find_all_at_the_thresholds_in_use(spark, least):
     assert got == want and len(got) > 40 and ((0, 0) in got) == (least == 0.8)
 
 
+def test_line_candidates_find_what_all_pairs_find(spark):
+    rng = random.Random(5)
+    letters = "kgncjt"
+
+    def edited(w):
+        for _ in range(rng.randrange(0, 9)):
+            k = rng.randrange(len(w))
+            w = rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice(letters) + w[k:], w[:k] + rng.choice(letters) + w[k + 1 :]])
+        return w
+
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(16, 40) if k % 2 else rng.randrange(9, 20))) for k in range(160)]
+    changed = [edited(w)[:30] for w in words]
+    words = [w[:30] for w in words]
+    a, b = spark.createDataFrame(list(enumerate(words)), "ord int, skeleton string"), spark.createDataFrame(list(enumerate(changed)), "ord int, skeleton string")
+    got = rows(linkage.line_candidates(a, b), "a_ord", "b_ord")
+    want = sorted((i, j) for i, x in enumerate(words) for j, y in enumerate(changed) if (block_overlap(y, x) or 0) >= 0.85)
+    assert got == want and len(got) > 30
+
+
+def test_opening_lines_link_by_thirty_letters(spark):
+    one, two, three = "kamala gadapa nabima tarasa", "karoda silapa bajama", "kamala gadapa nabima tarasa\nbajama tasala kogara"
+    a = spark.createDataFrame([(1, None, None, "", f"{one}\n{two}"), (2, None, None, "", f"{two}\n{one}")], "ord int, section string, number int, latin string, translit string")
+    native = lambda t: t.translate(str.maketrans("kmlgdpnbrsjt", "কমলগদপনবরসজত"))
+    b = spark.createDataFrame([(7, None, None, "", native(three)), (8, None, None, "", native(f"{two}\n{one}"))], "ord int, section string, number int, native string, lyrics string")
+    got = {r["a_ord"]: (r["b_ord"], r["decision"]) for r in linkage.link(a, b).where("a_ord is not null").collect()}
+    assert got == {1: (None, "none"), 2: (8, "lines")}
+
+
 def test_claims_and_clusters(spark):
     m = spark.createDataFrame([(1, 1, 0.6), (2, 1, 0.95), (3, 1, 0.92), (4, 2, 0.5)], "a_ord int, b_ord int, sim double")
     assert rows(linkage.resolved_claims(m), "a_ord") == [(2,), (3,), (4,)]

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.similarity import block_overlap_udf, opening_udf
+from ..functions.similarity import block_overlap, block_overlap_udf, opening_udf
 from ..session import cut_lineage
 
 # Least title similarity of a number match (windowed), of a second claim, of a fuzzy match, of opening lines, and of twins.
@@ -77,20 +78,20 @@ def fuzzy_candidates(a: DataFrame, b: DataFrame, least: float = FUZZY_MIN, least
 
 
 def greedy_assignment(candidates: DataFrame, rounds: int = 100) -> DataFrame:
-    """(a_ord, b_ord, sim): each a in order takes the free b most similar to it, the first of equals.
+    """(a_ord, b_ord, sim): each a in order takes the free b most similar to it, the first of equals (by a column place, if any, before b_ord).
 
     All b prefer the lowest a, so the serial rule equals deferred acceptance (Gale and Shapley 1962): every free a
     proposes to its best b that has not refused it; each b keeps the lowest a and refuses the rest. Rounds are grouped
     joins; the state is cut each round.
     """
-    left = cut_lineage(candidates.select("a_ord", "b_ord", "sim"))
+    left = cut_lineage(candidates.select("a_ord", "b_ord", "sim", (F.col("place") if "place" in candidates.columns else F.lit(0)).alias("place")))
     for _ in range(rounds):
-        proposal = left.withColumn("__r", F.row_number().over(Window.partitionBy("a_ord").orderBy(F.col("sim").desc(), "b_ord"))).where("__r = 1").drop("__r")
+        proposal = left.withColumn("__r", F.row_number().over(Window.partitionBy("a_ord").orderBy(F.col("sim").desc(), "place", "b_ord"))).where("__r = 1").drop("__r")
         kept = proposal.groupBy("b_ord").agg(F.min("a_ord").alias("keeper"))
         refused = proposal.join(kept, "b_ord").where("a_ord <> keeper").select("a_ord", "b_ord")
         after = cut_lineage(left.join(refused, ["a_ord", "b_ord"], "left_anti"))
         if refused.isEmpty():
-            return proposal
+            return proposal.drop("place")
         left = after
     raise RuntimeError(f"no stable assignment after {rounds} rounds")
 
@@ -146,21 +147,65 @@ def checked_links(links: DataFrame, compat: bool = False) -> DataFrame:
     return scored.withColumn("doubtful", sim < LINE_MIN)
 
 
-def relinked(doubtful: DataFrame, free: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a_ord, b_ord, sim) for doubtful links: the free b whose opening lines agree best, from ``RELINK_MIN`` on, one to one.
+def relinked(held: DataFrame, lines_a: DataFrame, lines_b: DataFrame) -> DataFrame:
+    """(a_ord, b_ord, sim, decision, freed) for each link (a_ord, b_ord) whose opening lines agree by less than ``LINE_MIN``.
 
-    ``lines`` holds candidate (a_ord, b_ord, sim) scores, e.g. of ``fuzzy_candidates`` over line skeletons; links without such
-    a b are given up by the caller.
+    In the order of a, such an a turns to the b whose lines (ord, skeleton) agree best with its own, from ``RELINK_MIN`` on, the first of
+    equals: it takes it if no a holds it, swaps with its first holder where that one's own lines agree by less than ``LINE_MIN``, and
+    else gives its link up, as where there is no such b. decision is relinked, swapped or none; freed is the b it gave up.
+    What an a does depends on those before it, so one task goes through the doubtful links; it gets their letters, no texts.
     """
-    open_pairs = lines.where(F.col("sim") >= RELINK_MIN).join(doubtful.select("a_ord"), "a_ord", "left_semi").join(free.select("b_ord"), "b_ord", "left_semi")
-    return greedy_assignment(open_pairs)
+    x, y = lines_a.select(F.col("ord").alias("a_ord"), F.col("skeleton").alias("x")), lines_b.select(F.col("ord").alias("b_ord"), F.col("skeleton").alias("y"))
+    scored = held.select("a_ord", "b_ord").join(x, "a_ord").join(y, "b_ord").withColumn("now", block_overlap_udf("y", "x"))
+    doubtful = cut_lineage(scored.where(F.col("now") < LINE_MIN).select("a_ord", "b_ord", "x", "y"))
+    found = line_candidates(doubtful.select(F.col("a_ord").alias("ord"), F.col("x").alias("skeleton")), lines_b)
+    best = found.groupBy("a_ord").agg(F.max_by("b_ord", F.struct("sim", -F.col("b_ord"))).alias("best")).join(y.select(F.col("b_ord").alias("best"), F.col("y").alias("best_y")), "best")
+    steady = held.join(doubtful.select("a_ord"), "a_ord", "left_anti").groupBy(F.col("b_ord").alias("best")).agg(F.min("a_ord").alias("holder"))
+    work = doubtful.join(best, "a_ord", "left").join(steady, "best", "left").select(F.col("a_ord").cast("bigint"), F.col("b_ord").cast("bigint"), "x", "y", F.col("best").cast("bigint"), "best_y", F.col("holder").cast("bigint"))
+
+    def go(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(frame.astype(object).where(frame.notna(), None).itertuples(index=False), key=lambda r: r.a_ord)
+        own, letters = {r.a_ord: r.x for r in rows}, {r.b_ord: r.y for r in rows} | {r.best: r.best_y for r in rows if r.best is not None}
+        holds, holders, how, freed = {r.a_ord: r.b_ord for r in rows}, {}, {}, {}
+        for r in rows:
+            holders.setdefault(r.b_ord, set()).add(r.a_ord)
+
+        def move(a: int, b: int | None, decision: str) -> None:
+            holders[holds[a]].discard(a)
+            if b is not None:
+                holders.setdefault(b, set()).add(a)
+            holds[a], how[a] = b, decision
+
+        def sim(a: int) -> float | None:
+            return None if holds[a] is None else block_overlap(letters[holds[a]], own[a])
+
+        for r in rows:
+            now, old = sim(r.a_ord), holds[r.a_ord]
+            if now is None or now >= LINE_MIN:
+                continue
+            owner = None if r.best is None else min([*holders.get(r.best, ()), *([] if r.holder is None else [r.holder])], default=None)
+            theirs = sim(owner) if owner in own else None
+            if r.best is not None and owner is None:
+                move(r.a_ord, r.best, "relinked")
+                freed[r.a_ord] = old
+            elif owner is not None and theirs is not None and theirs < LINE_MIN:
+                move(owner, old, "swapped")
+                move(r.a_ord, r.best, "swapped")
+            else:
+                move(r.a_ord, None, "none")
+                freed[r.a_ord] = old
+        out = [(a, b, None if b is None else sim(a), how.get(a), freed.get(a)) for a, b in holds.items()]
+        return pd.DataFrame(out, columns=["a_ord", "b_ord", "sim", "decision", "freed"]).astype({"a_ord": "int64", "b_ord": "Int64", "sim": "float64", "freed": "Int64"})
+
+    return work.groupBy(F.lit(0).alias("all")).applyInPandas(lambda f: go(f.drop(columns="all", errors="ignore")), "a_ord bigint, b_ord bigint, sim double, decision string, freed bigint")
 
 
 def twins(free: DataFrame, taken: DataFrame) -> DataFrame:
-    """(b_ord, twin) of free b rows (ord, skeleton) that equal a taken one: 12 letters alike and openings by ``TWIN_MIN``."""
+    """(b_ord, twin) of free b rows (ord, skeleton) that equal a linked pair (ord, skeleton, other): 12 letters as its b has, and ``TWIN_MIN``
+    likeness with the opening of its a's title, ``other``, over 8 letters at least."""
     f = free.select(F.col("ord").alias("b_ord"), F.col("skeleton").alias("x"), F.left("skeleton", F.lit(12)).alias("k"))
-    t = taken.select(F.col("ord").alias("twin"), F.col("skeleton").alias("y"), F.left("skeleton", F.lit(12)).alias("k"))
-    pairs = f.join(t, "k").withColumn("sim", opening_udf()("x", "y")).where(F.col("sim") >= TWIN_MIN)
+    t = taken.select(F.col("ord").alias("twin"), F.col("other").alias("y"), F.left("skeleton", F.lit(12)).alias("k"))
+    pairs = f.join(t, "k").withColumn("sim", opening_udf(least=8)("x", "y")).where(F.col("sim") >= TWIN_MIN)
     return pairs.groupBy("b_ord").agg(F.min("twin").alias("twin"))
 
 
@@ -183,10 +228,12 @@ def best_in_block(queries: DataFrame, lines: DataFrame, least: float = LINE_MIN,
 
 
 def link(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_ord, b_ord, decision, sim) for every row of a (ord, section, number, latin, translit) against b (ord, section, number, native, lyrics).
+    """(a_ord, b_ord, decision, sim) for every row of a (ord, section, number, latin, translit) and every b (ord, section, number, native, lyrics) left.
 
     Passes: number matches with the title check, claims, fuzzy titles among free rows, rejected number matches whose b stayed free,
-    opening lines among what is still free. decision is number, fuzzy, rescued, lines or none.
+    links whose lines disagree, opening lines among what is still free, then what is left of b. decision is number, fuzzy, rescued,
+    relinked, swapped, lines or none; of a b without an a: twin (of a linked one), repeat (of an opening seen) or second. A b is
+    free when no a holds it; those given up stand last among equals.
     """
     number = cut_lineage(verified_number_matches(a, b))
     held = cut_lineage(resolved_claims(number.where("verdict = 'match'")).select("a_ord", "b_ord", "sim", F.lit("number").alias("decision")))
@@ -203,9 +250,20 @@ def link(a: DataFrame, b: DataFrame) -> DataFrame:
     held = cut_lineage(held.unionByName(rescue))
     native, latin = line_skeletons("lyrics", "translit")
     lines_a, lines_b = a.select("ord", latin.alias("skeleton")), b.select("ord", native.alias("skeleton"))
-    lines = greedy_assignment(line_candidates(free(lines_a, held, "a_ord"), free(lines_b, held, "b_ord")))
-    held = held.unionByName(lines.withColumn("decision", F.lit("lines")))
-    return a.select(F.col("ord").alias("a_ord")).join(held, "a_ord", "left").select("a_ord", "b_ord", F.coalesce("decision", F.lit("none")).alias("decision"), "sim")
+    moved = cut_lineage(relinked(held, lines_a, lines_b))
+    changed = moved.where("decision is not null")
+    held = cut_lineage(held.join(changed, "a_ord", "left_anti").unionByName(changed.where("b_ord is not null").select("a_ord", "b_ord", "sim", "decision")))
+    place = changed.where("freed is not null").groupBy(F.col("freed").alias("b_ord")).agg(F.max("a_ord").alias("place"))
+    open_pairs = line_candidates(free(lines_a, held, "a_ord"), free(lines_b, held, "b_ord")).join(place, "b_ord", "left").withColumn("place", F.coalesce("place", F.lit(-1)))
+    held = cut_lineage(held.unionByName(greedy_assignment(open_pairs).withColumn("decision", F.lit("lines"))))
+    linked = held.select("a_ord", F.col("b_ord").alias("ord")).join(titles_b, "ord").join(titles_a.select(F.col("ord").alias("a_ord"), F.col("skeleton").alias("other")), "a_ord")
+    rest = cut_lineage(free(titles_b, held, "b_ord"))
+    twin = cut_lineage(twins(rest, linked).select("b_ord"))
+    second = cut_lineage(only_in_second(rest, twin, linked).select(F.col("ord").alias("b_ord")))
+    left = rest.select(F.col("ord").alias("b_ord")).join(twin.withColumn("twin", F.lit(True)), "b_ord", "left").join(second.withColumn("new", F.lit(True)), "b_ord", "left")
+    decision = F.when(F.col("twin"), "twin").when(F.col("new"), "second").otherwise("repeat")
+    of_a = a.select(F.col("ord").alias("a_ord")).join(held, "a_ord", "left").select("a_ord", "b_ord", F.coalesce("decision", F.lit("none")).alias("decision"), "sim")
+    return of_a.unionByName(left.select("b_ord", decision.alias("decision")), allowMissingColumns=True)
 
 
 def clusters(rows: DataFrame, ident: str, order: str, right: str, key: str, rounds: int = 30) -> DataFrame:

@@ -235,6 +235,28 @@ def test_opening_lines_link_by_thirty_letters(spark):
     assert got == {1: (None, "none"), 2: (8, "lines")}
 
 
+def test_links_whose_lines_disagree_are_swapped_moved_or_given_up(spark):
+    one, two, three, four = "kgncjtdrpbml", "sptmklbcrjgd", "bmrdtjkpslcn", "ltsgpkmdbjrc"
+    held = spark.createDataFrame([(1, 11), (2, 12), (3, 13), (4, 14), (5, 15)], "a_ord bigint, b_ord bigint")
+    la = spark.createDataFrame([(1, one), (2, two), (3, three), (4, "gggggggg"), (5, "")], "ord bigint, skeleton string")
+    lb = spark.createDataFrame([(11, two), (12, one), (13, four), (14, four), (15, four), (16, three)], "ord bigint, skeleton string")
+    got = rows(linkage.relinked(held, la, lb), "a_ord", "b_ord", "decision", "freed")
+    assert got == [(1, 12, "swapped", None), (2, 11, "swapped", None), (3, 16, "relinked", 13), (4, None, "none", 14)]
+    steady = spark.createDataFrame([(1, 12), (2, 11), (3, 13)], "a_ord bigint, b_ord bigint")
+    same = spark.createDataFrame([(1, one), (2, two), (3, two)], "ord bigint, skeleton string")
+    assert rows(linkage.relinked(steady, same, lb), "a_ord", "b_ord", "decision", "freed") == [(3, None, "none", 13)]
+
+
+def test_link_verifies_lines_and_reports_what_is_left(spark):
+    native = lambda t: t.translate(str.maketrans("kmlgdpnbrsjt", "কমলগদপনবরসজত"))
+    title, one, two = "kamalagadapanabima", "karodasilapabajama", "balagakapatanamada"
+    a = spark.createDataFrame([(1, "p", 1, title, one), (2, "p", 2, title, two)], "ord bigint, section string, number int, latin string, translit string")
+    b = [(7, "p", 1, title, two), (8, "p", 2, title, one), (9, None, None, title, ""), (10, None, None, "pasanalata", ""), (11, None, None, "pasanalata", "")]
+    b = spark.createDataFrame([(o, s, n, native(t), native(x)) for o, s, n, t, x in b], "ord bigint, section string, number int, native string, lyrics string")
+    got = linkage.link(a, b).select("a_ord", "b_ord", "decision").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 8, "swapped"), (2, 7, "swapped"), (None, 9, "twin"), (None, 10, "second"), (None, 11, "repeat")], key=str)
+
+
 def test_claims_and_clusters(spark):
     m = spark.createDataFrame([(1, 1, 0.6), (2, 1, 0.95), (3, 1, 0.92), (4, 2, 0.5)], "a_ord int, b_ord int, sim double")
     assert rows(linkage.resolved_claims(m), "a_ord") == [(2,), (3,), (4,)]

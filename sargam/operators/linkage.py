@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.similarity import block_overlap, block_overlap_udf, opening_udf
+from ..functions.similarity import block_overlap, block_overlap_udf, opening_udf, ratio_udf
 from ..session import cut_lineage
 
 # Least title similarity of a number match (windowed), of a second claim, of a fuzzy match, of opening lines, and of twins.
@@ -217,14 +217,25 @@ def only_in_second(b: DataFrame, matched: DataFrame, skeletons_seen: DataFrame)
 
 
 def best_in_block(queries: DataFrame, lines: DataFrame, least: float = LINE_MIN, letters: int = 14) -> DataFrame:
-    """(query, line, sim): for each query (ord, skeleton) the line (ord, skeleton) most like its opening, within lines of one first letter
-    and one shared letter triple; first of equals; from ``least`` on."""
-    q = queries.where(F.length("skeleton") >= 6).select(F.col("ord").alias("query"), F.left("skeleton", F.lit(letters)).alias("x"))
-    s = lines.where(F.length("skeleton") > 0).select(F.col("ord").alias("line"), F.left("skeleton", F.lit(letters)).alias("y"))
-    triples = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.concat(F.left(c, F.lit(1)), F.col(c).substr(i, F.lit(3)))))
-    pairs = q.select("query", "x", F.explode(triples("x")).alias("k")).join(s.select("line", "y", F.explode(triples("y")).alias("k")), "k").select("query", "line", "x", "y").distinct()
-    scored = pairs.withColumn("sim", opening_udf(most=letters)("y", "x")).where(F.col("sim") >= least)
-    return scored.groupBy("query").agg(F.max_by(F.struct("line", "sim"), F.struct("sim", -F.col("line"))).alias("b")).select("query", "b.line", "b.sim")
+    """(query, line, sim): for each query (ord, skeleton) of 6 letters or more the line (ord, skeleton) most like its opening, within the
+    lines of one first letter; first of equals; from ``least`` on.
+
+    The query's first ``letters`` letters are compared with as many of the line, or with all of a shorter one. Every pair of a block is
+    tried, once for each distinct opening: a ratio of ``least`` over t letters leaves (1 - least) t edits at most, which the length
+    and the built-in levenshtein test before the ratio is worked out. Lines of a letter are spread over ``parts``, so that no task has a whole block.
+    """
+    parts = 16
+    opening = F.left("skeleton", F.lit(letters))
+    q = cut_lineage(queries.where(F.length("skeleton") >= 6).select(F.col("ord").alias("query"), opening.alias("x")))
+    s = lines.where(F.length("skeleton") > 0).groupBy(opening.alias("y")).agg(F.min("ord").alias("line"))
+    asked = q.select("x").distinct().select("x", F.left("x", F.lit(1)).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    there = s.select("y", "line", F.left("y", F.lit(1)).alias("k"), F.pmod(F.hash("y"), F.lit(parts)).alias("part"))
+    piece = F.left("y", F.length("x"))
+    edits = F.floor((F.length("x") + F.least(F.length("x"), F.length("y"))) * (1 - least) + 1e-9).cast("int")
+    near = asked.join(there, ["k", "part"]).where((F.length("x") - F.length("y") <= edits) & (F.levenshtein(piece, F.col("x")) <= edits))
+    scored = near.withColumn("sim", ratio_udf(piece, F.col("x"))).where(F.col("sim") >= least)
+    best = scored.groupBy("x").agg(F.min_by(F.struct("line", "sim"), F.struct(-F.col("sim"), "line")).alias("b"))
+    return q.join(best, "x").select("query", "b.line", "b.sim")
 
 
 def link(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -184,11 +184,12 @@ def line_check(spark, root):
 
 @query()
 def drama_lines(spark, root):
-    """For each romanised opening the line of the other edition most like it."""
+    """For each romanised opening the line of the other edition most like it: its page's ord, its place there from 0 on, and the likeness."""
     a, b = _sides(spark, root)
-    first = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n")[0]
-    found = linkage.best_in_block(a.select("ord", X.skeleton_latin(first("translit")).alias("skeleton")), b.select("ord", X.skeleton_native(first("lyrics"), "pipeline").alias("skeleton")))
-    return found.select("query", "line", F.round("sim", 4).alias("sim"))
+    first = F.split(F.coalesce("translit", F.lit("")), "\n")[0]
+    lines = b.select("ord", F.posexplode(F.split("lyrics", "\n")).alias("at", "text")).select(F.struct("ord", "at").alias("ord"), X.skeleton_native("text", "pipeline").alias("skeleton"))
+    found = linkage.best_in_block(a.select("ord", X.skeleton_latin(first).alias("skeleton")), lines)
+    return found.select("query", F.col("line.ord").alias("line"), F.col("line.at").alias("at"), F.round("sim", 4).alias("sim"))
 
 
 @query("""WITH b AS (SELECT num, section_bn, ord FROM source_b WHERE num IS NOT NULL QUALIFY row_number() OVER (PARTITION BY section_bn, num ORDER BY ord DESC) = 1),

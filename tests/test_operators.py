@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sargam.functions.similarity import block_overlap, opening_similarity
+from sargam.functions.similarity import block_overlap, opening_similarity, ratio
 from sargam.operators import catalog, facets, lexicon, linkage, ranking, search, state, vectors
 
 
@@ -257,6 +257,21 @@ def test_link_verifies_lines_and_reports_what_is_left(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, 8, "swapped"), (2, 7, "swapped"), (None, 9, "twin"), (None, 10, "second"), (None, 11, "repeat")], key=str)
 
 
+def test_best_in_block_finds_what_all_lines_give(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("kgncj") for _ in range(n))
+    queries = ["abcdefxd", *(word(rng.randrange(4, 18)) for _ in range(80))]
+    lines = ["abXdefYd", "a", *(word(rng.randrange(0, 18)) for _ in range(200))]
+    q, s = (spark.createDataFrame(list(enumerate(x)), "ord int, skeleton string") for x in (queries, lines))
+    want = []
+    for i, x in enumerate(queries):
+        scored = [(-ratio(y[: len(x[:14])], x[:14]), j) for j, y in enumerate(lines) if y[:1] == x[:1]]
+        if len(x) >= 6 and scored and min(scored)[0] <= -0.75:
+            want.append((i, min(scored)[1], -min(scored)[0]))
+    got = rows(linkage.best_in_block(q, s), "query", "line", "sim")
+    assert got == want and got[0] == (0, 0, 0.75) and len(got) > 10
+
+
 def test_claims_and_clusters(spark):
     m = spark.createDataFrame([(1, 1, 0.6), (2, 1, 0.95), (3, 1, 0.92), (4, 2, 0.5)], "a_ord int, b_ord int, sim double")
     assert rows(linkage.resolved_claims(m), "a_ord") == [(2,), (3,), (4,)]

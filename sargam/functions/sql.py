@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .markup import clean_markup, section_text
 from .similarity import block_overlap_udf, opening_udf, ratio_udf, relevance_udf
-from .text import _nfc, clean_markup, section_text
+from .text import _nfc
 
 
 def register(spark: SparkSession) -> None:

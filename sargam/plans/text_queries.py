@@ -190,7 +190,7 @@ def markup_sections(spark, root):
     """A page of two named sections with templates, and the plain text of the second."""
     s = table(spark, root, "source_b").where("lyrics_bn is not null")
     page = F.concat(F.lit('<section begin="a"/>{{c|x}}<section end="a"/><section begin="b"/><!-- note -->{{block|{{em|2}}'), "lyrics_bn", F.lit("}}<ref>r</ref>"), F.lit('<section end="b"/>'))
-    from ..functions.text import clean_markup, section_text
+    from ..functions.markup import clean_markup, section_text
 
     inner = section_text(page, F.lit("b"), F.lit("b"))
     plain = F.regexp_replace(clean_markup(inner), r"^2?[\s\p{Z}]*|[\s\p{Z}]+$", "")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.markup import clean_page
+
+
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
@@ -70,12 +73,28 @@ def parsed_candidates(df: DataFrame, body: str) -> DataFrame:
     )
 
 
-def ordered_lines(pages: DataFrame, number: str, text: str, first: int, last: int) -> DataFrame:
-    """(page, pos, line) of a range of pages in order: speaker names, stage directions, numbers and blank lines out."""
-    wanted = pages.where(F.col(number).between(first, last)).select(F.col(number).alias("page"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    bare = F.regexp_replace(F.trim("line"), r"^[^\s।]+(?:\s+ও\s+[^\s।]+)*।\s*", "")
-    direction = F.col("line").rlike(r"(প্রবেশ|প্রস্থান|অন্তর্ধান)।?$") & (F.length("line") < 60)
-    return wanted.withColumn("line", bare).where(~direction & (F.col("line") != "") & ~F.col("line").rlike(r"^[০-৯\d\s]+$"))
+# Last words of stage directions, and the sign that ends a speaker's name.
+STAGE_WORDS = ("প্রবেশ", "প্রস্থান", "অন্তর্ধান")
+SPEAKER_END, SPEAKER_AND = "।", "ও"
+
+
+def ordered_lines(pages: DataFrame, number: str, text: str, ranges: list[tuple[int, int]], directions: tuple[str, ...] = STAGE_WORDS, longest_direction: int = 59) -> DataFrame:
+    """(page, pos, line) of ranges of page numbers in order, from pages with markup.
+
+    Left out: a speaker's name before the line (words joined by ``SPEAKER_AND``, up to the first ``SPEAKER_END``), stage
+    directions (lines of up to ``longest_direction`` letters that end on a word of ``directions``), lines of digits and blank ones. Null pages
+    give no line. Order by (page, pos).
+    """
+    spark = pages.sparkSession
+    numbers = spark.createDataFrame(ranges, "first int, last int").select(F.explode(F.sequence("first", "last")).alias(number)).distinct()
+    lines = pages.join(numbers, number, "left_semi").select(F.col(number).alias("page"), F.posexplode(F.split(clean_page(text), "\n")).alias("pos", "typed"))
+    head = F.substring_index("typed", SPEAKER_END, 1)
+    speaker = F.col("typed").contains(SPEAKER_END) & F.forall(F.split(head, rf"\s+{SPEAKER_AND}\s+"), lambda w: (w != "") & ~w.rlike(r"\s"))
+    lines = lines.withColumn("line", F.trim(F.when(speaker, F.substr("typed", F.length(head) + 2)).otherwise(F.col("typed"))))
+    ending = F.rtrim(F.col("line"), F.lit(SPEAKER_END))
+    direction = F.exists(F.array(*[F.lit(d) for d in directions]), lambda d: F.endswith(ending, d)) & (F.length("line") <= longest_direction)
+    only_digits = F.col("line").rlike(r"^[\s\p{Nd}]*$")
+    return lines.where(~direction & ~only_digits).select("page", "pos", "line")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

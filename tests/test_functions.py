@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sargam.functions import calendar as C
+from sargam.functions import markup as M
 from sargam.functions import similarity as S
 from sargam.functions import sql
 from sargam.functions import text as X
@@ -69,12 +70,20 @@ def test_text_scalars(spark):
 
 
 def test_markup(spark):
-    assert X.strip_markup("{{a|{{b|x=1|inner}}}}<ref>r</ref>[[p|label]] '''bold'''\n\n\n\n ১২\n") == "innerlabel bold\n\n১২"
-    assert X.strip_markup("১\nline<br/>two") == "line\ntwo"
+    assert M.strip_markup("{{a|{{b|x=1|inner}}}}<ref>r</ref>[[p|label]] '''bold'''\n\n\n\n ১২\n") == "innerlabel bold\n\n১২"
+    assert M.strip_markup("১\n\n২\nline<br/>two") == "line\ntwo"
+    for page, plain in {
+        "a{{gap|3em}}b": "a b", "{{overfloat left|যদি|depth=4em}}প্রেম": "যদি প্রেম", "{{rh|1|title|2}}\nx": "x", "{{c|১২}}\nx": "x", "{{c|x ১২}}": "x ১২", "{{x}}y": "y", "{{x|[[p|q]]}}": "q",
+        "{{block|one\ntwo": "one\ntwo", "one}} two": "one two", "{{lone\nline": "line", "[[open {{a|b}}": "[[open b", "a | b]]": "a | b]]", "<section begin=x/>\u200bকা\u09be\u09c7&nbsp;ত": "কা\u09cb ত",
+        "<noinclude>{{x|\n}}</noinclude>:: k :<!-- {{ -->": "k", "{{a|" * 300 + "deep" + "}}" * 300: "deep", "": "",
+    }.items():
+        assert M.strip_markup(page) == plain, page
+    assert M.strip_markup("a{{rule|4em}}b", M.TemplateRules(newline=("rule",))) == "a\nb"
     page = '<section begin="a"/>one<section end="a"/>\n## b ##\ntwo\n## c ##\nthree'
-    assert X.section_of(page, "a", "a") == "one" and X.section_of(page, "b", "b").strip() == "two" and X.section_of(page, None, None) == page
+    assert M.section_of(page, "a", "a") == "one" and M.section_of(page, "b", "b").strip() == "two" and M.section_of(page, None, None) == page
+    assert M.section_of(page, "c", "c").strip() == "three" and M.section_of(page, "none", "a") == '<section begin="a"/>one' and M.section_of(page, "b", None).endswith("three")
     df = spark.createDataFrame([(page, "a", "a"), (None, "a", None)], "t string, b string, e string")
-    assert [r[0] for r in df.select(X.section_text("t", "b", "e")).collect()] == ["one", None]
+    assert [r[0] for r in df.select(M.section_text("t", "b", "e")).collect()] == ["one", None]
 
 
 def test_category(spark):

@@ -33,8 +33,9 @@ def test_candidates_lines_audit_due(spark):
     body = json.dumps({"items": [{"id": "v", "snippet": {"title": "t"}, "contentDetails": {"duration": "PT2M"}, "statistics": {"viewCount": "12"}, "status": {"embeddable": True}}, {"id": "w"}]})
     got = [tuple(r) for r in readers.parsed_candidates(spark.createDataFrame([("s", body)], "song_id string, body string"), "body").collect()]
     assert got == [("s", "v", "t", "", 12, 0, 120, True), ("s", "w", "", "", 0, 0, 0, False)]
-    pages = spark.createDataFrame([(2, "অমর। কথা এক\n\n১২\nরাজার প্রবেশ।"), (1, "কথা শূন্য"), (9, "x")], "n int, t string")
-    assert [r["line"] for r in readers.ordered_lines(pages, "n", "t", 1, 3).orderBy("page", "pos").collect()] == ["কথা শূন্য", "কথা এক"]
+    pages = spark.createDataFrame([(2, "অমর। কথা এক\n\n১২\nরাজার প্রবেশ।\nঅমর ও কুমার। {{gap}}কথা দুই{{rule|4em}}কথা তিন। শেষ প্রস্থান নয়"), (1, "কথা শূন্য"), (9, "x"), (3, None), (7, "কথা সাত")], "n int, t string")
+    got = [tuple(r) for r in readers.ordered_lines(pages, "n", "t", [(1, 3), (7, 8)]).select("page", "line").orderBy("page", "pos").collect()]
+    assert got == [(1, "কথা শূন্য"), (2, "কথা এক"), (2, "কথা দুই"), (2, "কথা তিন। শেষ প্রস্থান নয়"), (7, "কথা সাত")]
     tables = readers.audit(spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "i int, decision string"))
     assert {k: t.count() for k, t in tables.items()} == {"x": 2, "y": 1}
     now = F.lit(datetime.datetime(2024, 3, 1))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .forms import visible_form
@@ -35,27 +36,35 @@ def _lines(text: str | None, memo: dict[str, str]) -> list[list[str]]:
     return out
 
 
-def _grams(lines: list[list[str]]) -> list[int]:
-    found = {f"{a} {b}" for line in lines for a, b in zip(line, line[1:])}
-    return sorted(xxhash.xxh64_intdigest(g) - (1 << 63) for g in found)
+def _grams(lines: list[list[str]]) -> set[str]:
+    return {f"{a} {b}" for line in lines for a, b in zip(line, line[1:])}
+
+
+def _hashed(grams: set[str]) -> list[int]:
+    return sorted(xxhash.xxh64_intdigest(g) - (1 << 63) for g in grams)
+
+
+_SOUNDS: dict[str, str] = {}
 
 
 @F.pandas_udf(_FEATURES)
 def _features(native_text: pd.Series, other_text: pd.Series, native_title: pd.Series, other_title: pd.Series) -> pd.DataFrame:
-    memo: dict[str, str] = {}
     rows = []
-    for text, other, title, second in zip(native_text, other_text, native_title, other_title):
-        text = _lines(text if isinstance(text, str) else None, memo) or _lines(other if isinstance(other, str) else None, memo)
-        titles = [_lines(t if isinstance(t, str) else None, memo)[:1] for t in (title, second)]
-        heads = [t[0] for t in titles if t and len(t[0]) > 1]
-        rows.append((_grams(text), _grams(heads if heads else text[:1])))
-        if len(memo) > 500_000:
-            memo.clear()
+    for text, other, *titles in zip(native_text, other_text, native_title, other_title):
+        text = _lines(text if isinstance(text, str) else None, _SOUNDS) or _lines(other if isinstance(other, str) else None, _SOUNDS)
+        lines = [line for t in titles for line in _lines(t if isinstance(t, str) else None, _SOUNDS)]
+        heads = _grams(lines) or {w for line in lines for w in line} | _grams(text[:1])
+        rows.append((_hashed(_grams(text)), _hashed(heads)))
+        if len(_SOUNDS) > 500_000:
+            _SOUNDS.clear()
     return pd.DataFrame(rows, columns=_FEATURES.names)
 
 
 def record_features(df: DataFrame, side: str, ident: str, native_text: str, other_text: str | None, native_title: str, other_title: str | None, number: str, section: str) -> DataFrame:
-    """(side, id, number, section, body, head): hashed word pairs of the text and of the titles, by sound so that scripts agree."""
+    """(side, id, number, section, body, head): hashed word pairs of the text and of the titles, by sound so that scripts agree.
+
+    Titles of one word each give that word, and the first line of the text stands beside it.
+    """
     none = F.lit(None).cast("string")
     return df.where(F.col(ident).isNotNull()).select(
         F.lit(side).alias("side"),
@@ -66,73 +75,110 @@ def record_features(df: DataFrame, side: str, ident: str, native_text: str, othe
     ).select("side", "id", "number", "section", "f.*")
 
 
-def overlapping(sets: DataFrame, other: DataFrame, least: float) -> DataFrame:
-    """Pairs (p, q, share) of sets (rid, grams) and other where |p and q| >= least * |p| and |p| <= |q|.
+# Counters of the frequency sketch: its size does not grow with the data.
+SKETCH_BUCKETS = 1 << 20
+
+
+def _sketch(grams: DataFrame) -> np.ndarray:
+    """How often grams (gram) of each hash bucket occur; gives the order from rare to common, which decides speed only, never the result."""
+    counts = grams.groupBy(F.col("gram").bitwiseAND(F.lit(SKETCH_BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    sketch = np.zeros(SKETCH_BUCKETS, np.int32)
+    sketch[counts["bucket"].to_numpy()] = np.minimum(counts["n"].to_numpy(), np.iinfo(np.int32).max)
+    return sketch
+
 
-    Prefix filter: with the grams of p ordered from rare to common, one of its first n - ceil(least n) + 1 is in q.
-    Frequencies are counted over both inputs; no gram is dropped.
+def _prefix(sketch: np.ndarray, least: float, extra: int):
+    """The first n - ceil(least n) + extra grams from rare to common, without those that occur once (they meet nothing)."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def prefix(sets: pd.Series) -> pd.Series:
+        out = []
+        for grams in sets:
+            n = sketch[grams & (SKETCH_BUCKETS - 1)]
+            order = np.lexsort((grams, n))[: max(0, len(grams) - math.ceil(least * len(grams) - 1e-9) + extra)]
+            out.append(grams[order][n[order] > 1])
+        return pd.Series(out, dtype=object)
+
+    return prefix
+
+
+def overlapping(sets: DataFrame, other: DataFrame, least: float, extra: int = 3, both: bool = False) -> DataFrame:
+    """Pairs (p, q, share, size) of sets (rid, grams) and other with |p and q| >= least * |p| where |p| < |q|, or they are equal in size and p < q.
+
+    Prefix filter: let the grams of p stand from rare to common. All but ``extra`` - 1 of those that must be common
+    are found among the first n - ceil(least n) + ``extra``, so a pair shares min(extra, ceil(least n)) of these. Pairs are counted on
+    prefixes alone; whole sets are compared only for pairs that pass. No gram is dropped. ``both``: the inputs are
+    the same frame. Hot grams are left to AQE's skew join; they come last in every prefix.
     """
     sets, other = sets.where("size(grams) > 0"), other.where("size(grams) > 0")
-    q = other.select("rid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    frequency = q.groupBy("gram").agg(F.count("*").alias("df"))
-    p = sets.select("rid", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(frequency, "gram")
-    place = F.row_number().over(Window.partitionBy("rid").orderBy("df", "gram"))
-    p = p.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    grams = other.select(F.explode("grams").alias("gram"))
+    prefix = _prefix(_sketch(grams if both else grams.unionAll(sets.select(F.explode("grams").alias("gram")))), least, extra)
+    p = sets.select(F.col("rid").alias("p"), F.size("grams").alias("np"), F.explode(prefix("grams")).alias("gram"))
+    q = other.select(F.col("rid").alias("q"), F.size("grams").alias("nq"), F.explode("grams").alias("gram"))
     pairs = (
-        p.select(F.col("rid").alias("p"), F.col("n").alias("np"), "gram")
-        .join(q.select(F.col("rid").alias("q"), F.col("n").alias("nq"), "gram"), "gram")
-        .where("np <= nq and p <> q")
+        p.join(q, "gram")
+        .where("np < nq or (np = nq and p < q)")
+        .groupBy("p", "q", "np")
+        .agg(F.count("*").alias("shared"))
+        .where(F.col("shared") >= F.least(F.lit(extra), F.ceil(F.col("np") * least - 1e-9)))
         .select("p", "q")
-        .distinct()
     )
     return (
         pairs.join(sets.select(F.col("rid").alias("p"), F.col("grams").alias("gp")), "p")
         .join(other.select(F.col("rid").alias("q"), F.col("grams").alias("gq")), "q")
         .select("p", "q", (F.size(F.array_intersect("gp", "gq")) / F.size("gp")).alias("share"), F.size("gp").alias("size"))
-        .where(F.col("share") >= least)
+        .where(F.col("share") >= least - 1e-9)
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(rid, class): the least rid of each node's connected component, by spreading least labels until none changes."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rid, class): the least rid of each node's connected component, by spreading least labels until none changes.
+
+    Labels of labels are taken in every round, so rounds grow with the logarithm of a component's width.
+    """
     both = cut_lineage(edges.select("p", "q").unionAll(edges.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct())
     labels = both.select(F.col("p").alias("rid")).distinct().withColumn("class", F.col("rid"))
-    for _ in range(rounds):
+    moved = not both.isEmpty()
+    while moved:
         near = both.join(labels, F.col("q") == F.col("rid")).groupBy("p").agg(F.min("class").alias("least"))
-        new = labels.join(near, F.col("rid") == F.col("p")).select("rid", F.least("class", "least").alias("class"), (F.col("least") < F.col("class")).alias("changed"))
+        new = labels.join(near, F.col("rid") == F.col("p")).select("rid", F.least("class", "least").alias("class"), F.col("class").alias("old"))
+        of = new.select(F.col("rid").alias("r"), F.col("class").alias("c"))
+        new = new.join(of, F.col("class") == F.col("r"), "left").select("rid", F.least("class", F.coalesce("c", "class")).alias("class"), "old")
         new = cut_lineage(new)
+        moved = not new.where("class < old").isEmpty()
         labels = new.select("rid", "class")
-        if new.where("changed").isEmpty():
-            break
-        # labels of labels: halves the number of rounds
-        labels = labels.alias("l").join(labels.select(F.col("rid").alias("r"), F.col("class").alias("c")), F.col("class") == F.col("r"), "left").select("rid", F.least("class", F.coalesce("c", "class")).alias("class"))
     return nodes.join(labels, "rid", "left").select("rid", F.coalesce("class", "rid").alias("class"))
 
 
-def matching_marginals(pairs: DataFrame, rounds: int = 25, tolerance: float = 1e-3) -> DataFrame:
+def matching_marginals(pairs: DataFrame, tolerance: float = 1e-3, most_rounds: int = 500) -> DataFrame:
     """(a, b, weight, belief) of candidate pairs (a, b, weight = prior log odds) under one-to-one factors.
 
     Each a and each b has a factor that allows one of its pairs at most. A factor sends to a pair
     1 / (1 + sum of the odds that its other pairs bring from their other end); the belief of a pair is its
-    odds times the two messages it gets. The messages go round through grouped sums joined back to the pairs,
-    until the largest change of a belief is under ``tolerance`` or ``rounds`` are over.
+    odds times the two messages it gets. Sums are grouped by one end, with partial sums before the shuffle, and joined back to the
+    pairs, so an end with very many pairs is no task of its own. Pairs that compete with none have their belief at once. The rounds go on
+    until the largest change of a belief is under ``tolerance``; after ``most_rounds`` this raises.
     """
-    state = cut_lineage(pairs.select("a", "b", "weight", F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("weight")))).alias("odds")).withColumn("from_a", F.lit(1.0)).withColumn("from_b", F.lit(1.0)).withColumn("belief", F.lit(0.0)))
+    odds = F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("weight"))))
+    degrees = [pairs.groupBy(end).agg(F.count("*").alias(f"n_{end}")) for end in ("a", "b")]
+    start = cut_lineage(pairs.join(degrees[0], "a").join(degrees[1], "b").select("a", "b", "weight", odds.alias("odds"), (F.greatest("n_a", "n_b") > 1).alias("competes")))
+    alone = start.where("not competes").select("a", "b", "weight", (F.col("odds") / (1 + F.col("odds"))).alias("belief"))
+    state = start.where("competes").select("a", "b", "weight", "odds", F.lit(1.0).alias("from_b"), F.lit(0.0).alias("belief"))
+    if state.isEmpty():
+        return alone
 
     def message(frame: DataFrame, end: str, brought: str, name: str) -> DataFrame:
-        total = F.sum(F.col("odds") * F.col(brought)).over(Window.partitionBy(end))
-        return frame.withColumn(name, 1 / (1 + F.greatest(F.lit(0.0), total - F.col("odds") * F.col(brought))))
-
-    for k in range(rounds):
-        new = message(state, "a", "from_b", "new_a")
-        new = message(new, "b", "from_a" if k == 0 else "new_a", "new_b")
-        odds = F.col("odds") * F.col("new_a") * F.col("new_b")
-        new = new.select("a", "b", "weight", "odds", F.col("new_a").alias("from_a"), F.col("new_b").alias("from_b"), (odds / (1 + odds)).alias("now"), F.abs(odds / (1 + odds) - F.col("belief")).alias("change"))
-        new = cut_lineage(new)
-        state = new.select("a", "b", "weight", "odds", "from_a", "from_b", F.col("now").alias("belief"))
-        if (new.agg(F.max("change")).first()[0] or 0.0) < tolerance:
-            break
-    return state.select("a", "b", "weight", "belief")
+        totals = frame.groupBy(end).agg(F.sum(F.col("odds") * F.col(brought)).alias("total"))
+        return frame.join(totals, end).withColumn(name, 1 / (1 + F.greatest(F.lit(0.0), F.col("total") - F.col("odds") * F.col(brought)))).drop("total")
+
+    for _ in range(most_rounds):
+        new = message(message(state.withColumnRenamed("belief", "old"), "a", "from_b", "from_a").drop("from_b"), "b", "from_a", "from_b")
+        belief = F.col("odds") * F.col("from_a") * F.col("from_b")
+        new = cut_lineage(new.select("a", "b", "weight", "odds", "from_b", (belief / (1 + belief)).alias("belief"), "old"))
+        state = new.drop("old")
+        if new.agg(F.max(F.abs(F.col("belief") - F.col("old")))).first()[0] < tolerance:
+            return alone.unionByName(state.select("a", "b", "weight", "belief"))
+    raise RuntimeError(f"no beliefs within {tolerance} after {most_rounds} rounds")
 
 
 def matched_records(left: DataFrame, right: DataFrame, same: float = 0.55, head_share: float = 0.6, body_share: float = 0.45) -> DataFrame:
@@ -140,25 +186,26 @@ def matched_records(left: DataFrame, right: DataFrame, same: float = 0.55, head_
 
     1. Records of a side with the same grams (without a body: also the same number and section) are one node.
     2. Candidates: bodies that share ``body_share`` of the smaller one's grams; where one of two records has no body,
-       heads that share ``head_share`` of the smaller one's.
+       heads that share ``head_share`` of the smaller one's. The evidence of a smaller share is below even odds with
+       equal numbers and sections too, so it could not be reported (16 (0.4575 - 0.52) + 1 = 0).
     3. Nodes of one side whose bodies share ``same`` are one entity (connected components), as are nodes without
        body whose head, number and section agree with another's. So doubles never compete.
     4. The evidence of a pair of entities is the best of their nodes' pairs: log odds linear in the share,
-       raised by equal numbers and sections; ``matching_marginals`` makes beliefs of them.
+       raised by equal numbers and sections; ``matching_marginals`` makes beliefs of them. The weights are set, not fitted.
     5. Entities are expanded to records: several records of one entity give every combination.
 
     Null ids are left out; records without any text or title match nothing; empty input on a side: empty result.
     """
     records = left.unionByName(right)
     no_body = F.size("body") == 0
-    sign = F.xxhash64("body", "head", F.when(no_body, F.col("number")), F.when(no_body, F.col("section")))
-    records = cut_lineage(records.where("size(body) > 0 or size(head) > 0").withColumn("rid", F.concat_ws(":", "side", sign.cast("string"))))
+    sign = F.xxhash64("side", "body", "head", F.when(no_body, F.col("number")), F.when(no_body, F.col("section")))
+    records = cut_lineage(records.where("size(body) > 0 or size(head) > 0").withColumn("rid", sign))
     nodes = records.groupBy("rid").agg(F.first("side").alias("side"), F.first("body").alias("body"), F.first("head").alias("head"), F.min("number").alias("number"), F.min("section").alias("section"))
     nodes = cut_lineage(nodes)
     # Heads of records with a body take part only where the other record has none.
     bodies = nodes.select("rid", F.col("body").alias("grams"))
     heads = nodes.select("rid", F.col("head").alias("grams"), (F.size("body") == 0).alias("bare"))
-    by_body = overlapping(bodies, bodies, body_share).withColumn("kind", F.lit("body"))
+    by_body = overlapping(bodies, bodies, body_share, both=True).withColumn("kind", F.lit("body"))
     bare, dressed = heads.where("bare").select("rid", "grams"), heads.where("not bare").select("rid", "grams")
     by_head = overlapping(bare, heads.select("rid", "grams"), head_share).unionAll(overlapping(dressed, bare, head_share)).withColumn("kind", F.lit("head"))
     about = nodes.select("rid", "side", "number", "section")
@@ -170,8 +217,9 @@ def matched_records(left: DataFrame, right: DataFrame, same: float = 0.55, head_
     same_number, same_section = F.col("p_number") == F.col("q_number"), F.col("p_section") == F.col("q_section")
     number = F.when(same_number, 1.0).when(F.col("p_number").isNull() | F.col("q_number").isNull(), 0.0).otherwise(-1.0)
     section = F.when(same_section, 0.5).when(F.col("p_section").isNull() | F.col("q_section").isNull(), 0.0).otherwise(-0.5)
+    # A title of one word counts only where the number agrees too.
     weight = F.when(F.col("kind") == "body", 16 * (F.col("share") - 0.52) + 0.5 * number + section).otherwise(
-        6 * (F.col("share") - 0.7) + 2 * number + section + F.when(F.col("size") >= 3, 1.0).when(F.col("size") == 2, 0.5).otherwise(-0.5)
+        6 * (F.col("share") - 0.7) + 2 * number + section + F.when(F.col("size") >= 3, 1.0).when(F.col("size") == 2, 0.5).otherwise(-2.4)
     )
     pairs = cut_lineage(pairs.withColumn("weight", weight).withColumn("agree", same_number & same_section))
     doubles = pairs.where("p_side = q_side").where((F.col("kind") == "body") & (F.col("share") >= same) | (F.col("kind") == "head") & (F.col("share") > 0.99) & F.col("agree"))

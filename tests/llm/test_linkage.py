@@ -1,6 +1,6 @@
 import random
 
-from sargam.llm.linkage import matched_records, matching_marginals, overlapping, record_features
+from sargam.llm.linkage import components, matched_records, matching_marginals, overlapping, record_features
 
 SONG = "id string, bn string, en string, words string, latin string, number int, section string"
 PAGE = "id string, bn string, words string, number int, section string"
@@ -54,10 +54,30 @@ def test_beliefs_are_exact_on_a_tree_and_compete(spark):
         assert abs(got[key] - value / total) < 1e-6
 
 
+def test_titles_of_one_word_and_of_several_lines(spark):
+    songs = [("s1", "মেঘমালা", None, None, None, 4, "y"), ("s2", "মেঘমালা", None, None, None, 9, "y"), ("s3", "\nসোনার খাঁচা", "Poth Hara\nNodi Jole Bhasa", None, None, 2, "x")]
+    pages = [("p1", "মেঘমালা", None, 4, "y"), ("p3", "নদী জলে ভাসা", None, 2, "x")]
+    assert set(linked(spark, songs, pages)) == {("s1", "p1"), ("s3", "p3")}
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(700).selectExpr("id as p", "id + 1 as q").where("p <> 300")
+    nodes = spark.range(710).selectExpr("id as rid")
+    got = {r["rid"]: r["class"] for r in components(nodes, edges).collect()}
+    assert got == {k: 0 if k <= 300 else 301 if k <= 700 else k for k in range(710)}
+
+
+def test_beliefs_of_a_hub_and_of_loops(spark):
+    pairs = [("hub", f"b{k}", 1.0) for k in range(400)] + [("x", "u", 1.0), ("x", "v", 1.2), ("y", "u", 0.9), ("y", "v", 1.0)]
+    got = {(r["a"], r["b"]): r["belief"] for r in matching_marginals(spark.createDataFrame(pairs, "a string, b string, weight double"), tolerance=1e-9).collect()}
+    assert len(got) == 404 and all(abs(got["hub", f"b{k}"] - 2.718281828 / (1 + 400 * 2.718281828)) < 1e-6 for k in range(400))
+    assert got["x", "v"] > got["x", "u"] > 0.3 and got["x", "u"] + got["x", "v"] < 1
+
+
 def test_prefix_filter_loses_no_pair(spark):
     rng = random.Random(8)
-    sets = [(f"r{k}", sorted({int(rng.paretovariate(0.6)) % 200 for _ in range(rng.randrange(0, 14))})) for k in range(80)]
-    df = spark.createDataFrame(sets, "rid string, grams array<bigint>")
+    sets = [(k, sorted({int(rng.paretovariate(0.6)) % 200 for _ in range(rng.randrange(0, 14))})) for k in range(80)]
+    df = spark.createDataFrame(sets, "rid bigint, grams array<bigint>")
     got = {(r["p"], r["q"]) for r in overlapping(df, df, 0.5).collect()}
-    want = {(p, q) for p, x in sets for q, y in sets if p != q and x and len(x) <= len(y) and len(set(x) & set(y)) >= 0.5 * len(x)}
-    assert got == want
+    want = {(p, q) for p, x in sets for q, y in sets if x and (len(x), p) < (len(y), q) and len(set(x) & set(y)) >= 0.5 * len(x)}
+    assert got == want and all(len(overlapping(df, df, 0.5, extra).collect()) == len(want) for extra in (1, 2, 6))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import BROADCAST_LIMIT_BYTES, cut_lineage
 from .forms import visible_form
 
 # Romanisation of the letters of the native script; consonants carry "o" where no sign follows.
@@ -29,8 +30,22 @@ _BREAK = re.compile(r"[|:()\[\]/।&#+;•~]|\s[-–—]\s|\bby\b")
 _TOKEN = re.compile(r"(?:[^\W\d_]|[̀-ͯঁ-ৗড়-ৣ])+\.?|,")
 
 
+def once(udf):
+    """The function marked so that Catalyst neither repeats it in a filter nor in a field access: it runs once for each row."""
+    return udf.asNondeterministic()
+
+
+_DOUBLED = re.compile(r"(.)\1+")
+_ALL_CONSONANTS = "".join(CONSONANTS)
+
+
 def name_key(word: str, fine: bool = False) -> str:
     """Sounds of a word in one alphabet, aspirates and doubled letters plain; vowels a, o and ou as one unless ``fine``."""
+    return name_keys(word)[fine]
+
+
+def name_keys(word: str) -> tuple[str, str]:
+    """Both keys of a word, the plain and the fine one."""
     word = visible_form(word, fold_case=True) or ""
     if any("ঀ" <= c <= "৿" for c in word):
         for one, two in (("ড়", "ড়"), ("ঢ়", "ঢ়"), ("য়", "য়")):
@@ -46,7 +61,7 @@ def name_key(word: str, fine: bool = False) -> str:
                 nxt = word[k : k + 1]
                 if nxt == "্":
                     k += 1
-                elif nxt not in SIGNS and nxt and nxt in "".join(CONSONANTS) and c not in "ৎংঃঁ":
+                elif nxt not in SIGNS and nxt and nxt in _ALL_CONSONANTS and c not in "ৎংঃঁ":
                     out.append("o")
             elif c in SIGNS:
                 out.append(SIGNS[c])
@@ -59,10 +74,12 @@ def name_key(word: str, fine: bool = False) -> str:
         key = word
         for pattern, to in LATIN:
             key = pattern.sub(to, key)
-    if not fine:
-        key = key.replace("ou", "o").replace("a", "o")
-    key = re.sub(r"(.)\1+", r"\1", key)
-    return key[:-1] if len(key) > 3 and key[-1] in "oa" else key
+
+    def ended(key: str) -> str:
+        key = _DOUBLED.sub(r"\1", key)
+        return key[:-1] if len(key) > 3 and key[-1] in "oa" else key
+
+    return ended(key.replace("ou", "o").replace("a", "o")), ended(key)
 
 
 def parts_of(text: str | None) -> list[str]:
@@ -85,13 +102,20 @@ def parts_of(text: str | None) -> list[str]:
     return [" ".join(p).strip(" ,") for p in parts if any(x != "," for x in p)]
 
 
-# Least likeness of two keys alone; below it the other parts of the mean do not help in practice.
-KEY_LEAST = 0.65
-
-
+@once
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _parts(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([list(dict.fromkeys(parts_of(x) + parts_of(y))) for x, y in zip(a, b)], dtype=object)
+def _parts(rows: pd.Series) -> pd.Series:
+    """Parts of all texts of a row; each distinct text of a batch is cut once."""
+    known: dict[str | None, list[str]] = {}
+    out = []
+    for texts in rows:
+        parts: dict[str, None] = {}
+        for text in texts:
+            if text not in known:
+                known[text] = parts_of(text)
+            parts |= dict.fromkeys(known[text])
+        out.append(list(parts))
+    return pd.Series(out, dtype=object)
 
 
 def initial_of(word: str) -> str | None:
@@ -100,6 +124,7 @@ def initial_of(word: str) -> str | None:
     return letter if "a" <= letter <= "z" else "a" if letter == "আ" else (name_key(letter) or None) and name_key(letter)[0]
 
 
+@once
 @F.pandas_udf(T.StringType())
 def _initial(words: pd.Series) -> pd.Series:
     return words.map(lambda w: initial_of(w) if isinstance(w, str) and len(w.rstrip(".")) == 1 else None)
@@ -108,9 +133,10 @@ def _initial(words: pd.Series) -> pd.Series:
 _KEYS = T.StructType([T.StructField("key", T.StringType()), T.StructField("fine", T.StringType())])
 
 
+@once
 @F.pandas_udf(_KEYS)
 def _keys(words: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"key": words.map(lambda w: name_key(w) if isinstance(w, str) else None), "fine": words.map(lambda w: name_key(w, True) if isinstance(w, str) else None)})
+    return pd.DataFrame([name_keys(w) if isinstance(w, str) else (None, None) for w in words], columns=["key", "fine"])
 
 
 def edits(a: str, b: str) -> int:
@@ -128,6 +154,7 @@ def edits(a: str, b: str) -> int:
     return one[-1]
 
 
+@once
 @F.pandas_udf(T.DoubleType())
 def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1 - edits(x, y) / max(len(x), len(y), 1) for x, y in zip(a, b)], dtype=float)
@@ -160,65 +187,86 @@ def name_entries(persons: DataFrame, name: str, spellings: str) -> DataFrame:
     return base.unionAll(begun).unionAll(initial).distinct()
 
 
-def similar_words(words: DataFrame, entries: DataFrame, least: float = 0.72) -> DataFrame:
+def similar_words(words: DataFrame, entries: DataFrame, least: float = 0.72, key_least: float = 0.65) -> DataFrame:
     """(word, singer, kind, sim) of corpus words (word, key, fine) and list entries (singer, kind, key, fine) with similar keys or,
     in Latin letters, similar typed forms (an exchange of letters can change how a sound is read).
 
     Set-similarity join on bigrams with prefix filter: in both sets the bigrams are ordered from rare to
-    common; at similarity t two sets of sizes x and y share a bigram within their first x - ceil(t x) + 1 and
-    y - ceil(t y) + 1. One exchange of neighbours changes three bigrams, so t = 0.25 keeps what the verification
-    (likeness, 1 - edits / length, of key and fine key; where both are in one script, of the typed words too) can pass. Sizes are filtered before verification.
+    common; at similarity t (common bigrams / bigrams of the larger set) two sets of sizes x and y share a bigram within their first
+    x - ceil(t x) + 1 and y - ceil(t y) + 1. t = 0.25: one exchange of neighbours changes three bigrams. Verified are the
+    likeness (1 - edits / length) of the keys, ``key_least`` or more, and the mean of key, fine key and, where both are in one script, typed
+    words, ``least`` or more. Every prefilter follows from these.
     """
     typed = words.where("word rlike '^[a-z]{4,}[.]?$'").select("word", F.rtrim(F.col("word"), F.lit(".")).alias("key"))
     typed = typed.withColumn("fine", F.col("key"))
     typed_entries = entries.where("kind in ('typed_given', 'typed_surname')").withColumn("kind", F.substring("kind", 7, 20))
-    close = _similar_forms(words, entries, least).unionAll(_similar_forms(typed, typed_entries, least))
+    close = _similar_forms(words, entries, least, key_least).unionAll(_similar_forms(typed, typed_entries, least, key_least))
     begun = words.join(entries.where("kind in ('given_begun', 'surname_begun')").select("singer", "kind", "fine"), "fine").where(
         "(kind = 'given_begun' and length(fine) >= 2 and length(replace(word, '.', '')) >= 3) or (kind = 'surname_begun' and word like '___%.')"
     )
-    initials = words.select("word", _initial("word").alias("letter")).join(entries.where("kind = 'initial'").select("singer", "kind", F.col("key").alias("letter")), "letter")
+    initials = words.where("length(replace(word, '.', '')) = 1").select("word", _initial("word").alias("letter")).join(entries.where("kind = 'initial'").select("singer", "kind", F.col("key").alias("letter")), "letter")
     exact = begun.select("word", "singer", "kind").unionAll(initials.select("word", "singer", "kind"))
     sims = F.when(F.col("kind") == "initial", 0.85).otherwise(0.9)
     return close.unionAll(exact.select("word", "singer", "kind", sims.alias("sim"))).groupBy("word", "singer", "kind").agg(F.max("sim").alias("sim"))
 
 
-def _similar_forms(words: DataFrame, entries: DataFrame, least: float) -> DataFrame:
-    t = 0.25
-    fuzzy = entries.where("kind in ('given', 'surname', 'whole', 'nick')")
-    one = words.select("key").where("length(key) >= 2").distinct().withColumn("grams", _grams("key"))
-    two = fuzzy.select("key").distinct().withColumn("grams", _grams("key"))
-    frequency = one.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-
-    def prefixed(side: DataFrame) -> DataFrame:
-        exploded = side.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(frequency, "gram", "left")
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("n", F.lit(0)), "gram"))
-        return exploded.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * t) + 1).select("key", "size", "gram")
-
-    a, b = prefixed(one).alias("a"), prefixed(two).alias("b")
-    near = (
-        a.join(b, F.expr(f"a.gram = b.gram and a.size >= {t} * b.size and b.size >= {t} * a.size"))
-        .select(F.col("a.key").alias("key"), F.col("b.key").alias("entry_key"))
+def _rare_first(frequency: dict[str, int], t: float):
+    """The first x - ceil(t x) + 1 bigrams of a set from rare to common."""
+
+    @once
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def prefix(sets: pd.Series) -> pd.Series:
+        return pd.Series([sorted(s, key=lambda g: (frequency.get(g, 0), g))[: len(s) - math.ceil(t * len(s)) + 1] for s in sets], dtype=object)
+
+    return prefix
+
+
+def similar_keys(one: DataFrame, two: DataFrame, key_least: float, t: float = 0.25) -> DataFrame:
+    """(key, entry_key, key_sim) of two frames of distinct keys whose bigram sets share a prefix bigram and whose likeness is ``key_least`` or more."""
+    one, two = one.withColumn("grams", _grams("key")), two.withColumn("grams", _grams("key"))
+    # Bigrams of folded keys and Latin words: the square of the alphabet bounds them.
+    counts = one.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()
+    prefix = _rare_first({r["gram"]: r["n"] for r in counts}, t)
+    a = one.select("key", F.size("grams").alias("x"), F.explode(prefix("grams")).alias("gram"))
+    b = two.select(F.col("key").alias("entry_key"), F.size("grams").alias("y"), F.explode(prefix("grams")).alias("gram"))
+    longer = F.greatest(F.length("key"), F.length("entry_key"))
+    edits_allowed = F.floor((1 - key_least) * longer + 1e-9)
+    return (
+        a.join(_small(b, 64), "gram")
+        .where(f"x >= {t} * y and y >= {t} * x")
+        .where(F.abs(F.length("key") - F.length("entry_key")) <= edits_allowed)
+        .select("key", "entry_key")
         .distinct()
-        .where(F.abs(F.length("key") - F.length("entry_key")) <= 3)
         # Built-in levenshtein counts an exchange as two, so it is at most twice the edits: what fails here fails the next test.
-        .where(F.levenshtein("key", "entry_key") <= 2 * (1 - KEY_LEAST) * F.greatest(F.length("key"), F.length("entry_key")))
-        .where(F.levenshtein("key", "entry_key") <= 4)
+        .where(F.levenshtein("key", "entry_key") <= 2 * edits_allowed)
         .withColumn("key_sim", _likeness("key", "entry_key"))
-        .where(F.col("key_sim") >= KEY_LEAST)
+        .where(F.col("key_sim") >= key_least)
     )
+
+
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The frame, to be broadcast where its counted rows stay within the limit, else left to Catalyst."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_LIMIT_BYTES else df
+
+
+def _similar_forms(words: DataFrame, entries: DataFrame, least: float, key_least: float) -> DataFrame:
+    fuzzy = entries.where("kind in ('given', 'surname', 'whole', 'nick')")
+    near = similar_keys(words.select("key").where("length(key) >= 2").distinct(), fuzzy.select("key").distinct(), key_least)
     close = (
         words.join(near, "key")
         .join(fuzzy.select("singer", "kind", F.col("key").alias("entry_key"), F.col("fine").alias("entry_fine"), "typed"), "entry_key")
-        .withColumn("sound", (F.col("key_sim") + _likeness("fine", "entry_fine")) / 2)
         .withColumn("bare", F.rtrim(F.col("word"), F.lit(".")))
-        .withColumn("sim", F.when(F.col("kind") == "nick", F.when(F.col("bare") == F.col("typed"), 1.0).otherwise(F.col("key_sim") * 0.99)).when(F.col("kind") == "whole", F.col("sound")).when(F.col("bare").rlike("^[a-z]") == F.col("typed").rlike("^[a-z]"), (F.col("sound") + _likeness("bare", "typed")) / 2).otherwise(F.col("sound") * 0.92))
+        .withColumn("fine_sim", _likeness("fine", "entry_fine"))
+        .withColumn("typed_sim", F.when(F.col("kind").isin("given", "surname"), _likeness("bare", "typed")))
+        .withColumn("sound", (F.col("key_sim") + F.col("fine_sim")) / 2)
+        .withColumn("sim", F.when(F.col("kind") == "nick", F.when(F.col("bare") == F.col("typed"), 1.0).otherwise(F.col("key_sim") * 0.99)).when(F.col("kind") == "whole", F.col("sound")).when(F.col("bare").rlike("^[a-z]") == F.col("typed").rlike("^[a-z]"), (F.col("sound") + F.col("typed_sim")) / 2).otherwise(F.col("sound") * 0.92))
         .where(f"(kind = 'nick' and key_sim >= 0.99) or (kind = 'whole' and sim >= 0.87) or (kind in ('given', 'surname') and sim >= {least})")
     )
     return close.select("word", "singer", "kind", "sim")
 
 
 def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons: DataFrame, name: str, spellings: str, threshold: float = 0.8) -> DataFrame:
-    """(ident, singer, part, score): the persons of the list that each row names in one of two text columns.
+    """(ident, singer, part, score): the persons of the list that each row names in any of its text columns.
 
     Columns are cut into parts at signs and words that part names from titles; each distinct part is
     matched once. A part names a person where
@@ -232,16 +280,12 @@ def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons:
     Null and empty texts name nobody; null identifiers are left out; repeated rows count each by their own
     identifier; a row names a person once. Empty input or list: empty result.
     """
-    first, second = (columns + columns)[:2]
     # Each stage is written once to the shared folder: it is read by several later ones, and a plan that holds all of them grows beyond the driver.
-    rows = cut_lineage(df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("row"), F.explode(_parts(first, second)).alias("part")))
-    parts = rows.select("part").distinct()
-    tokens = cut_lineage(
-        parts.select("part", F.split("part", " ").alias("w"))
-        .select("part", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        .where("word <> ''")
-    )
-    words = cut_lineage(tokens.where("word <> ','").select("word").distinct().select("word", _keys("word").alias("k")).select("word", "k.*").where("key <> ''"))
+    rows = cut_lineage(df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("row"), _parts(F.array(*columns)).alias("parts")).where("size(parts) > 0"))
+    rows = rows.select("row", F.explode("parts").alias("part"))
+    parts = cut_lineage(rows.select("part").distinct())
+    tokens = parts.select("part", F.posexplode(F.split("part", " ")).alias("pos", "word")).where("word not in ('', ',')")
+    words = cut_lineage(tokens.select("word").distinct().select("word", _keys("word").alias("k")).select("word", "k.*").where("key <> ''"))
     entries = cut_lineage(name_entries(persons, name, spellings))
     n_persons = entries.select(F.countDistinct("singer")).first()[0]  # one number
     weights = (
@@ -255,23 +299,23 @@ def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons:
         .agg(*[F.max(F.when(F.col("kind") == k, F.log(1 + n_persons / F.col("df")))).alias(f"w_{k}") for k in ("given", "surname")])
     )
     alike = cut_lineage(similar_words(words, entries))
-    hits = cut_lineage(tokens.join(alike, "word"))
-    single = F.length(F.regexp_replace("word", r"\.", "")) == 1
-    marks = tokens.where((F.col("word") == ",") | single).select(F.col("part").alias("m_part"), F.col("pos").alias("mark_pos"), F.when(F.col("word") == ",", "comma").otherwise("letter").alias("mark"))
-    given = hits.where("kind in ('given', 'given_begun', 'nick', 'initial')").select("part", "singer", F.col("pos").alias("g"), F.col("kind").alias("g_kind"), F.col("sim").alias("g_sim"), "n")
-    surname = hits.where("kind in ('surname', 'surname_begun')").select("part", "singer", F.col("pos").alias("s"), F.col("kind").alias("s_kind"), F.col("sim").alias("s_sim"))
-    pairs = given.join(surname, ["part", "singer"]).where("abs(g - s) between 1 and 2")
-    pairs = pairs.join(marks, F.expr("part = m_part and mark_pos * 2 = g + s"), "left")
-    together = (F.abs(F.col("g") - F.col("s")) == 1) | (F.col("mark") == "letter") | ((F.col("mark") == "comma") & (F.col("s") < F.col("g")))
-    after_comma = tokens.where("word = ','").select(F.col("part").alias("c_part"), (F.col("pos") + 1).alias("c_pos"))
-    pairs = pairs.where(together).join(after_comma, (pairs.part == F.col("c_part")) & (F.col("g") == F.col("c_pos")), "left")
-    initial_ok = (F.col("g_kind") != "initial") | ((F.col("g") < F.col("s")) & (F.abs(F.col("g") - F.col("s")) == 1) & ((F.col("g") == 0) | F.col("c_pos").isNotNull())) | ((F.col("g") > F.col("s")) & (F.col("g") == F.col("n") - 1))
+    hits = cut_lineage(tokens.join(_small(alike, 128), "word").select("part", "pos", "singer", "kind", "sim"))
+    given = hits.where("kind in ('given', 'given_begun', 'nick', 'initial')").select("part", "singer", F.col("pos").alias("g"), F.col("kind").alias("g_kind"), F.col("sim").alias("g_sim"))
+    # Only neighbours up to two places away meet: an equi-join, also where a long text repeats a name.
+    surname = hits.where("kind in ('surname', 'surname_begun')").select("part", "singer", F.col("pos").alias("s"), F.col("kind").alias("s_kind"), F.col("sim").alias("s_sim"), F.explode(F.expr("transform(array(-2, -1, 1, 2), d -> pos + d)")).alias("g"))
+    word_at = lambda p: F.try_element_at(F.split("part", " "), p + 1)
+    single = lambda w: F.length(F.replace(w, F.lit("."))) == 1
+    between, before = word_at(((F.col("g") + F.col("s")) / 2).cast("int")), F.when(F.col("g") > 0, word_at(F.col("g") - 1))
+    apart = F.abs(F.col("g") - F.col("s"))
+    together = (apart == 1) | single(between) | ((between == ",") & (F.col("s") < F.col("g")))
+    last = F.size(F.split("part", " ")) - 1
+    initial_ok = (F.col("g_kind") != "initial") | ((F.col("g") < F.col("s")) & (apart == 1) & ((F.col("g") == 0) | F.coalesce(before == ",", F.lit(False)))) | ((F.col("g") > F.col("s")) & (F.col("g") == last))
     not_both_cut = ~(F.col("g_kind").isin("initial", "given_begun") & (F.col("s_kind") == "surname_begun"))
     surname_sure = F.col("g_kind").isin("given", "nick") | (F.col("s_sim") >= 0.82)
-    scored = pairs.where(initial_ok & not_both_cut & surname_sure).join(weights, "singer")
+    scored = given.join(surname, ["part", "singer", "g"]).where(together & initial_ok & not_both_cut & surname_sure).join(weights, "singer")
     total = (F.col("w_given") * F.col("g_sim") + F.col("w_surname") * F.col("s_sim")) / (F.col("w_given") + F.col("w_surname"))
     by_pair = scored.select("part", "singer", F.least("g", "s").alias("at"), total.alias("score")).where(F.col("score") >= threshold)
-    by_word = hits.where("kind = 'whole' or (kind = 'nick' and sim = 1 and n = 1)").select("part", "singer", F.col("pos").alias("at"), F.col("sim").alias("score"))
+    by_word = hits.where((F.col("kind") == "whole") | ((F.col("kind") == "nick") & (F.col("sim") == 1) & (last == 0))).select("part", "singer", F.col("pos").alias("at"), F.col("sim").alias("score"))
     # One place names one person: the best score, equal scores all.
     place = Window.partitionBy("part", "at")
     named = by_pair.unionAll(by_word).groupBy("part", "singer", "at").agg(F.max("score").alias("score")).withColumn("best", F.max("score").over(place)).where(F.col("score") >= F.col("best") - 1e-9)

@@ -1,4 +1,7 @@
-from sargam.llm.names import edits, name_key, named_persons, parts_of
+import math
+import random
+
+from sargam.llm.names import edits, name_key, named_persons, parts_of, similar_keys
 
 PERSONS = [("Jhanulata Kuhekar", ["jhanulata kuhekar", "ঝানূলতা কূহেকর"]), ("Bemala Chhoguho", ["bemala chhoguho", "বেমালা ছগুহ", "mulu", "মূলূ"]), ("Tillolata Rikar", ["tillolata rikar"]), ("Pratinath Rikar", ["pratinath rikar"]), ("Astamala Louktakar", ["astamala louktakar", None]), ("Phoyejit Hoktorana", ["phoyejit hoktorana", "oshe"])]
 NAMED = {
@@ -37,3 +40,35 @@ def test_keys_and_edits():
     assert name_key("Khotawlekha") == name_key("খতলেখা")
     assert edits("nokoti", "nkooti") == 1 and edits("", "ab") == 2
     assert parts_of("A by B - C (D)") == ["a", "b", "c", "d"]
+
+
+def test_any_number_of_columns_and_long_repeats(spark):
+    df = spark.createDataFrame([(1, None, "x", "Bemala Chhoguho"), (2, "Bemala Chhoguho", None, None), (3, "bemala chhoguho " * 3000, None, "Tillolata Rikar")], "ord bigint, a string, b string, c string")
+    list_ = spark.createDataFrame(PERSONS, "name string, spellings array<string>")
+    got = {tuple(r) for r in named_persons(df, "ord", ["a", "b", "c"], list_, "name", "spellings").collect()}
+    assert got == {(1, "Bemala Chhoguho"), (2, "Bemala Chhoguho"), (3, "Bemala Chhoguho"), (3, "Tillolata Rikar")}
+    assert {tuple(r) for r in named_persons(df, "ord", ["c"], list_, "name", "spellings").collect()} == {(1, "Bemala Chhoguho"), (3, "Tillolata Rikar")}
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    """Every pair of keys whose bigram sets agree by a quarter and whose likeness is enough, as all pairs show."""
+    rng = random.Random(4)
+    keys = sorted({"".join(rng.choice("bdoknirt") for _ in range(rng.randrange(2, 10))) for _ in range(400)})
+    other = []
+    for k in keys[::2]:
+        for _ in range(2):
+            w = list(k)
+            for _ in range(rng.randrange(1, 3)):
+                at = rng.randrange(len(w))
+                w[at : at + 2] = rng.choice([w[at : at + 2][::-1], w[at + 1 : at + 2], [rng.choice("bdok"), *w[at + 1 : at + 2]], [*w[at : at + 2], "n"]])
+            other.append("".join(w))
+    other = sorted({k for k in other if len(k) >= 2})
+
+    def grams(k):
+        k = f"^{k}$"
+        return {k[i : i + 2] for i in range(len(k) - 1)}
+
+    want = {(a, b) for a in keys for b in other if len(grams(a) & grams(b)) >= math.ceil(0.25 * max(len(grams(a)), len(grams(b)))) and 1 - edits(a, b) / max(len(a), len(b)) >= 0.65}
+    one, two = (spark.createDataFrame([(k,) for k in ks], "key string") for ks in (keys, other))
+    got = {(r["key"], r["entry_key"]) for r in similar_keys(one, two, 0.65).collect()}
+    assert want <= got and len(want) > 200

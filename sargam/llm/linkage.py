@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .forms import visible_form
-from .names import name_key
+from .names import name_key, once
 
 _WORD = re.compile(r"(?:[^\W\d_]|[̀-ͯঁ-৿])+")
 _NOTE = re.compile(r"[(\[][^)\]\n]*[)\]]")
@@ -47,6 +47,7 @@ def _hashed(grams: set[str]) -> list[int]:
 _SOUNDS: dict[str, str] = {}
 
 
+@once
 @F.pandas_udf(_FEATURES)
 def _features(native_text: pd.Series, other_text: pd.Series, native_title: pd.Series, other_title: pd.Series) -> pd.DataFrame:
     rows = []
@@ -90,6 +91,7 @@ def _sketch(grams: DataFrame) -> np.ndarray:
 def _prefix(sketch: np.ndarray, least: float, extra: int):
     """The first n - ceil(least n) + extra grams from rare to common, without those that occur once (they meet nothing)."""
 
+    @once
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def prefix(sets: pd.Series) -> pd.Series:
         out = []

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 # Letters and signs of other code points drawn like the one they are mapped to.
 LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ј": "J", "Ѕ": "S",
@@ -35,7 +36,8 @@ _ALSO_IGNORABLE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D
 
 @lru_cache(maxsize=1)
 def _tables():
-    ignorable = {i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cf"} - _NOT_IGNORABLE | _ALSO_IGNORABLE
+    formats = (*range(0x20000), *range(0xE0000, 0xE1000))  # planes that have format characters
+    ignorable = {i for i in formats if unicodedata.category(chr(i)) == "Cf"} - _NOT_IGNORABLE | _ALSO_IGNORABLE
     spaces = {i for i in range(0x3001) if unicodedata.category(chr(i)) == "Zs" and i != 0x20} | {0x9, 0xB, 0xC}
     lines = {0x85, 0x2028, 0x2029}
     first = {chr(i): "" for i in ignorable} | {chr(i): " " for i in spaces} | {chr(i): "\n" for i in lines}
@@ -97,7 +99,8 @@ def visible_form_column(column: Column | str, fold_case: bool = False) -> Column
         formed = pa.array([visible_form(v, fold_case) for v in coded.dictionary.to_pylist()], pa.string())
         return pa.DictionaryArray.from_arrays(coded.indices, formed).cast(pa.string()).to_pandas()
 
-    return form(F.col(column) if isinstance(column, str) else column)
+    # Marked as not deterministic, so that a filter on the form doesn't make it run twice.
+    return form.asNondeterministic()(F.col(column) if isinstance(column, str) else column)
 
 
 def look_alike_pairs(df: DataFrame, ident: str, columns: list[str], fold_case: bool = False) -> DataFrame:
@@ -118,7 +121,8 @@ def look_alike_pairs(df: DataFrame, ident: str, columns: list[str], fold_case: b
     for i in range(len(columns)):
         formed = formed.where(f"f{i} <> ''")
     parts = lambda x: F.concat_ws("\u0000", *[f"{x}{i}" for i in range(len(columns))])
-    keyed = formed.select("id", F.sha2(parts("f").cast("binary"), 256).alias("form"), F.sha2(parts("c").cast("binary"), 256).alias("stored")).distinct()
+    # Ids and digests are written once to the shared folder: four joins read them, and no text is formed twice.
+    keyed = cut_lineage(formed.select("id", F.sha2(parts("f").cast("binary"), 256).alias("form"), F.sha2(parts("c").cast("binary"), 256).alias("stored")).distinct())
     ways = keyed.select("form", "stored").distinct()
     several = ways.alias("x").join(ways.alias("y"), F.expr("x.form = y.form and x.stored < y.stored")).select(F.col("x.stored").alias("one"), F.col("y.stored").alias("other"))
     members = keyed.select("stored", "id")

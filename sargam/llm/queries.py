@@ -110,7 +110,8 @@ def _raag_oracle(k: int = 2) -> str:
         return f"regexp_replace({latin}, '[^a-z]+', '', 'g') AS plain, {folded(latin)} AS folded, translate(regexp_replace({native}, '[^\\x{{0980}}-\\x{{09FF}}]+', '', 'g'), '{letters}', '{single}') AS native"
 
     def errors(kind: str, less: int) -> str:
-        return f"CASE WHEN length(q.{kind}) >= 3 AND length(r.{kind}) >= 3 AND levenshtein(q.{kind}, r.{kind}) <= least({k}, greatest(1, (length(r.{kind}) - 1) // 2 - {less})) THEN levenshtein(q.{kind}, r.{kind}) ELSE {k + 1} END"
+        equal = "" if kind == "folded" else f" WHEN q.{kind} = r.{kind} AND q.{kind} <> '' THEN 0"
+        return f"CASE WHEN length(q.{kind}) >= 3 AND length(r.{kind}) >= 3 AND levenshtein(q.{kind}, r.{kind}) <= least({k}, greatest(1, (length(r.{kind}) - 1) // 2 - {less})) THEN levenshtein(q.{kind}, r.{kind}){equal} ELSE {k + 1} END"
 
     return f"""
     WITH typed AS (SELECT 'raag_full' AS field, id, raag_full AS v FROM songs_base WHERE raag_full IS NOT NULL UNION ALL SELECT 'raag', id, raag FROM songs WHERE raag IS NOT NULL),

@@ -24,6 +24,14 @@ def test_repeats_and_empty_tables(spark):
     assert mapped(spark, [(1, "Mebela")], []) == [(1, "unmatched")]
 
 
+def test_short_names_and_other_markers(spark):
+    ref = [(0, "Re", "রে"), (1, "Ma", None), (2, "E", None), (3, "Mebela", None)]
+    rows = list(enumerate(["re", "রে", "Ree", "raag Ma", "e", "m", "mo", "tune Mebela"]))
+    assert [e for _, e in mapped(spark, rows, ref)] == ["Re", "Re", "unmatched", "Ma", "E", "unmatched", "unmatched", "unmatched"]
+    df, list_ = spark.createDataFrame([("tune Mebela",)], "t string"), spark.createDataFrame(ref, "ord int, name string, name_bn string")
+    assert map_to_reference(df, ["t"], "t", list_, "name", markers=("tune",)).first()["entry"] == "Mebela"
+
+
 def test_pigeonhole_loses_nothing(spark):
     """Every string within two edits is found, as a comparison with the whole list finds it."""
     import random

@@ -89,6 +89,17 @@ def drop_empty(df: DataFrame, keep_empty: tuple[str, ...] = ("videos",)) -> Data
     return df.select(*out)
 
 
+def catalogue_rows(base: DataFrame, media: DataFrame, popular: DataFrame, moods: DataFrame, canonical_modes: dict[str, str]) -> DataFrame:
+    """The published fields of ``base`` with its dimensions: rank and alias (``popular``: id, pop, alias), moods (id, moods; [] where none), media (id, videos; null where
+    never searched). The romanised text is left out. Dimensions are joined as Catalyst sees fit."""
+    j = base.join(popular.select("id", "pop", "alias"), "id", "left").join(moods.select("id", "moods"), "id", "left").join(media.select("id", "videos"), "id", "left")
+    season = F.when(F.col("parjay") == "Prakriti", F.col("season"))
+    return j.select(
+        "id", F.col("title_bn").alias("bn"), F.col("title_en").alias("en"), "parjay", F.col("sub_parjay").alias("sub"), season.alias("season"), "drama", X.simplify_mode("raag_full", canonical_modes).alias("raag"), F.col("raag_full").alias("raagFull"),
+        "taal", "written", F.col("lyrics_bn").alias("lyrics"), "source", F.coalesce("moods", F.array().cast("array<string>")).alias("moods"), "pop", "alias", "videos",
+    )
+
+
 def export_document(df: DataFrame, name: str, order: str, meta: Column | None = None) -> DataFrame:
     """One row, one column ``document``: {"meta": {..., "count": n}, name: [rows in order]}, as a small published file needs.
 

@@ -50,6 +50,23 @@ def facet_predicate(facets: list[Facet], state: FacetState, leave_out: str | Non
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
+def active_filters(saved: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """(by, facet, value): a row for each filter that is set in saved choices: the values of arrays, scalars that are not empty, flags that are true."""
+    def entries(name: str) -> Column:
+        kind = saved.schema[name].dataType.typeName()
+        values = F.when(F.col(name), F.array(F.lit("true"))).otherwise(F.array().cast("array<string>")) if kind == "boolean" else values_of(saved, name)
+        return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+
+    return saved.select(by, F.explode(F.flatten(F.array(*map(entries, names)))).alias("e")).select(by, "e.facet", "e.value")
+
+
+def for_listener(df: DataFrame, ident: str, never: DataFrame | None = None, liked: DataFrame | None = None) -> DataFrame:
+    """Rows that a listener wants at all: none of ``never``, and of ``liked`` only, where it is given; both have the column ``ident``."""
+    if never is not None:
+        df = df.join(never.select(ident), ident, "left_anti")
+    return df if liked is None else df.join(liked.select(ident), ident, "left_semi")
+
+
 def facet_pool(df: DataFrame, facets: list[Facet], state: FacetState, base: Column | None = None) -> DataFrame:
     """Rows that meet the base condition and every facet; predicates on scalar columns reach the scan."""
     return df.where((base if base is not None else F.lit(True)) & facet_predicate(facets, state))

@@ -11,16 +11,28 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..session import BROADCAST_LIMIT_BYTES
 
 
 def dictionary_hits(df: DataFrame, ident: str, hay: list[str], dictionary: DataFrame, name: str, ord_col: str, spellings: str) -> DataFrame:
     """(ident, names): entries any of whose spellings stands anywhere in the columns, in dictionary order, case-blind.
 
-    The dictionary is a short list by contract; it is compared in a broadcast nested loop, since 'contains' has no key.
+    A spelling can stand only where each of its letter triples stands (shorter ones: the whole of it), so texts and spellings meet
+    by an equi-join on the triple of the spelling that fewest spellings have, and 'contains' verifies. The spellings
+    are broadcast where their counted number allows it.
     """
-    words = dictionary.select(F.col(name).alias("__name"), F.col(ord_col).alias("__ord"), F.explode(spellings).alias("__w")).where("__w <> ''").withColumn("__w", F.lower("__w"))
+    words = dictionary.select(F.col(name).alias("__name"), F.col(ord_col).alias("__ord"), F.explode(spellings).alias("__w")).select("__name", "__ord", F.lower("__w").alias("__w")).where("__w <> ''").distinct()
+    triples = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.col(c).substr(i, F.lit(k) if isinstance(k, int) else k)))
+    length = F.least(F.lit(3), F.length("__w"))
+    grams = words.select("*", F.explode(triples("__w", length)).alias("__g"))
+    known = grams.groupBy("__g").agg(F.count("*").alias("__n"))
+    keyed = grams.join(known, "__g").groupBy("__name", "__ord", "__w").agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g"))
+    sizes = [r[0] for r in words.select(length).distinct().collect()]  # three numbers at most
     text = df.select(ident, F.lower(F.concat_ws(" ", *hay)).alias("__t"))
-    hits = text.join(F.broadcast(words), F.expr("contains(__t, __w)")).select(ident, "__ord", "__name").distinct()
+    none = F.array().cast("array<string>")
+    there = F.concat(*[F.when(F.length("__t") >= k, triples("__t", k)).otherwise(none) for k in sizes], none)
+    small = keyed.count() * 256 <= BROADCAST_LIMIT_BYTES
+    hits = text.select(ident, "__t", F.explode(there).alias("__g")).join(F.broadcast(keyed) if small else keyed, "__g").where("contains(__t, __w)").select(ident, "__ord", "__name").distinct()
     return hits.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("__ord", "__name"))), lambda s: s["__name"]).alias("names"))
 
 
@@ -46,10 +58,16 @@ def replace_words(df: DataFrame, ident: str, column: str, fixes: DataFrame, patt
     return df.select(ident, column).join(back, ident, "left").select(ident, F.when(F.col(column).isNull(), None).otherwise(F.coalesce("__new", F.lit(""))).alias(column))
 
 
-def segment_report(df: DataFrame, ident: str, order: str, title: str, generic: str, least: int = 2, top: int = 40) -> DataFrame:
-    """(segment, n, example): title parts that may be names, in how many rows, with the first row's title; the ``top`` most frequent."""
-    parts = df.select(ident, order, title, F.explode(X.title_segments(title, generic)).alias("segment"))
-    return parts.groupBy("segment").agg(F.count("*").alias("n"), F.min_by(F.left(title, F.lit(80)), order).alias("example"), F.min(order).alias("first")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "first").limit(top).drop("first")
+def segment_report(df: DataFrame, ident: str, order: str, title: str, generic: str, channel: str | None = None, least: int = 2, top: int = 40) -> DataFrame:
+    """(segment, n, example): title parts that may be names, and names of automatic artist channels, in how many rows, with the
+    first row's title; the ``top`` most frequent, of equals the first seen."""
+    parts = X.title_segments(title, generic)
+    if channel:
+        artist = F.regexp_extract(F.coalesce(F.col(channel), F.lit("")), X.TOPIC_CHANNEL, 1)
+        parts = F.concat(F.when(artist != "", F.array(F.concat(artist, F.lit(" (Topic channel)")))).otherwise(F.array().cast("array<string>")), parts)
+    rows = df.select(ident, order, title, F.posexplode(parts).alias("at", "segment"))
+    counted = rows.groupBy("segment").agg(F.count("*").alias("n"), F.min_by(F.left(title, F.lit(80)), order).alias("example"), F.min(F.struct(order, "at")).alias("first"))
+    return counted.where(F.col("n") >= least).orderBy(F.col("n").desc(), "first").limit(top).drop("first")
 
 
 class MoodLexicon:

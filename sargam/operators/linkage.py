@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions.similarity import block_overlap, block_overlap_udf, opening_udf, ratio_udf
 from ..session import cut_lineage
+from .ranking import with_position
 
 # Least title similarity of a number match (windowed), of a second claim, of a fuzzy match, of opening lines, and of twins.
 NUMBER_MIN, NUMBER_WINDOW_MIN, CLAIM_MIN, FUZZY_MIN, LINE_MIN, RELINK_MIN, TWIN_MIN = 0.5, 0.8, 0.9, 0.8, 0.75, 0.85, 0.95
@@ -277,24 +278,67 @@ def link(a: DataFrame, b: DataFrame) -> DataFrame:
     return of_a.unionByName(left.select("b_ord", decision.alias("decision")), allowMissingColumns=True)
 
 
-def clusters(rows: DataFrame, ident: str, order: str, right: str, key: str, rounds: int = 30) -> DataFrame:
+def representatives(rows: DataFrame, group: str, rank: list[Column], own: list[str], filled: list[str], joined: list[str]) -> DataFrame:
+    """One row for each group: ``own`` columns of its first row in rank order, of each of ``filled`` the first value in rank order that is neither null
+    nor empty, of each of ``joined`` the distinct values sorted and joined by commas (null without any), and members, the number of rows.
+
+    All of it is mergeable, so a group of any size is combined before the shuffle; ``rank`` must be total."""
+    order = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rank)])
+    known = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col(c))
+    packed = rows.withColumn("__rank", order).groupBy(group).agg(
+        F.count("*").alias("members"),
+        F.min_by(F.struct(*own), "__rank").alias("__own"),
+        *[F.min_by(c, F.when(known(c).isNotNull(), F.col("__rank"))).alias(c) for c in filled],
+        *[F.nullif(F.array_join(F.array_sort(F.collect_set(known(c))), ", "), F.lit("")).alias(c) for c in joined],
+    )
+    return packed.select(group, "members", "__own.*", *filled, *joined)
+
+
+def filled_from_lines(queries: DataFrame, lines: DataFrame, share: float = 0.92, least: float = 0.5) -> DataFrame:
+    """(query, title, lyrics, sim) of queries (ord, translit) whose opening stands among ``lines`` (page, at, text) of another edition.
+
+    The best line for the opening (``best_in_block``) and those after it in page order, until they have ``share`` of the letters of the whole
+    romanised text (line breaks differ between editions); the first line always. Texts whose opening two lines agree by less than ``least`` are left out. Lines
+    have their letters summed over range partitions, and a text meets only the buckets of sums that it reaches into.
+    """
+    bucket = 256
+    skeleton = X.skeleton_native("text", "pipeline")
+    placed = cut_lineage(with_position(lines.withColumn("skeleton", skeleton), [F.col("page").asc(), F.col("at").asc()], F.length("skeleton")))
+    texts = queries.select(F.col("ord").alias("query"), F.filter(F.transform(F.split(F.coalesce("translit", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("l"), "translit")
+    asked = texts.select("query", "translit", F.get("l", F.lit(0)).alias("first"), F.length(X.skeleton_latin(F.array_join("l", " "))).alias("target"))
+    best = best_in_block(asked.select(F.col("query").alias("ord"), X.skeleton_latin("first").alias("skeleton")), placed.select(F.col("position").alias("ord"), "skeleton"))
+    start = best.join(placed.select(F.col("position").alias("line"), F.col("total_before").alias("begin")), "line").join(asked, "query")
+    reach = start.withColumn("end", F.col("begin") + share * F.col("target")).withColumn("b", F.explode(F.sequence(F.floor(F.col("begin") / bucket), F.floor(F.col("end") / bucket))))
+    following = reach.join(placed.select("position", "text", "total_before", F.floor(F.col("total_before") / bucket).alias("b")), "b")
+    following = following.where("position = line or (position > line and total_before < end)")
+    found = following.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("t"), F.first("translit").alias("translit"), F.first("sim").alias("sim"))
+    found = found.select("query", "translit", "sim", F.array_join(F.transform("t", lambda s: s["text"]), "\n").alias("lyrics"))
+    checked = found.withColumn("agree", F.coalesce(block_overlap_udf(*line_skeletons("lyrics", "translit")), F.lit(1.0))).where(F.col("agree") >= least)
+    return checked.select("query", F.rtrim(F.split("lyrics", "\n")[0], F.lit(",।;—-–! ")).alias("title"), "lyrics", "sim")
+
+
+def clusters(rows: DataFrame, ident: str, order: str, right: str, key: str) -> DataFrame:
     """(ident, cluster): rows joined by an equal right-hand row or an equal key, except where both have different right-hand rows.
 
     Edges go from each row to the first of its group, so their number grows with the rows, not with pairs; least labels spread
-    until none changes, with the state cut every round.
+    until none changes, however many rounds that takes, with the state cut every round.
     """
     r = rows.select(F.col(ident).alias("i"), F.col(order).alias("o"), F.col(right).alias("r"), F.col(key).alias("k"))
-    by_right = Window.partitionBy("r").orderBy("o")
-    by_key = Window.partitionBy("k").orderBy("o")
-    first = r.withColumn("fr", F.when(F.col("r").isNotNull(), F.first("o").over(by_right))).withColumn("fk", F.when(F.col("k").isNotNull(), F.first("o").over(by_key))).withColumn("fkr", F.when(F.col("k").isNotNull(), F.first("r").over(by_key)))
+    # First rows of groups are aggregates joined back, not windows: a group of any size is combined before the shuffle.
+    of_right = r.where("r is not null").groupBy("r").agg(F.min("o").alias("fr"))
+    of_key = r.where("k is not null").groupBy("k").agg(F.min(F.struct("o", "r")).alias("f")).select("k", F.col("f.o").alias("fk"), F.col("f.r").alias("fkr"))
+    first = r.join(of_right, "r", "left").join(of_key, "k", "left")
     conflict = F.col("r").isNotNull() & F.col("fkr").isNotNull() & (F.col("r") != F.col("fkr"))
     edges = first.where("fr < o").select("o", F.col("fr").alias("t")).unionAll(first.where((F.col("fk") < F.col("o")) & ~conflict).select("o", F.col("fk").alias("t"))).distinct()
     both = cut_lineage(edges.unionAll(edges.select(F.col("t").alias("o"), F.col("o").alias("t"))))
     labels = cut_lineage(r.select("o", F.col("o").alias("label")))
-    for _ in range(rounds):
+    moved = True
+    while moved:
         near = both.join(labels.select(F.col("o").alias("t"), F.col("label").alias("near")), "t").groupBy("o").agg(F.min("near").alias("near"))
-        new = cut_lineage(labels.join(near, "o", "left").select("o", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
+        new = labels.join(near, "o", "left").select("o", F.least("label", "near").alias("to"), F.col("label").alias("old"))
+        # labels of labels, so that rounds grow with the logarithm of a chain
+        of = new.select(F.col("o").alias("to"), F.col("to").alias("next"))
+        new = cut_lineage(new.join(of, "to", "left").select("o", F.least("to", "next").alias("label"), "old"))
+        moved = not new.where("label < old").isEmpty()
         labels = new.select("o", "label")
-        if new.where("moved").isEmpty():
-            break
     return r.join(labels, "o").select(F.col("i").alias(ident), F.col("label").alias("cluster"))

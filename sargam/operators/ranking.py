@@ -49,13 +49,10 @@ def page(df: DataFrame, order: list[Column], first: int = 120, step: int = 300,
 
 
 def item_of_day(df: DataFrame, rank: str, day) -> DataFrame:
-    """The item whose place in rank order is the day of the year modulo the number of ranked items.
-
-    Numbered over the ranked items only, a short list by meaning."""
-    ranked = df.where(F.col(rank).isNotNull())
-    n = F.count("*").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(rank)) - 1
-    return ranked.withColumn("__n", n).withColumn("__p", place).where(F.col("__p") == F.pmod(F.dayofyear(F.lit(day).cast("date")), F.col("__n"))).drop("__n", "__p")
+    """The item whose place in rank order is the day of the year modulo the number of ranked items. Places go over range partitions."""
+    placed = with_position(df.where(F.col(rank).isNotNull()), [F.col(rank).asc()])
+    n = max(1, placed.count())  # one number
+    return placed.where(F.col("position") == F.pmod(F.dayofyear(F.lit(day).cast("date")), F.lit(n))).drop("position")
 
 
 def latest_distinct(log: DataFrame, by: str, item: str, order: list[str], n: int) -> DataFrame:
@@ -92,11 +89,15 @@ def recency_excluded(pool: DataFrame, recent: DataFrame, item: str, place: str,
     return (tiered if least in (None, 3) else tiered.where(F.col("tier") == least)).drop("tier")
 
 
-def weighted_key(ident: Column, weight: Column, seed: int) -> Column:
-    """Exponential clock -ln(u)/w of a row, u from a hash of (seed, ident): the least key is a pick in proportion to weight
-    (Efraimidis and Spirakis 2006), the same for any partitioning."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return -F.ln(u) / weight
+def uniform(seed: int, *ident: Column) -> Column:
+    """A number in (0, 1) from the md5 of the seed and the row's key: the same for any partitioning, and in any other engine."""
+    digits = F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in ident])), F.lit(13))
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def weighted_key(ident: Column | list[Column], weight: Column, seed: int) -> Column:
+    """Exponential clock -ln(u)/w of a row: the least key is a pick in proportion to weight (Efraimidis and Spirakis 2006)."""
+    return -F.ln(uniform(seed, *(ident if isinstance(ident, list) else [ident]))) / weight
 
 
 def weighted_pick(df: DataFrame, ident: str, weight: Column, n: int, seed: int) -> DataFrame:
@@ -104,6 +105,20 @@ def weighted_pick(df: DataFrame, ident: str, weight: Column, n: int, seed: int)
     return df.where(weight > 0).withColumn("__k", weighted_key(F.col(ident), weight, seed)).orderBy("__k", ident).limit(n).drop("__k")
 
 
+def picked_per_key(df: DataFrame, key: str, ident: str, weight: Column, seed: int, preferred: Column | None = None) -> DataFrame:
+    """One row for each key, picked in proportion to weight among its ``preferred`` rows, or among all where it has none of those."""
+    clock = weighted_key([F.col(key), F.col(ident)], weight, seed)
+    first = F.when(preferred, 0).otherwise(1) if preferred is not None else F.lit(0)
+    best = F.min_by(F.struct(*df.columns), F.struct(first, clock, F.col(ident)))  # a mergeable aggregate: no group is gathered
+    return df.where(weight > 0).groupBy(F.col(key).alias("__key")).agg(best.alias("r")).select("r.*")
+
+
+def length_batches(df: DataFrame, ident: str, text: str, size: int = 32) -> DataFrame:
+    """Adds ``batch``: rows in order of text length, ``size`` to a batch, so that texts of one batch are about as long. Null texts count as empty."""
+    length = F.length(F.coalesce(F.col(text), F.lit("")))
+    return with_position(df, [length.asc(), F.col(ident).asc()]).withColumn("batch", F.floor(F.col("position") / size)).drop("position")
+
+
 def related(items: DataFrame, ident: str, order: str, moods: str, mode: str, category: str, sub: str, season: str, beat: str, playable: Column, popular: Column, n: int = 10, least: float = 4.0) -> DataFrame:
     """(item, other, score, place): the n most related items of each.
 
@@ -167,7 +182,7 @@ def playlist(songs: DataFrame, weights: dict[str, float], wanted_season: str | N
     rows = rows.join(liked.select("id", F.lit(True).alias("liked")).distinct(), "id", "left") if liked is not None else rows.withColumn("liked", F.lit(False))
     in_season = F.coalesce(F.col("season") == F.lit(wanted_season), F.lit(False))
     fit = mood_fit(F.col("moods"), weights)
-    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    u = uniform(seed, F.col("id"))
     score = 2 * F.col("fit") + F.when(F.col("in_season"), 1.0).otherwise(0.0) + F.when(F.col("liked"), 0.6).otherwise(0.0) + F.when(F.col("pop") > 0, 0.4 * (1 - F.col("pop") / 400)).otherwise(0.0) + jitter * u
     why = F.concat(F.filter(F.coalesce("moods", F.array().cast("array<string>")), lambda m: m.isin(*[k for k, v in weights.items() if v])), F.when(F.col("in_season"), F.array("season")).otherwise(F.array().cast("array<string>")))
     return rows.withColumn("fit", fit).withColumn("in_season", in_season).where((F.col("fit") > 0) | F.col("in_season")).withColumn("score", score).withColumn("why", why).orderBy(F.col("score").desc(), "ord").limit(max(1, min(50, n)))

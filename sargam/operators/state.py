@@ -51,6 +51,27 @@ def merged_state(local: DataFrame, remote: DataFrame, key: str, first_link: bool
     )
 
 
+def restored(sessions: DataFrame, by: str, items: DataFrame, back: float = 3) -> DataFrame:
+    """(by, history, item, medium, start) of saved sessions (by, history array, item, medium, at, playing) and playable items (item, media array of ids).
+
+    Unknown and unplayable items leave the history (an array of struct(item, medium), each with its first medium, in order) and make item null; a
+    medium that the item lacks gives way to its first; where playing goes on, it starts ``back`` seconds earlier, at 0 at the least.
+    """
+    first = items.select("item", F.col("media")[0].alias("medium"))
+    past = sessions.select(by, F.posexplode("history").alias("place", "item")).join(first, "item")
+    kept = past.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item", "medium"))), lambda s: F.struct(s["item"].alias("item"), s["medium"].alias("medium"))).alias("history"))
+    now = sessions.drop("history").join(items, "item", "left")
+    known = F.col("media").isNotNull()
+    now = now.select(
+        by,
+        F.when(known, F.col("item")).alias("item"),
+        F.when(known, F.when(F.array_contains("media", F.coalesce("medium", F.lit(""))), F.col("medium")).otherwise(F.col("media")[0])).alias("medium"),
+        F.when(known, F.when(F.col("playing"), F.greatest(F.lit(0.0), F.coalesce("at", F.lit(0.0)) - back)).otherwise(F.coalesce("at", F.lit(0.0)))).alias("start"),
+    )
+    empty = F.array().cast(kept.schema["history"].dataType)
+    return now.join(kept, by, "left").withColumn("history", F.coalesce("history", empty))
+
+
 def valid_sessions(sessions: DataFrame, at: str, now, days: int, item: str, items: DataFrame, ident: str, page: str) -> DataFrame:
     """Sessions of the last ``days`` whose item is known or whose page is not empty."""
     known = items.select(F.col(ident).alias("__known")).distinct()

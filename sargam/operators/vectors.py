@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from ..session import BROADCAST_LIMIT_BYTES, plan_bytes
+from ..session import BROADCAST_LIMIT_BYTES, cut_lineage
+from .ranking import with_position
 
 
 def _double(c: Column | str) -> Column:
@@ -50,18 +52,28 @@ def dequantised(v: Column | str, scale: float = 127.0) -> Column:
     return F.transform(F.col(v) if isinstance(v, str) else v, lambda x: x.cast("double") / scale)
 
 
-def similarities(queries: DataFrame, ident: str, vector: str, entries: DataFrame, name: str, entry_vector: str) -> DataFrame:
-    """(ident, name, sim) of every query with every entry of a short dictionary of vectors.
+def similarities(queries: DataFrame, ident: str, vector: str, entries: DataFrame, name: str, entry_vector: str, block_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """(ident, name, sim) of every query with every entry of a stated set of vectors.
 
-    The dictionary goes to each task only while its estimated size is under the broadcast limit, and products are blocks of
-    one matrix product for each Arrow batch; a larger one is joined by Spark instead.
+    Products are matrix products of an Arrow batch with a block of entries; a block holds as many entries as ``block_bytes`` allow
+    (counted), and goes to the tasks. More entries make more blocks, each a pass over the queries. Null vectors are left out.
     """
-    if plan_bytes(entries) > BROADCAST_LIMIT_BYTES:
-        return queries.where(F.col(vector).isNotNull()).select(ident, vector).crossJoin(entries.select(name, entry_vector)).select(ident, name, dot(vector, entry_vector).alias("sim"))
-    rows = entries.select(name, _double(entry_vector).alias("v")).orderBy(name).collect()
-    names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+    entries = entries.where(F.col(entry_vector).isNotNull()).select(name, _double(entry_vector).alias("v"))
+    n, width = entries.agg(F.count("*"), F.max(F.size("v"))).first()
+    per_block = max(1, block_bytes // (8 * (width or 1)))
     schema = T.StructType([queries.schema[ident], entries.schema[name], T.StructField("sim", T.DoubleType())])
-    name_type = to_arrow_type(entries.schema[name].dataType)
+    asked = queries.where(F.col(vector).isNotNull()).select(ident, vector)
+    if n <= per_block:
+        return _products(asked, entries, schema)
+    placed = cut_lineage(with_position(entries, [F.col(name).asc()]))
+    blocks = [_products(asked, placed.where(F.col("position").between(at, at + per_block - 1)).select(name, "v"), schema) for at in range(0, n, per_block)]
+    return reduce(DataFrame.unionAll, blocks)
+
+
+def _products(queries: DataFrame, block: DataFrame, schema: T.StructType) -> DataFrame:
+    rows = block.collect()  # one block, bounded by the caller
+    names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+    name_type = to_arrow_type(schema[1].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +82,9 @@ def similarities(queries: DataFrame, ident: str, vector: str, entries: DataFrame
             flat = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
             sims = flat @ matrix.T
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(names))))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(names * batch.num_rows, name_type), pa.array(sims.ravel())], names=[ident, name, "sim"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names * batch.num_rows, name_type), pa.array(sims.ravel())], names=schema.names)
 
-    return queries.where(F.col(vector).isNotNull()).select(ident, vector).mapInArrow(run, schema)
+    return queries.mapInArrow(run, schema)
 
 
 def within_margin(sims: DataFrame, ident: str, name: str, margin: float = 0.015, top: int = 3, loss: float = 0.3) -> DataFrame:
@@ -85,3 +97,12 @@ def within_margin(sims: DataFrame, ident: str, name: str, margin: float = 0.015,
         .where(F.col("place") <= top)
         .select(ident, name, (1 - (F.col("best") - F.col("sim")) / margin * loss).alias("weight"), "place")
     )
+
+
+def evaluation(moods: DataFrame, texts: DataFrame, ident: str, entry: str, margin: float, top_moods: int = 3, top_texts: int = 4) -> DataFrame:
+    """(ident, kind, entry, sim, place, picked): of each question's (ident, entry, sim) the ``top_moods`` moods and those within ``margin`` of the best, and its ``top_texts`` texts."""
+    w = Window.partitionBy(ident)
+    placed = lambda df, kind: df.withColumn("kind", F.lit(kind)).withColumn("place", F.row_number().over(w.orderBy(F.col("sim").desc(), entry)).cast("bigint"))
+    near = placed(moods, "mood").withColumn("picked", F.col("sim") >= F.max("sim").over(w) - margin).where((F.col("place") <= top_moods) | F.col("picked"))
+    both = near.unionByName(placed(texts, "text").where(F.col("place") <= top_texts).withColumn("picked", F.lit(False)))
+    return both.select(ident, "kind", entry, F.round("sim", 6).alias("sim"), "place", "picked")

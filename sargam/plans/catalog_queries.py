@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import catalog, facets, ranking, search
@@ -101,9 +100,17 @@ def facet_counts(spark, root):
     return facets.facet_counts(c, _facets(c), STATE, F.col("playable"))
 
 
-@query("SELECT * FROM (VALUES ('moods', 'calm'), ('moods', 'devotion'), ('moods', 'joy'), ('parjay', 'Puja'), ('parjay', 'Prem')) AS t(facet, value)")
+@query("""WITH f AS (SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal FROM customer)
+SELECT c_custkey, 'moods' AS facet, m AS value FROM (SELECT c_custkey, unnest(CASE WHEN c_nationkey % 3 = 0 THEN ['calm', 'joy'] WHEN c_nationkey % 3 = 1 THEN ['sorrow'] ELSE [] END) AS m FROM f)
+UNION ALL SELECT c_custkey, 'raag', c_mktsegment FROM f WHERE c_acctbal > 0
+UNION ALL SELECT c_custkey, 'liked', 'true' FROM f WHERE c_nationkey % 2 = 0""")
 def active_filters(spark, root):
-    return spark.createDataFrame(STATE.active(), "facet string, value string")
+    """The filters that each listener has set, a row for each that can be taken off."""
+    c = table(spark, root, "customer")
+    none = F.array().cast("array<string>")
+    moods = F.when(F.col("c_nationkey") % 3 == 0, F.array(F.lit("calm"), F.lit("joy"))).when(F.col("c_nationkey") % 3 == 1, F.array(F.lit("sorrow"))).otherwise(none)
+    saved = c.select("c_custkey", moods.alias("moods"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("raag"), (F.col("c_nationkey") % 2 == 0).alias("liked"))
+    return facets.active_filters(saved, "c_custkey", ["moods", "raag", "liked"])
 
 
 @query(f"""WITH {KEPT_SQL}
@@ -170,6 +177,31 @@ def search_tiers(spark, root):
     return search.search(projected, "Nodi  Pothe").orderBy("tier", "ord").select("id", F.col("tier").cast("bigint").alias("tier"))
 
 
+SEARCHES = ("saastil", "Sastil", "সাস্তিল", "haowa", "হাওয়া", "prithik", "tellagher", "টেলাঘের", "মনে আসে", "")
+
+
+def _search_sql(q: str) -> str:
+    native = any("\u0980" <= c <= "\u09ff" for c in q)
+    skeleton = native_skeleton_sql(f"'{q}'") if native else latin_skeleton_sql(f"'{q}'")
+    return f"""SELECT '{q}' AS query, id, CASE WHEN starts_with(title, q) THEN 1 WHEN contains(title, q) THEN 2
+  WHEN length(qs) >= 4 AND ((s1 <> '' AND starts_with(s1, qs)) OR (s2 <> '' AND starts_with(s2, qs))) THEN 3
+  WHEN length(qs) >= 4 AND (contains(s1, qs) OR contains(s2, qs)) THEN 4
+  WHEN contains(words, q) OR (length(qs) >= 5 AND contains(sl, qs)) THEN 5 END::BIGINT AS tier FROM t, (SELECT {norm_sql(f"'{q}'")} AS q, {skeleton} AS qs) WHERE q <> ''"""
+
+
+@query(f"""WITH t AS (SELECT ord, id, {norm_sql("concat_ws(' ', bn, en)")} AS title, {norm_sql("coalesce(lyrics, '')")} AS words,
+  {native_skeleton_sql("bn")} AS s1, {latin_skeleton_sql("en")} AS s2, {native_skeleton_sql("lyrics")} AS sl FROM songs)
+SELECT * FROM ({' UNION ALL '.join(map(_search_sql, SEARCHES))}) WHERE tier IS NOT NULL""")
+def searches(spark, root):
+    """Ten searches in either script, misspelled ones among them, that reach every tier; an empty one finds nothing."""
+    projected = search.search_projection(table(spark, root, "songs").select("ord", "id", "bn", "en", "lyrics"), "bn", "en", "lyrics")
+    found = [search.search(projected, q).select(F.lit(q).alias("query"), "id", F.col("tier").cast("bigint").alias("tier")) for q in SEARCHES]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionAll(f)
+    return out
+
+
 @query(f"""WITH n AS (SELECT ord, name, {norm_sql("name")} AS w, {latin_skeleton_sql("name")} AS s FROM singers)
 SELECT name, CASE WHEN starts_with(w, 'jhi') THEN 0 WHEN contains(w, 'jhi') THEN 1 WHEN contains(s, 'jk') AND length('jk') >= 3 THEN 2 END AS bucket
 FROM n WHERE contains(w, 'jhi')""")
@@ -211,9 +243,9 @@ def item_of_day(spark, root):
 SELECT id, row_number() OVER (ORDER BY CASE place WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 2 END, coalesce(pop, 9999), id) AS nth FROM q
 QUALIFY nth <= 25""")
 def queue_order(spark, root):
-    q = flagged(spark, root).where("playable and season = 'Barsha'").select("id", "pop", (F.row_number().over(Window.orderBy("ord")) - 1).alias("place"))
+    q = ranking.with_position(flagged(spark, root).where("playable and season = 'Barsha'").select("id", "pop", "ord"), [F.col("ord").asc()]).withColumnRenamed("position", "place")
     order = ranking.queue_order(F.col("place"), F.lit(3), F.col("pop"), "id")
-    return q.withColumn("nth", F.row_number().over(Window.orderBy(*order)).cast("bigint")).where("nth <= 25").select("id", "nth")
+    return ranking.with_position(q, order).where("position < 25").select("id", (F.col("position") + 1).alias("nth"))
 
 
 @query("SELECT id FROM songs ORDER BY ord LIMIT 300 OFFSET 120")
@@ -306,7 +338,11 @@ def media_relevance(spark, root):
     return kept.select("song_id", "ord", "relevance", "rank")
 
 
-@query()
+def uniform_sql(seed: int, *keys: str) -> str:
+    return f"((('0x' || left(md5({seed} || '|' || {" || '|' || ".join(keys)}), 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+@query(f"SELECT id FROM songs ORDER BY -ln({uniform_sql(7, 'id')}) / CASE WHEN pop IS NOT NULL THEN 4.0 ELSE 1.0 END, id LIMIT 20")
 def weighted_pick(spark, root):
     """Twenty songs with four times the chance for ranked ones, the same for any partitioning."""
     songs = table(spark, root, "songs")

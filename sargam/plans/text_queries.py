@@ -123,12 +123,38 @@ def contains_join(spark, root):
     return hits.select("ord", F.array_join("names", "|").alias("names"))
 
 
-@query()
+GENERIC_PART = "official|video|audio|live|full|গান|records|[0-9][0-9][0-9]|#"
+_BREAK = "(?i)\\s*[|।｜/]\\s*|\\s+[-–—]\\s+|\\s+by\\s+|\\(|\\)|\\[|\\]"
+_CUT = "regexp_replace(trim(regexp_replace(x, '^[\\s:\\-–]+|[\\s:\\-–]+$', '', 'g')), '(?i)^(singer|voice|কণ্ঠে?|শিল্পী)\\s*[:\\-]?\\s*', '')"
+_INITIALS = "array_to_string(list_transform(string_split(lower(x), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+@query(rf"""WITH hit AS (SELECT DISTINCT v.ord FROM videos v JOIN (SELECT unnest(spellings) AS w FROM singers) w ON contains(lower(concat_ws(' ', v.title, v.channel)), lower(w.w))),
+v AS (SELECT * FROM videos WHERE ord NOT IN (SELECT ord FROM hit)),
+p AS (SELECT ord, title, list_concat(CASE WHEN channel LIKE '_% - Topic' THEN [regexp_extract(channel, '^(.+?) - Topic$', 1) || ' (Topic channel)'] ELSE [] END,
+  list_transform(list_filter(list_transform(string_split_regex(coalesce(title, ''), '{_BREAK}'), lambda x: {_CUT}),
+    lambda x: x <> '' AND len(string_split_regex(trim(x), '\s+')) BETWEEN 1 AND 4 AND length(x) >= 4 AND NOT regexp_matches(x, '(?i){GENERIC_PART}')),
+    lambda x: CASE WHEN regexp_matches(x, '^[\x00-\x7f]*$') THEN {_INITIALS} ELSE x END)) AS l FROM v WHERE title IS NOT NULL),
+u AS (SELECT ord, title, segment, min(nth) AS nth FROM (SELECT ord, title, unnest(l) AS segment, generate_subscripts(l, 1) AS nth FROM p) GROUP BY 1, 2, 3)
+SELECT segment, count(*) AS n, arg_min(left(title, 80), ord) AS example FROM u GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, min((ord, nth)) LIMIT 40""")
 def segment_report(spark, root):
-    """Title parts in videos whose singer no dictionary spelling gives; capitals by word make it Spark's own."""
-    v = table(spark, root, "videos")
+    """Title parts and artist channels in videos whose singer no dictionary spelling gives."""
+    v = table(spark, root, "videos").where("title is not null")
     hits = lexicon.dictionary_hits(v, "ord", ["title", "channel"], table(spark, root, "singers"), "name", "ord", "spellings")
-    return lexicon.segment_report(v.join(hits, "ord", "left_anti").withColumn("id", F.col("ord")), "id", "ord", "title", r"(?iu)official|video|audio|live|full|গান|records|\d{3,}|#")
+    return lexicon.segment_report(v.join(hits, "ord", "left_anti").withColumn("id", F.col("ord")), "id", "ord", "title", f"(?iu){GENERIC_PART}", "channel")
+
+
+@query(r"""WITH t AS (SELECT CASE WHEN ord % 5 = 0 THEN replace(replace(replace(replace(lyrics_bn, chr(2492), ''), chr(2527), chr(2479)), chr(2524), chr(2465)), chr(2525), chr(2466)) ELSE replace(replace(replace(lyrics_bn, chr(2527), chr(2479) || chr(2492)), chr(2524), chr(2465) || chr(2492)), chr(2525), chr(2466) || chr(2492)) END AS x FROM songs_base),
+c AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(x, ''), '[\x{0980}-\x{09FF}]+')) AS word FROM t) GROUP BY 1),
+v AS (SELECT word, n, pos, substring(word, 1, pos) || '়' || substring(word, pos + 1) AS variant FROM (SELECT c.word, c.n, unnest(range(1, length(c.word) + 1)) AS pos FROM c) WHERE substring(word, pos, 1) IN ('ড', 'ঢ', 'য') AND substring(word, pos + 1, 1) <> '়')
+SELECT v.word, max_by(v.variant, v.pos) AS fixed FROM v JOIN c ON c.word = v.variant WHERE c.n >= greatest(3, 3 * v.n) GROUP BY 1""")
+def scan_fixes(spark, root):
+    """The fixes for texts of which a scanner lost the dots in every fifth."""
+    text = F.col("lyrics_bn")
+    for one, base in (("\u09df", "\u09af"), ("\u09dc", "\u09a1"), ("\u09dd", "\u09a2")):
+        text = F.replace(text, F.lit(one), F.lit(base + X.NUKTA))
+    scanned = table(spark, root, "songs_base").select("ord", F.when(F.col("ord") % 5 == 0, F.replace(text, F.lit(X.NUKTA), F.lit(""))).otherwise(text).alias("text"))
+    return lexicon.dotless_fixes(lexicon.word_frequency(scanned, "text"))
 
 
 @query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(lyrics_bn, ''), '[\\x{0980}-\\x{09FF}]+')) AS word FROM songs_base) GROUP BY 1""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,14 +16,19 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
+def schema(**fields: str) -> T.StructType:
+    """A schema by field names and SQL types."""
+    return T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields.items()))
+
+
 _S, _L = T.StringType(), T.LongType()
 CANDIDATE = _struct(id=_S, title=_S, channel=_S, views=_L, likes=_L, seconds=T.IntegerType(), embeddable=T.BooleanType())
 CANDIDATES = _struct(song_id=_S, queries=T.ArrayType(_S), fetched=_S, refreshed=_S, candidates=T.ArrayType(CANDIDATE), videos=T.ArrayType(CANDIDATE))
 
 
-def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON document of an array of records, or of records by line; the schema is given, never guessed."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_document(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """One JSON document of an array of records, or with ``lines`` records by line, which are split among tasks; the schema is given, never guessed."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -35,9 +43,9 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         raise
 
 
-def read_directory(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_directory(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
     """A directory of one JSON document per key as a table; names that begin with _ are left out; adds ``key``, the name without suffix."""
-    df = spark.read.schema(schema).json(path, multiLine=True)
+    df = read_document(spark, path, schema, lines)
     return df.withColumn("key", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
 
 
@@ -60,6 +68,66 @@ def page_fields(html: Column, label: str = r"<b>([^<:]+)</b>:\s*([^<]*)") -> Col
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
 
 
+class _Page(HTMLParser):
+    """Labelled values of a page, and the text of its preformatted blocks; tags within them do not count."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.fields: dict[str, str] = {}
+        self.blocks: list[str] = []
+        self.depth = self.bold = 0
+        self.label, self.value = "", None
+
+    def finish(self) -> None:
+        if self.value is not None:
+            self.fields[self.label.strip().rstrip(":").strip()] = self.value.strip().lstrip(":").strip()
+        self.label, self.value = "", None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "pre":
+            self.finish()
+            self.blocks += [] if self.depth else [""]
+            self.depth += 1
+        elif not self.depth and tag == "b":
+            self.finish()
+            self.bold += 1
+        elif not self.depth and tag in ("br", "p", "div", "li", "tr", "h1"):
+            self.finish()
+        elif self.depth and tag == "br":
+            self.blocks[-1] += "\n"
+
+    def handle_endtag(self, tag):
+        if tag == "pre" and self.depth:
+            self.depth -= 1
+        elif tag == "b" and self.bold and not self.depth:
+            self.bold -= 1
+            self.value = "" if self.label.strip() else None
+        elif not self.depth and tag in ("p", "div", "li", "tr"):
+            self.finish()
+
+    def handle_data(self, data):
+        if self.depth:
+            self.blocks[-1] += data
+        elif self.bold:
+            self.label += data
+        elif self.value is not None:
+            self.value += data
+
+
+@F.pandas_udf(T.StructType([T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType())]))
+def parsed_page(pages: pd.Series) -> pd.DataFrame:
+    """struct(fields map<label, value>, text) of HTML pages of any nesting: '<b>label</b>: value' to the end of its block, of equal labels the last, and the preformatted text."""
+    rows = []
+    for html in pages:
+        page = _Page()
+        if isinstance(html, str):
+            page.feed(html)
+            page.close()
+            page.finish()
+        rows.append((page.fields, "\n".join(page.blocks) if page.blocks else None))
+    return pd.DataFrame(rows, columns=["fields", "text"])
+
+
 def parsed_candidates(df: DataFrame, body: str) -> DataFrame:
     """Candidates of landed search documents: nested fields by schema, missing counts 0."""
     schema = "items array<struct<id string, snippet struct<title string, channelTitle string>, contentDetails struct<duration string>, statistics struct<viewCount string, likeCount string>, status struct<embeddable boolean>>>"
@@ -110,10 +178,19 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def audit(decisions: DataFrame, column: str = "decision") -> dict[str, DataFrame]:
-    """One table for each kind of decision of a linker; the kinds are few by contract."""
-    kinds = [r[0] for r in decisions.select(column).distinct().orderBy(column).limit(100).collect()]
-    return {k: decisions.where(F.col(column) == k) for k in kinds}
+def write_published(df: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
+    """A published table of any size: ``path``/rows holds its rows as JSON lines without null fields, ``path``/meta one line with their number and ``meta``."""
+    write_documents(df, f"{path}/rows")
+    named = [F.lit(v).alias(k) for k, v in (meta or {}).items()]
+    df.agg(F.count("*").alias("count")).select("count", *named).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def audit(decisions: DataFrame, column: str = "decision", most: int = 100) -> dict[str, DataFrame]:
+    """One table for each kind of decision of a linker; more than ``most`` kinds raise, since kinds are few by contract."""
+    kinds = [r[0] for r in decisions.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(kinds) > most:
+        raise ValueError(f"more than {most} kinds of {column}")
+    return {k: decisions.where(F.col(column).eqNullSafe(F.lit(k))) for k in kinds}
 
 
 def with_metrics(df: DataFrame, name: str, **counted: Column):

@@ -296,3 +296,67 @@ def test_vectors(spark):
     entries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "name string, e array<double>")
     sims = {(r["i"], r["name"]): r["sim"] for r in vectors.similarities(df, "i", "v", entries, "name", "e").collect()}
     assert sims == {(1, "a"): 3.0, (1, "b"): 4.0, (2, "a"): 0.0, (2, "b"): 0.0}
+
+
+def test_dictionary_hits_find_what_all_pairs_find(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abকখ ") for _ in range(n))
+    entries = [(k, f"n{k}", [word(rng.randrange(1, 6)) for _ in range(3)] + ["", None]) for k in range(12)]
+    texts = [(k, rng.choice([None, word(rng.randrange(0, 12))]), word(rng.randrange(0, 12)).upper()) for k in range(200)]
+    got = lexicon.dictionary_hits(spark.createDataFrame(texts, "i int, a string, b string"), "i", ["a", "b"], spark.createDataFrame(entries, "ord int, name string, s array<string>"), "name", "ord", "s")
+    want = {}
+    for i, a, b in texts:
+        hay = " ".join(x for x in (a, b) if x is not None).lower()
+        names = [n for _, n, s in entries if any(w and w.lower() in hay for w in s)]
+        if names:
+            want[i] = names
+    assert {r["i"]: r["names"] for r in got.collect()} == want
+    none = spark.createDataFrame([], "ord int, name string, s array<string>")
+    assert lexicon.dictionary_hits(spark.createDataFrame(texts, "i int, a string, b string"), "i", ["a"], none, "name", "ord", "s").count() == 0
+
+
+def test_products_in_blocks_equal_one_product(spark):
+    rng = random.Random(9)
+    vector = lambda: [rng.random() for _ in range(8)]
+    q = spark.createDataFrame([(k, vector()) for k in range(20)] + [(99, None)], "i int, v array<double>")
+    e = spark.createDataFrame([(f"e{k}", vector()) for k in range(11)] + [("none", None)], "name string, e array<double>")
+    one = {(r[0], r[1]): r[2] for r in vectors.similarities(q, "i", "v", e, "name", "e").collect()}
+    many = {(r[0], r[1]): r[2] for r in vectors.similarities(q, "i", "v", e, "name", "e", block_bytes=3 * 64).collect()}
+    assert len(one) == 220 and one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-12 for k in one)
+
+
+def test_restored_sessions(spark):
+    items = spark.createDataFrame([("a", ["a1", "a2"]), ("b", ["b1"])], "item string, media array<string>")
+    rows = [(1, ["b", "gone", "a"], "a", "a2", 10.0, True), (2, [], "a", "zz", 1.0, True), (3, None, "gone", "a1", 5.0, False), (4, ["b"], None, None, None, None), (5, ["b"], "b", None, None, False)]
+    got = {r["user"]: r for r in state.restored(spark.createDataFrame(rows, "user int, history array<string>, item string, medium string, at double, playing boolean"), "user", items).collect()}
+    assert [tuple(x) for x in got[1]["history"]] == [("b", "b1"), ("a", "a1")] and tuple(got[1])[1:4] == ("a", "a2", 7.0)
+    assert tuple(got[2])[1:] == ("a", "a1", 0.0, []) and tuple(got[3])[1:4] == (None, None, None) and tuple(got[4])[1:4] == (None, None, None) and tuple(got[5])[1:4] == ("b", "b1", 0.0)
+
+
+def test_listener_and_picks(spark):
+    df = spark.createDataFrame([(k, k % 3, float(k)) for k in range(30)], "id int, key int, w double")
+    assert rows(facets.for_listener(df, "id", spark.createDataFrame([(1,), (1,)], "id int"), spark.createDataFrame([(1,), (2,), (2,)], "id int")), "id") == [(2,)]
+    picked = ranking.picked_per_key(df, "key", "id", F.col("w"), 4, F.col("id") > 25)
+    assert {r["key"] for r in picked.collect()} == {0, 1, 2} and all(r["id"] > 25 for r in picked.collect())
+    assert rows(picked, "id") == rows(ranking.picked_per_key(df.repartition(5), "key", "id", F.col("w"), 4, F.col("id") > 25), "id")
+
+
+def test_representatives(spark):
+    df = spark.createDataFrame([(1, 2, "late", None, "z"), (1, 1, "first", "", "a"), (1, 3, "x", "raag", "z"), (2, 1, None, None, "")], "g int, r int, own string, fill string, many string")
+    got = {r["g"]: tuple(r)[1:] for r in linkage.representatives(df, "g", [F.col("r")], ["own"], ["fill"], ["many"]).collect()}
+    assert got == {1: (3, "first", "raag", "a, z"), 2: (1, None, None, None)}
+
+
+def test_lines_fill_a_text(spark):
+    lines = ["তোমার পথে নদী জলে", "কাছে দূরে মনে রাতে", "শুধু আকাশ ভোরে পাখি", "বনে বনে ফুলের হাসি", "এমন দিনে কারে বলা"]
+    pages = spark.createDataFrame([(1, 0, "অন্য কথা কিছু"), *[(1, k + 1, x) for k, x in enumerate(lines[:2])], *[(2, k, x) for k, x in enumerate(lines[2:])]], "page int, at int, text string")
+    songs = [(1, "tomar pothe nodi jole\nkachhe dure mone rate\nshudhu akash bhore pakhi"), (2, "tomar pothe nodi jole\nbhinno gaaner onno kotha"), (3, None), (4, "kichhui nei ekhane aj")]
+    got = {r["query"]: r["lyrics"].split("\n") for r in linkage.filled_from_lines(spark.createDataFrame(songs, "ord int, translit string"), pages, least=0.9).collect()}
+    assert got == {1: lines[:3]}
+
+
+def test_clusters_of_a_long_chain(spark):
+    df = spark.createDataFrame([(f"i{k}", k, k // 2, f"k{(k + 1) // 2}") for k in range(300)], "i string, o int, r int, k string").withColumn("r", F.when(F.col("o") % 2 == 0, None).otherwise(F.col("r")).cast("int"))
+    plain = spark.createDataFrame([(f"i{k}", k, None, f"k{k // 2}") for k in range(100)], "i string, o int, r int, k string")
+    assert {r["cluster"] for r in linkage.clusters(plain, "i", "o", "r", "k").collect()} == set(range(0, 100, 2))
+    assert linkage.clusters(df, "i", "o", "r", "k").count() == 300

@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sargam.sources import readers
@@ -63,3 +64,20 @@ def test_streams(spark, tmp_path):
     counts = streaming.windowed_counts(stream(), "at", "user").writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     counts.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 18
+
+
+def test_parsed_pages(spark):
+    pages = [
+        ("<p><b>Taal</b> : <a href='x'>Teora &amp; Rupak</a></p><b>Raag:</b> A<br>rest<pre>one<br>two <i>three</i></pre><pre>four</pre>",), ("<b>a</b>: 1<b>a</b>: 2",), (None,), ("",), ("<b>open",), ("<!-- <b>x</b>: y --><script>'<b>q</b>: z'</script>",),
+    ]
+    got = [(r["p"]["fields"], r["p"]["text"]) for r in spark.createDataFrame(pages, "h string").select(readers.parsed_page("h").alias("p")).collect()]
+    assert got == [({"Taal": "Teora & Rupak", "Raag": "A"}, "one\ntwo three\nfour"), ({"a": "2"}, None), ({}, None), ({}, None), ({}, None), ({}, None)]
+
+
+def test_published_tables_and_audits(spark, tmp_path):
+    df = spark.createDataFrame([(k, None if k % 2 else "x") for k in range(10)], "i int, s string")
+    readers.write_published(df, f"{tmp_path}/p", {"kind": "k"})
+    assert readers.read_document(spark, f"{tmp_path}/p/meta", readers.schema(count="bigint", kind="string"), lines=True).first().asDict() == {"count": 10, "kind": "k"}
+    assert readers.read_document(spark, f"{tmp_path}/p/rows", df.schema, lines=True).exceptAll(df).count() == 0
+    with pytest.raises(ValueError):
+        readers.audit(df.withColumn("decision", F.col("i").cast("string")), most=5)

@@ -27,7 +27,7 @@ HONORIFICS = frozenset("sri shri shree smt sm pt pandit ustad dr prof late kumar
 # Words and signs that end one part of a title and begin another.
 BREAK_WORDS = frozenset("by sings sung and feat ft with singer vocal artist official video audio full song songs topic music tv gaan creations records studio archive sound lyrical live hd channel কণ্ঠ গান ও এবং শিল্পী".split())
 _BREAK = re.compile(r"[|:()\[\]/।&#+;•~]|\s[-–—]\s|\bby\b")
-_TOKEN = re.compile(r"(?:[^\W\d_]|[̀-ͯঁ-ৗড়-ৣ])+\.?|,")
+_TOKEN = re.compile(r"(?:[^\W\d_]|[̀-ͯঁ-ৗড়-ৣ])+\.?|[,\n]")
 
 
 def once(udf):
@@ -82,40 +82,52 @@ def name_keys(word: str) -> tuple[str, str]:
     return ended(key.replace("ou", "o").replace("a", "o")), ended(key)
 
 
-def parts_of(text: str | None) -> list[str]:
+_QUOTES = str.maketrans(dict.fromkeys("“”\"'‘’_-", " "))
+
+
+def parts_of(text: str | None, honorifics: frozenset[str] = HONORIFICS, breaks: frozenset[str] = BREAK_WORDS) -> list[str]:
     """Parts of a title or channel between breaks, each as its name words parted by blanks; a comma is a word of its own."""
     if not text:
         return []
-    text = re.sub(r"[“”\"'‘’_-]", " ", _BREAK.sub("\n", visible_form(text).replace("–", "-")))
-    parts: list[list[str]] = [[]]
-    for line in text.split("\n"):
-        parts.append([])
-        for token in _TOKEN.findall(line):
-            plain = token.rstrip(".").casefold()
-            if plain in BREAK_WORDS:
-                parts.append([])
-            elif plain in HONORIFICS and not (parts[-1] and token.endswith(".") and plain in ("shri", "sri", "da", "di")):
-                if parts[-1] and plain not in ("da", "di", "দা", "দি"):
-                    parts.append([])
-            else:
-                parts[-1].append(plain + "." if token.endswith(".") and len(token) > 1 else plain)
-    return [" ".join(p).strip(" ,") for p in parts if any(x != "," for x in p)]
+    text = visible_form(text)
+    text = text.lower() if text.isascii() else text.casefold()
+    part: list[str] = []
+    parts = [part]
+    for token in _TOKEN.findall(_BREAK.sub("\n", text.replace("–", "-")).translate(_QUOTES)):
+        if token[-1] != "." and token not in breaks and token not in honorifics and token != "\n":
+            part.append(token)
+            continue
+        plain = token.rstrip(".")
+        if plain == "\n" or plain in breaks:
+            part = []
+            parts.append(part)
+        elif plain in honorifics and not (part and token[-1] == "." and plain in ("shri", "sri", "da", "di")):
+            if part and plain not in ("da", "di", "দা", "দি"):
+                part = []
+                parts.append(part)
+        else:
+            part.append(plain + "." if token[-1] == "." and len(token) > 1 else plain)
+    return [" ".join(p).strip(" ,") for p in parts if p and (p[0] != "," or any(x != "," for x in p))]
+
+
+def _parts(honorifics: frozenset[str], breaks: frozenset[str]):
+    """Parts of all texts of a row; each distinct text of a batch is cut once."""
 
+    @once
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(rows: pd.Series) -> pd.Series:
+        known: dict[str | None, list[str]] = {}
+        out = []
+        for texts in rows:
+            parts: dict[str, None] = {}
+            for text in texts:
+                if text not in known:
+                    known[text] = parts_of(text, honorifics, breaks)
+                parts |= dict.fromkeys(known[text])
+            out.append(list(parts))
+        return pd.Series(out, dtype=object)
 
-@once
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _parts(rows: pd.Series) -> pd.Series:
-    """Parts of all texts of a row; each distinct text of a batch is cut once."""
-    known: dict[str | None, list[str]] = {}
-    out = []
-    for texts in rows:
-        parts: dict[str, None] = {}
-        for text in texts:
-            if text not in known:
-                known[text] = parts_of(text)
-            parts |= dict.fromkeys(known[text])
-        out.append(list(parts))
-    return pd.Series(out, dtype=object)
+    return cut
 
 
 def initial_of(word: str) -> str | None:
@@ -141,6 +153,17 @@ def _keys(words: pd.Series) -> pd.DataFrame:
 
 def edits(a: str, b: str) -> int:
     """Least number of letters put in, left out, changed, or exchanged with their neighbour."""
+    if a == b:
+        return 0
+    # What begins and what ends both needs no edit.
+    start, end_a, end_b = 0, len(a), len(b)
+    while start < end_a and start < end_b and a[start] == b[start]:
+        start += 1
+    while end_a > start and end_b > start and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    a, b = a[start:end_a], b[start:end_b]
+    if not a or not b or (len(a) == len(b) == 1):
+        return max(len(a), len(b))
     two: list[int] = []
     one = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -265,10 +288,12 @@ def _similar_forms(words: DataFrame, entries: DataFrame, least: float, key_least
     return close.select("word", "singer", "kind", "sim")
 
 
-def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons: DataFrame, name: str, spellings: str, threshold: float = 0.8) -> DataFrame:
+def named_persons_scored(
+    df: DataFrame, ident: str, columns: list[str], persons: DataFrame, name: str, spellings: str, threshold: float = 0.8, honorifics: frozenset[str] = HONORIFICS, breaks: frozenset[str] = BREAK_WORDS
+) -> DataFrame:
     """(ident, singer, part, score): the persons of the list that each row names in any of its text columns.
 
-    Columns are cut into parts at signs and words that part names from titles; each distinct part is
+    Columns are cut into parts at signs and at ``breaks``, words that part names from titles; ``honorifics`` are left out; each distinct part is
     matched once. A part names a person where
     - a word like the given name (or its beginning, the nickname, or an initial that begins the part or
       stands alone beside the surname) stands next to a word like the surname (or its beginning with a
@@ -281,7 +306,7 @@ def named_persons_scored(df: DataFrame, ident: str, columns: list[str], persons:
     identifier; a row names a person once. Empty input or list: empty result.
     """
     # Each stage is written once to the shared folder: it is read by several later ones, and a plan that holds all of them grows beyond the driver.
-    rows = cut_lineage(df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("row"), _parts(F.array(*columns)).alias("parts")).where("size(parts) > 0"))
+    rows = cut_lineage(df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("row"), _parts(honorifics, breaks)(F.array(*columns)).alias("parts")).where("size(parts) > 0"))
     rows = rows.select("row", F.explode("parts").alias("part"))
     parts = cut_lineage(rows.select("part").distinct())
     tokens = parts.select("part", F.posexplode(F.split("part", " ")).alias("pos", "word")).where("word not in ('', ',')")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .bpe import encode_corpus
+from .bpe import decode_corpus, encode_corpus
 from .canonical import map_to_reference
 from .forms import look_alike_pairs
-from .leaks import leaks
+from .leaks import leaked_items, leaks
 from .linkage import matched_records, record_features
 from .names import named_persons
 from .stuffed import stuffed_pages
@@ -61,6 +61,17 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(table(spark, root, "documents"), "doc_id", "text")
 
 
+def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return decode_corpus(encode_corpus(table(spark, root, "documents"), "doc_id", "text"), "doc_id")
+
+
+def p7_slots(spark: SparkSession, root: str) -> DataFrame:
+    """Every pair that shares enough template windows, with the words in order and what its slots hold."""
+    found = leaked_items(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "benchmark"), "item_id", "text")
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     found = leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "benchmark"), "item_id", "text")
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -71,7 +82,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_positions, p2_found, p3_found, p3_confidence, p4_found, p5_found, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_positions, p2_found, p3_found, p3_confidence, p4_found, p5_found, p6_ids, p6_decoded, p7_found, p7_slots, p8_found)}
 
 
 _TOP_3 = """
@@ -127,6 +138,7 @@ def _raag_oracle(k: int = 2) -> str:
 def llm_oracle_sql() -> dict[str, str]:
     return {
         "p5_found": _raag_oracle(),
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p1_found": _TOP_3 + "SELECT song_id, video_id FROM placed WHERE position <= 3",
         "p1_positions": _TOP_3 + "SELECT song_id, video_id, views, position FROM placed WHERE position <= 3",
     }

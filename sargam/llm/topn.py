@@ -88,6 +88,9 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int, di
         rows = best_score_per_item(df, group, item, score).select("grp", "score", "item")
     else:
         rows = df.select(F.col(group).alias("grp"), F.col(score).alias("score"), F.col(item).alias("item")).where("grp is not null and item is not null and score is not null")
+        # Rows equal in all three have one place in the order, which no range can split: they are counted, and n of them are enough.
+        counted = rows.groupBy("grp", "score", "item").agg(F.least(F.count("*"), F.lit(n)).alias("copies"))
+        rows = counted.select("grp", "score", "item", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
     order = [F.col("grp").asc(), F.col("score").desc(), F.col("item").asc()]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = T.StructType(

@@ -54,3 +54,9 @@ def test_repeated_items_can_count_each(spark):
     df = frame(spark, [("s", "v", 2), ("s", "v", 2), ("s", "w", 1)])
     top = top_n_per_group(df, "song", "video", "views", 2, distinct_items=False).collect()
     assert sorted((r["item"], r["position"]) for r in top) == [("v", 1), ("v", 2)]
+
+
+def test_equal_rows_are_counted_not_gathered(spark):
+    df = spark.range(50_000).selectExpr("'a' as song", "'v' as video", "5 as views").unionAll(spark.createDataFrame([("a", "w", 9), ("b", "x", 1), ("b", "x", 1)], "song string, video string, views int"))
+    found = sorted(tuple(r) for r in top_n_per_group(df, "song", "video", "views", 3, distinct_items=False).collect())
+    assert found == [("a", "v", 5, 2), ("a", "v", 5, 3), ("a", "w", 9, 1), ("b", "x", 1, 1), ("b", "x", 1, 2)]

@@ -67,11 +67,23 @@ def next_allowed(df: DataFrame, by: str, place: str, current: str, blocked: Colu
     return df.where((F.col(place) > F.col(current)) & ~blocked).groupBy(by).agg(F.min(place).alias(place))
 
 
+def place_in_group(df: DataFrame, group: str, order: list[Column], amount: Column | None = None) -> DataFrame:
+    """Adds ``place`` (0, 1, ... within the group in the given order) and, with ``amount``, ``before`` (the sum of it over the group's earlier rows).
+
+    Global positions and sums less those of the group's first row: a group of any size is spread over range partitions. ``order`` must be total.
+    """
+    placed = cut_lineage(with_position(df, [F.col(group).asc(), *order], amount))
+    first = placed.groupBy(group).agg(F.min("position").alias("__p"), *([F.min_by("total_before", "position").alias("__t")] if amount is not None else []))
+    joined = placed.join(first, group).withColumn("place", F.col("position") - F.col("__p"))
+    if amount is not None:
+        joined = joined.withColumn("before", F.col("total_before") - F.col("__t")).drop("total_before", "__t")
+    return joined.drop("position", "__p")
+
+
 def take_while_total(df: DataFrame, by: str, order: str, size: Column, target: Column, share: float) -> DataFrame:
-    """Rows in order while the total before is under share * target; the first row always."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.row_number().over(Window.partitionBy(by).orderBy(order)) == 1
-    return df.withColumn("__b", before).withColumn("__f", first).where(F.col("__f") | (F.col("__b") < target * share)).drop("__b", "__f")
+    """Rows in order while the total before is under share * target; the first row always. ``order`` must be total within ``by``."""
+    placed = place_in_group(df, by, [F.col(order).asc()], F.coalesce(size, F.lit(0)))
+    return placed.where((F.col("place") == 0) | (F.col("before") < target * share)).drop("place", "before")
 
 
 def queue_order(place: Column, current: Column, rank: Column, title: str) -> list[Column]:

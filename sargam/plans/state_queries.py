@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import catalog, linkage, ranking, state, vectors
@@ -22,7 +21,7 @@ def recent_distinct(spark, root):
 @query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events)
 SELECT user_id, min(place) AS place FROM e WHERE place > 5 AND event_type <> 'error' GROUP BY 1""")
 def next_unplayed(spark, root):
-    e = table(spark, root, "events").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint"))
+    e = ranking.place_in_group(table(spark, root, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", [F.col("ts").asc(), F.col("event_id").asc()]).withColumn("place", F.col("place") + 1)
     return ranking.next_allowed(e.withColumn("current", F.lit(5)), "user_id", "place", "current", F.col("event_type") == "error")
 
 
@@ -49,8 +48,8 @@ def quota_ledger(spark, root):
     from ..functions.calendar import day_in_zone
 
     e = table(spark, root, "events").where("event_type = 'view'").withColumn("day", day_in_zone(F.col("ts").cast("timestamp")).cast("string"))
-    used = F.count("*").over(Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)) * 101
-    return e.withColumn("used", used).where("used + 202 <= 9800").select("event_id", "day", "used")
+    placed = ranking.place_in_group(e.select("event_id", "ts", "day"), "day", [F.col("ts").asc(), F.col("event_id").asc()])
+    return placed.withColumn("used", (F.col("place") + 1) * 101).where("used + 202 <= 9800").select("event_id", "day", "used")
 
 
 def _replica(spark, root, parity):

@@ -89,7 +89,10 @@ def test_markup(spark):
 def test_category(spark):
     known = {"puja": "Puja", "prem": "Prem"}
     for value, want in (("Puja (12)", ("Puja", None, 12)), ("Puja 12", ("Puja", None, 12)), ("PREM", ("Prem", None, None)), ("some play", ("plays", "Some Play", None)), ("other (3)", (None, None, None)), (None, (None, None, None))):
-        assert tuple(one(spark, value, lambda c: X.canonical_category(c, known, ["some-play"]))) == want
+        assert tuple(one(spark, value, lambda c: X.canonical_category(c, known, ["some-play"])))[:3] == want
+    more = dict(native={"Puja": "পূজা", "Late": "শেষ", "Bhanu": "ভানু"}, appendix=("^late", "Late"), beginnings={"bhanu": "bhanu songs"})
+    for value, want in (("Some play nn (4)", ("plays", "Some Play", None, None)), ("some play (scene 2)", ("plays", "Some Play", None, None)), ("Late ones (3)", ("Late", None, None, "শেষ")), ("Bhanu x / y (7)", ("Bhanu", None, 7, "ভানু")), ("Puja (54A)", ("Puja", None, None, "পূজা")), ("puja / prem 5", ("Puja", None, 5, "পূজা")), ("Puja Sub: x (1)", ("Puja", None, None, "পূজা"))):
+        assert tuple(one(spark, value, lambda c: X.canonical_category(c, known | {"bhanu songs": "Bhanu"}, ["some-play"], **more))) == want, value
 
 
 def test_sql_names(spark):

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sargam.functions.similarity import block_overlap, opening_similarity, ratio
@@ -45,8 +44,8 @@ def test_refresh_prune_export(spark):
 def test_unique_budget_batches_first_filled(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
     assert catalog.assert_unique(df, "k").count() == 2
-    with pytest.raises(PySparkException, match="duplicate key"):
-        catalog.assert_unique(df.union(df), "k").collect()
+    with pytest.raises(ValueError, match="duplicate key"):
+        catalog.assert_unique(df.union(df), "k")
     queue = spark.range(10).withColumnRenamed("id", "o")
     assert catalog.within_budget(queue, [F.col("o").asc()], F.lit(101), 505, 202).count() == 4
     batches = catalog.id_batches(spark.range(120).select(F.format_string("%03d", "id").alias("k")), "k").orderBy("batch").collect()

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,23 +114,23 @@ def parts_of(text: str | None, honorifics: frozenset[str] = HONORIFICS, breaks:
 
 
 def _parts(honorifics: frozenset[str], breaks: frozenset[str]):
-    """Parts of all texts of a row; each distinct text of a batch is cut once."""
+    """(row, part) of the texts of each row (row, text, text, ...); each distinct text of a batch is cut once."""
 
-    @once
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(rows: pd.Series) -> pd.Series:
-        known: dict[str | None, list[str]] = {}
-        out = []
-        for texts in rows:
-            parts: dict[str, None] = {}
-            for text in texts:
-                if text not in known:
-                    known[text] = parts_of(text, honorifics, breaks)
-                parts |= dict.fromkeys(known[text])
-            out.append(list(parts))
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for column in batch.columns[1:]:
+                coded = column.dictionary_encode()
+                lists = [parts_of(t, honorifics, breaks) for t in coded.dictionary.to_pylist()]
+                there = np.flatnonzero(coded.indices.is_valid().to_numpy(zero_copy_only=False))
+                code = coded.indices.drop_null().to_numpy()
+                size = np.array([len(p) for p in lists], np.int64)
+                begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+                n = size[code] if len(code) else np.empty(0, np.int64)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[code], n) if len(code) else np.empty(0, np.int64)
+                parts = pa.array([p for x in lists for p in x], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(there, n))), parts.take(pa.array(place))], names=["row", "part"])
 
-    return cut
+    return run
 
 
 def initial_of(word: str) -> str | None:
@@ -306,8 +309,8 @@ def named_persons_scored(
     identifier; a row names a person once. Empty input or list: empty result.
     """
     # Each stage is written once to the shared folder: it is read by several later ones, and a plan that holds all of them grows beyond the driver.
-    rows = cut_lineage(df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("row"), _parts(honorifics, breaks)(F.array(*columns)).alias("parts")).where("size(parts) > 0"))
-    rows = rows.select("row", F.explode("parts").alias("part"))
+    texts = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("row"), *[F.col(c).alias(f"text{i}") for i, c in enumerate(columns)])
+    rows = cut_lineage(texts.mapInArrow(_parts(honorifics, breaks), T.StructType([T.StructField("row", texts.schema["row"].dataType), T.StructField("part", T.StringType())])))
     parts = cut_lineage(rows.select("part").distinct())
     tokens = parts.select("part", F.posexplode(F.split("part", " ")).alias("pos", "word")).where("word not in ('', ',')")
     words = cut_lineage(tokens.select("word").distinct().select("word", _keys("word").alias("k")).select("word", "k.*").where("key <> ''"))

@@ -139,3 +139,20 @@ def markup_nested(spark, root):
     )
     plain = M.clean_markup(M.section_text(page, F.lit("b"), F.lit("b")))
     return s.select("ws_title", plain.alias("words"))
+
+
+_FREE = "NOT regexp_matches(lyrics_bn, '[\\[\\]{}<>|=&'']')"
+
+
+@query(rf"""WITH t AS (SELECT ord, {_PLAIN % "('অমর ও কুমার। ' || lyrics_bn)"} || chr(10) || 'রাজার প্রবেশ।' || chr(10) || '১২' AS x FROM source_b WHERE lyrics_bn IS NOT NULL AND {_FREE}),
+l AS (SELECT ord, regexp_replace(regexp_replace(unnest(string_split(x, chr(10))), '[ \t\x{{00A0}}]+', ' ', 'g'), '^[ :]+|[ :]+$', '', 'g') AS x FROM t),
+h AS (SELECT ord, x, split_part(x, '।', 1) AS head FROM l),
+c AS (SELECT ord, trim(CASE WHEN contains(x, '।') AND len(list_filter(string_split_regex(head, '\s+ও\s+'), lambda w: w = '' OR regexp_matches(w, '\s'))) = 0 THEN substr(x, length(head) + 2) ELSE x END) AS line FROM h)
+SELECT ord AS page, line FROM c WHERE NOT regexp_matches(line, '^[\s\p{{Nd}}]*$') AND NOT (length(line) <= 59 AND regexp_matches(rtrim(line, '।'), '(প্রবেশ|প্রস্থান|অন্তর্ধান)$'))""")
+def ordered_lines(spark, root):
+    """The lines of all pages in order, of pages that have speakers, drawn rules, stage directions and page numbers besides."""
+    s = table(spark, root, "source_b").where("lyrics_bn is not null").where(~F.col("lyrics_bn").rlike(r"[\[\]{}<>|=&']"))
+    text = F.concat(F.lit("<noinclude>{{rh|x}}</noinclude>অমর ও কুমার। "), "lyrics_bn", F.lit("{{rule|4em}}রাজার প্রবেশ।\n১২"))
+    last = s.agg(F.max("ord")).first()[0]
+    ranges = [] if last is None else [(0, last // 2), (last // 2 + 1, last)]
+    return readers.ordered_lines(s.select("ord", text.alias("text")), "ord", "text", ranges).select("page", "line")

@@ -154,7 +154,7 @@ def ordered_lines(pages: DataFrame, number: str, text: str, ranges: list[tuple[i
     give no line. Order by (page, pos).
     """
     spark = pages.sparkSession
-    numbers = spark.createDataFrame(ranges, "first int, last int").select(F.explode(F.sequence("first", "last")).alias(number)).distinct()
+    numbers = spark.createDataFrame(ranges, "first long, last long").select(F.explode(F.sequence("first", "last")).alias(number)).distinct()
     lines = pages.join(numbers, number, "left_semi").select(F.col(number).alias("page"), F.posexplode(F.split(clean_page(text), "\n")).alias("pos", "typed"))
     head = F.substring_index("typed", SPEAKER_END, 1)
     speaker = F.col("typed").contains(SPEAKER_END) & F.forall(F.split(head, rf"\s+{SPEAKER_AND}\s+"), lambda w: (w != "") & ~w.rlike(r"\s"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,49 +18,80 @@ from ..session import cut_lineage
 from .forms import visible_form
 from .names import name_key, once
 
-_WORD = re.compile(r"(?:[^\W\d_]|[̀-ͯঁ-৿])+")
+_TOKEN = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f\u0981-\u09ff])+|\n")
 _NOTE = re.compile(r"[(\[][^)\]\n]*[)\]]")
-_FEATURES = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("body", "head")])
+# Codes that no word has: a word without a sound, a line end, and what stands before the word of a title of one word.
+_SILENT, _LINE, _ALONE = 0, 1, 2
 
 
-def _lines(text: str | None, memo: dict[str, str]) -> list[list[str]]:
-    """Sounds of the words of each line that has any; notes in brackets do not count."""
-    out = []
-    for line in (visible_form(text, fold_case=True) or "").split("\n"):
-        keys = []
-        for word in _WORD.findall(_NOTE.sub(" ", line)):
-            if (key := memo.get(word)) is None:
-                key = memo[word] = name_key(word)
-            if key:
-                keys.append(key)
-        if keys:
-            out.append(keys)
-    return out
+class _Sounds(dict):
+    """Code of a word's sound, so that both scripts agree; worked out once for each distinct word of a worker."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+            self["\n"] = _LINE
+        key = name_key(word)
+        code = self[word] = max(3, xxhash.xxh64_intdigest(key)) if key else _SILENT
+        return code
 
-def _grams(lines: list[list[str]]) -> set[str]:
-    return {f"{a} {b}" for line in lines for a, b in zip(line, line[1:])}
 
+_SOUNDS = _Sounds({"\n": _LINE})
 
-def _hashed(grams: set[str]) -> list[int]:
-    return sorted(xxhash.xxh64_intdigest(g) - (1 << 63) for g in grams)
 
+def _codes(text: str | None) -> list[int]:
+    """Codes of the words and line ends of a text; notes in brackets and words without a sound do not count."""
+    if not text:
+        return []
+    return [c for c in [_SOUNDS[t] for t in _TOKEN.findall(_NOTE.sub(" ", visible_form(text, fold_case=True)))] if c]
 
-_SOUNDS: dict[str, str] = {}
 
+def _has_pair(codes: list[int]) -> bool:
+    return any(a > _LINE and b > _LINE for a, b in zip(codes, codes[1:]))
 
-@once
-@F.pandas_udf(_FEATURES)
-def _features(native_text: pd.Series, other_text: pd.Series, native_title: pd.Series, other_title: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, other, *titles in zip(native_text, other_text, native_title, other_title):
-        text = _lines(text if isinstance(text, str) else None, _SOUNDS) or _lines(other if isinstance(other, str) else None, _SOUNDS)
-        lines = [line for t in titles for line in _lines(t if isinstance(t, str) else None, _SOUNDS)]
-        heads = _grams(lines) or {w for line in lines for w in line} | _grams(text[:1])
-        rows.append((_hashed(_grams(text)), _hashed(heads)))
-        if len(_SOUNDS) > 500_000:
-            _SOUNDS.clear()
-    return pd.DataFrame(rows, columns=_FEATURES.names)
+
+def _body_and_head(native: str | None, other: str | None, *titles: str | None) -> tuple[list[int], list[int]]:
+    body = _codes(native)
+    if all(c == _LINE for c in body):
+        body = _codes(other)
+    head: list[int] = []
+    for title in titles:
+        head += [*_codes(title), _LINE]
+    if not _has_pair(head):
+        words = [c for c in head if c > _LINE]
+        start = next((k for k, c in enumerate(body) if c > _LINE), len(body))
+        end = next((k for k in range(start, len(body)) if body[k] == _LINE), len(body))
+        head = [x for w in words for x in (_LINE, _ALONE, w)] + [_LINE, *body[start:end]]
+    return body, head
+
+
+def _pair_sets(texts: list[list[int]]) -> pa.ListArray:
+    """The distinct hashes of neighbouring words of each text, sorted."""
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    codes = np.fromiter((c for t in texts for c in t), np.uint64, len(owner))
+    a, b = codes[:-1], codes[1:]
+    pair = (a > _LINE) & (b > _LINE) & (owner[:-1] == owner[1:])
+    hashed = a[pair] * np.uint64(0x9E3779B97F4A7C15) + b[pair]
+    hashed = ((hashed ^ (hashed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    owner = owner[:-1][pair]
+    order = np.lexsort((hashed, owner))
+    owner, hashed = owner[order], hashed[order]
+    if len(owner):
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])])
+        owner, hashed = owner[new], hashed[new]
+    offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))
+
+
+_RECORD = T.StructType([T.StructField(n, t) for n, t in (("side", T.StringType()), ("id", T.StringType()), ("number", T.IntegerType()), ("section", T.StringType()), ("body", T.ArrayType(T.LongType())), ("head", T.ArrayType(T.LongType())))])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            both = [_body_and_head(*row) for row in zip(*[c.to_pylist() for c in part.columns[4:]])]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], _pair_sets([b for b, _ in both]), _pair_sets([h for _, h in both])], names=_RECORD.names)
 
 
 def record_features(df: DataFrame, side: str, ident: str, native_text: str, other_text: str | None, native_title: str, other_title: str | None, number: str, section: str) -> DataFrame:
@@ -66,14 +99,9 @@ def record_features(df: DataFrame, side: str, ident: str, native_text: str, othe
 
     Titles of one word each give that word, and the first line of the text stands beside it.
     """
-    none = F.lit(None).cast("string")
-    return df.where(F.col(ident).isNotNull()).select(
-        F.lit(side).alias("side"),
-        F.col(ident).cast("string").alias("id"),
-        F.col(number).cast("int").alias("number"),
-        F.col(section).alias("section"),
-        _features(F.col(native_text), F.col(other_text) if other_text else none, F.col(native_title), F.col(other_title) if other_title else none).alias("f"),
-    ).select("side", "id", "number", "section", "f.*")
+    text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+    known = df.where(F.col(ident).isNotNull()).select(F.lit(side).alias("side"), F.col(ident).cast("string").alias("id"), F.col(number).cast("int").alias("number"), F.col(section).cast("string").alias("section"), *[text(c).alias(f"text{i}") for i, c in enumerate((native_text, other_text, native_title, other_title))])
+    return known.mapInArrow(_features, _RECORD)
 
 
 # Counters of the frequency sketch: its size does not grow with the data.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 import pandas as pd
@@ -123,11 +124,15 @@ def line_candidates(a: DataFrame, b: DataFrame, least: float = RELINK_MIN, least
     least_of, most_of = ({e: f(m for m in gone if gone[m] == e) for e in pieces} for f in (min, max))
 
     def keyed(df: DataFrame, name: str, shifted: bool, shorter: bool) -> DataFrame:
-        keys = [
-            F.when(F.length("skeleton").between(least_of[e], most_of[e] if shorter else LINE_LETTERS), F.struct(F.lit(e).alias("e"), F.lit(k).alias("k"), F.col("skeleton").substr(at + 1, to - at).alias("g")))
+        cuts = [
+            {"e": e, "k": k, "at": at + 1, "n": to - at, "low": least_of[e], "high": most_of[e] if shorter else LINE_LETTERS}
             for e, cut in pieces.items() for k, (start, end) in enumerate(cut) for shift in (range(-e, e + 1) if shifted else (0,)) for at, to in [(start + shift, end + shift)] if at >= 0
         ]
-        return df.select(F.col("ord").alias(name), "skeleton", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("p")).select(name, F.col("skeleton").alias("x" if name == "a_ord" else "y"), "p.e", "p.k", "p.g")
+        # One constant, not an expression for each cut: a plan of hundreds of expressions takes longer to make than to run.
+        table = F.from_json(F.lit(json.dumps(cuts)), "array<struct<e:int,k:int,at:int,n:int,low:int,high:int>>")
+        fitting = F.filter(table, lambda c: F.length("skeleton").between(c["low"], c["high"]))
+        keys = F.transform(fitting, lambda c: F.struct(c["e"].alias("e"), c["k"].alias("k"), F.col("skeleton").substr(c["at"], c["n"]).alias("g")))
+        return df.select(F.col("ord").alias(name), "skeleton", F.explode(F.array_distinct(keys)).alias("p")).select(name, F.col("skeleton").alias("x" if name == "a_ord" else "y"), "p.e", "p.k", "p.g")
 
     n = F.least(F.length("x"), F.length("y"), F.lit(LINE_LETTERS))
     allowed = F.element_at(F.create_map(*[F.lit(v) for item in gone.items() for v in item]), n)

@@ -137,42 +137,50 @@ def related(items: DataFrame, ident: str, order: str, moods: str, mode: str, cat
     3 for each shared mood, 3 for the mode, 2 for category with sub (else 1 for the category), 2 season, 0.5 beat; at
     least ``least`` of it; then 1.5 if playable, 0.5 if popular. Ties by the catalogue's order.
 
-    Items with equal features score alike, so everything is worked out between distinct feature profiles: each profile
-    keeps its first n + 1 items, profiles that can reach ``least`` meet in joins on features they share (a mood with a second
-    feature, the mode with another, or category with season), and an item takes the best of its profile's list but itself.
-    Work grows with the square of profiles that share features, which the vocabulary bounds, not with that of items.
+    Every set of features that an item has and that is worth ``least`` is a key (``_shared_sets``): of the items with a key only the first n + 1 by
+    bonus and order can be wanted, since those share as much or more with whoever asks by it. An item meets only the heads of its own keys, and of
+    these only keys that can still better the (n + 1)th score which a full key assures it. So work grows with the items, not with pairs of
+    them; the keys of an item double with each of its moods.
     """
-    features = ["m", "md", "ca", "su", "se", "be"]
-    f = items.select(F.col(ident).alias("i"), F.col(order).alias("o"), F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(moods), F.array().cast("array<string>")), lambda x: x.isNotNull()))).alias("m"), *[F.nullif(F.col(c), F.lit("")).alias(a) for c, a in ((mode, "md"), (category, "ca"), (sub, "su"), (season, "se"), (beat, "be"))], (F.when(playable, 1.5).otherwise(0.0) + F.when(popular, 0.5).otherwise(0.0)).alias("bonus"))
-    f = cut_lineage(f.withColumn("p", F.xxhash64(*[F.coalesce(F.to_json(F.struct(*features)), F.lit(""))])))
-    heads = f.select("p", "i", "o", "bonus").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.col("bonus").desc(), "o"))).where(F.col("r") <= n + 1).drop("r")
-    profiles = cut_lineage(f.groupBy("p").agg(*[F.first(c).alias(c) for c in features]))
-    joint = lambda tag, *cs: F.when(F.concat(*[F.coalesce(c, F.lit(None).cast("string")) for c in cs]).isNotNull(), F.concat_ws("|", F.lit(tag), *cs))
-    col = F.col
-    with_mood = F.flatten(
-        F.transform(
-            "m",
-            lambda x: F.concat(
-                F.array(joint("mm", x, col("md")), joint("mc", x, col("ca")), joint("ms", x, col("se"))),
-                F.transform(F.filter("m", lambda y: y > x), lambda y: F.concat_ws("|", F.lit("m2"), x, y)),
-            ),
-        )
+    top = n + 1
+    f = items.select(F.col(ident).alias("i"), F.col(order).alias("o"), F.array_distinct(F.filter(F.coalesce(F.col(moods), F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("m"), *[F.nullif(F.col(c), F.lit("")).alias(a) for c, a in ((mode, "md"), (category, "ca"), (sub, "su"), (season, "se"), (beat, "be"))], (F.when(playable, 1.5).otherwise(0.0) + F.when(popular, 0.5).otherwise(0.0)).alias("bonus"))
+    f = cut_lineage(f.withColumn("e", F.monotonically_increasing_id()))  # a short name for each item; cut, as it must stay the same
+    met = f.select("e", "o", "bonus", F.explode(_shared_sets(least)).alias("s")).select("e", "o", "bonus", "s.key", "s.worth")
+    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.col("bonus").desc(), "o", "e"))).where(F.col("r") <= top)
+    heads = cut_lineage(ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", "e", "o", "bonus"))).alias("l")))  # n + 1 entries at most
+    reach = heads.where(F.size("l") > 1).select("key", F.col("l")[0]["bonus"].alias("first"), F.get("l", F.lit(top - 1))["bonus"].alias("last"))
+    sure = F.max(F.col("worth") + F.col("last")).over(Window.partitionBy("e"))
+    asked = met.select("e", "key", "worth").join(reach, "key").withColumn("sure", sure).where(F.col("sure").isNull() | (F.col("worth") + F.col("first") >= F.col("sure"))).select("e", "key", "worth")
+    pairs = asked.join(heads, "key").select("e", "worth", F.explode("l").alias("h")).where("h.e <> e").select("e", F.col("h.e").alias("q"), F.col("h.o").alias("o2"), (F.col("worth") + F.col("h.bonus")).alias("score"))
+    scored = pairs.repartition("e").groupBy("e", "q", "o2").agg(F.max("score").alias("score"))  # the largest set that both have counts
+    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("e").orderBy(F.col("score").desc(), "o2", "q"))).where(F.col("place") <= n)
+    named = best.join(f.select("e", F.col("i").alias("item")), "e").join(f.select(F.col("e").alias("q"), F.col("i").alias("other")), "q")
+    return named.select("item", "other", "score", "place")
+
+
+def _shared_sets(least: float) -> Column:
+    """(key, worth) of every set of a row's features m (moods), md, ca, su, se and be that is worth ``least`` or more, as ``related`` counts them; nulls are in none."""
+    sets = F.aggregate(
+        F.array_sort("m"),
+        F.array(F.struct(F.xxhash64(F.lit("")).alias("key"), F.lit(0.0).alias("worth"))),
+        lambda sets, mood: F.concat(sets, F.transform(sets, lambda s: F.struct(F.xxhash64(s["key"], F.lit("m"), mood).alias("key"), (s["worth"] + 3.0).alias("worth")))),
     )
-    others = F.array(joint("dc", col("md"), col("ca")), joint("ds", col("md"), col("se")), joint("db", col("md"), col("be")), joint("cs", col("ca"), col("se")))
-    single = F.transform("m", lambda x: F.concat(F.lit("m|"), x)) if least <= 3.5 else F.array().cast("array<string>")
-    alone = F.array(*[F.concat(F.lit(f"{c}|"), c) for c in ("md", "ca", "se", "be")]) if least <= 3 else F.array().cast("array<string>")
-    keys = F.array_compact(F.array_distinct(F.concat(with_mood, others, single, alone)))
-    k = profiles.select("p", F.explode(keys).alias("k"))
-    pairs = k.join(k.select(col("p").alias("q"), "k"), "k").select("p", "q").distinct()
-    other = profiles.select(col("p").alias("q"), *[col(c).alias(f"{c}2") for c in features])
-    both = pairs.join(profiles, "p").join(other, "q")
-    eq = lambda a: F.coalesce(col(a) == col(f"{a}2"), F.lit(False))
-    base = 3.0 * F.size(F.array_intersect("m", "m2")) + F.when(eq("md"), 3.0).otherwise(0.0) + F.when(eq("su") & eq("ca"), 2.0).when(eq("ca"), 1.0).otherwise(0.0) + F.when(eq("se"), 2.0).otherwise(0.0) + F.when(eq("be"), 0.5).otherwise(0.0)
-    scored = both.select("p", "q", base.alias("base")).where(col("base") >= least).join(heads.select(col("p").alias("q"), col("i").alias("other"), col("o").alias("o2"), "bonus"), "q").select("p", "other", "o2", (col("base") + col("bonus")).alias("score"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(col("score").desc(), "o2"))).where(col("r") <= n + 1)
-    lists = best.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("r", "other", "score"))).alias("l"))  # n + 1 entries at most
-    own = f.select("i", "p").join(lists, "p").select(col("i").alias("item"), F.posexplode(F.slice(F.filter("l", lambda s: s["other"] != col("i")), 1, n)).alias("at", "s"))
-    return own.select("item", "s.other", "s.score", (col("at") + 1).alias("place"))
+    none = F.array().cast("array<struct<key:bigint,worth:double>>")
+
+    def grown(sets: Column, *choices: tuple[list[str], float]) -> Column:
+        def with_it(sets: Column, columns: list[str], worth: float) -> Column:
+            known = F.lit(True)
+            for c in columns:
+                known = known & F.col(c).isNotNull()
+            return F.when(known, F.transform(sets, lambda s: F.struct(F.xxhash64(s["key"], *[x for c in columns for x in (F.lit(c), F.col(c))]).alias("key"), (s["worth"] + worth).alias("worth")))).otherwise(none)
+
+        # A list of one, so that the sets so far are worked out once and not for each use.
+        return F.flatten(F.transform(F.array(sets), lambda v: F.concat(v, *[with_it(v, columns, worth) for columns, worth in choices])))
+
+    sets = grown(sets, (["md"], 3.0))
+    sets = grown(sets, (["ca"], 1.0), (["ca", "su"], 2.0))
+    sets = grown(sets, (["se"], 2.0))
+    return F.filter(grown(sets, (["be"], 0.5)), lambda s: s["worth"] >= least)
 
 
 def mood_fit(moods: Column, weights: dict[str, float]) -> Column:

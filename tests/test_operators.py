@@ -110,6 +110,25 @@ def test_related_equals_all_pairs(spark):
     assert got == sorted(want)
 
 
+def shuffled_rows(spark):
+    """Rows written to shuffles by all stages of the session so far."""
+    store = spark._jsc.sc().statusStore()
+    empty = spark._jvm.java.util.ArrayList()
+    stages = store.stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), empty)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_related_grows_with_the_items_not_with_their_pairs(spark):
+    n = 1200
+    data = [(f"i{k}", k, ["a", "b"], f"r{k}", "p", None, None, None, True, k % 7 == 0) for k in range(n)]
+    df = spark.createDataFrame(data, "id string, ord int, m array<string>, raag string, parjay string, sub string, season string, taal string, playable boolean, popular boolean")
+    before = shuffled_rows(spark)
+    got = rows(ranking.related(df, "id", "ord", "m", "raag", "parjay", "sub", "season", "taal", F.col("playable"), F.col("popular")), "item", "other", "score")
+    assert shuffled_rows(spark) - before < 80 * n  # pairs of all that share a mood and a category are n * n
+    first = [f"i{k}" for k in range(0, n, 7)][:11]
+    assert got == sorted((f"i{k}", o, 9.0) for k in range(n) for o in [x for x in first if x != f"i{k}"][:10])
+
+
 def test_weighted_pick_follows_weights(spark):
     df = spark.range(20_000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 2 == 0).alias("even"))
     picked = ranking.weighted_pick(df, "id", F.when(F.col("even"), 4.0).otherwise(1.0), 2000, seed=3)

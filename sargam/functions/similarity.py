@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,76 @@ def needle_relevance(needles: list[tuple[str, int]], hays: list[str], marked: bo
     return round(best, 2)
 
 
+def _letter_bits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of letter numbers from 1 on (0 after the end): a number with a bit for the first, second, third and fourth letter of each of 16 kinds, and
+    how many letters there are beyond those. Letters that share a kind count as one."""
+    bits, counted = np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.int64)
+    for kind in range(16):
+        n = np.minimum(((codes > 0) & (codes % 16 == kind)).sum(axis=1), 4)
+        bits |= ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)) << np.uint64(4 * kind)
+        counted += n
+    return bits, (codes > 0).sum(axis=1) - counted
+
+
+def best_openings(asked: list[str], lines: list[str], least: float, letters: int) -> list[tuple[int, int, float]]:
+    """(place in asked, place in lines, ratio) of the line whose opening, as long as the asked text, is most like it, from ``least`` on; the first of equals.
+
+    Every pair is tried, each in the cheapest way that decides it: by the letters that both have (bits of one number), then by the longest
+    common subsequence (bits of a row, Hyyro 2004), which the matched letters of the ratio never exceed, and the ratio only while it can still be the best.
+    """
+    if not asked or not lines:
+        return []
+    if letters > 64:
+        raise ValueError("openings of more than 64 letters")
+    word = np.uint16 if letters <= 16 else np.uint64
+    split = lambda texts: np.array([x[:letters] for x in texts], dtype=f"U{letters}").view(np.uint32).reshape(len(texts), letters)
+    q, s = split(asked), split(lines)
+    alphabet = np.setdiff1d(np.concatenate([q.ravel(), s.ravel()]), [0])  # sorted
+    small = np.uint8 if len(alphabet) < 256 else np.uint32
+    number = lambda raw: np.where(raw == 0, 0, np.searchsorted(alphabet, raw) + 1).astype(small)
+    q, s = number(q), number(s)
+    order = np.lexsort(s.T[::-1])  # openings of any length stand side by side
+    s = s[order]
+    q_bits, q_beyond = _letter_bits(q)
+    lengths, found = (q > 0).sum(axis=1), []
+    for n in np.unique(lengths):
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:, :n] != s[:-1, :n]).any(axis=1)
+        starts = np.flatnonzero(new)
+        first = np.minimum.reduceat(order, starts)  # the first line of each opening
+        both = n + (s[starts, :n] > 0).sum(axis=1)
+        need = np.ceil(least * both / 2 - 1e-9).astype(np.uint8)
+        kept = both - n >= need
+        first, both, need, opening = first[kept], both[kept], need[kept], s[starts[kept], :n]
+        bits, columns = _letter_bits(opening)[0], np.ascontiguousarray(opening.T)
+        for at in np.flatnonzero(lengths == n):
+            own_need = np.maximum(need.astype(np.int64) - q_beyond[at], 0).astype(np.uint8) if q_beyond[at] else need
+            near = np.flatnonzero(np.bitwise_count(q_bits[at] & bits) >= own_need)
+            places = np.zeros(len(alphabet) + 1, word)
+            for k in range(n):
+                places[q[at, k]] |= word(1 << k)
+            full = word((1 << int(n)) - 1)
+            v = np.full(len(near), full, word)
+            for column in columns:
+                u = v & places[column[near]]
+                v = (v + u) | (v - u)
+            common = int(n) - np.bitwise_count(v & full).astype(np.int64)
+            fit = common >= need[near]
+            near, bound = near[fit], 2.0 * common[fit] / both[near[fit]]
+            best, where = 0.0, -1
+            for k in np.lexsort((first[near], -bound)):
+                if bound[k] < max(best, least):
+                    break
+                if bound[k] == best and first[near[k]] > where:
+                    continue
+                r = ratio(lines[first[near[k]]][:n], asked[at][:n])
+                if r >= least and (r > best or r == best and first[near[k]] < where):
+                    best, where = r, int(first[near[k]])
+            if where >= 0:
+                found.append((int(at), where, best))
+    return found
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")

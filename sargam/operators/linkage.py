@@ -6,12 +6,15 @@ import json
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.similarity import block_overlap, block_overlap_udf, opening_udf, ratio_udf
+from ..functions.similarity import best_openings, block_overlap, block_overlap_udf, opening_udf
 from ..session import cut_lineage
 from .ranking import with_position
 
@@ -222,43 +225,37 @@ def only_in_second(b: DataFrame, matched: DataFrame, skeletons_seen: DataFrame)
     return new.withColumn("__r", F.row_number().over(Window.partitionBy("k").orderBy("ord"))).where("__r = 1").drop("__r", "k")
 
 
-_LETTERS = "".join(X.SKELETON_CLASSES["site"])
-
-
-def _letter_signs(c: Column) -> tuple[Column, Column]:
-    """(a number with a bit for the first, second, third and fourth of each skeleton letter that a text has, how many letters it has beyond those)."""
-    counts = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in _LETTERS]
-    bits = [F.element_at(F.array(*[F.lit((1 << k) - 1 << 4 * i).cast("bigint") for k in range(5)]), (F.least(n, F.lit(4)) + 1).cast("int")) for i, n in enumerate(counts)]
-    signs, seen = F.lit(0).cast("bigint"), F.lit(0)
-    for b, n in zip(bits, counts):
-        signs, seen = signs.bitwiseOR(b), seen + F.least(n, F.lit(4))
-    return signs, F.length(c) - seen
-
-
 def best_in_block(queries: DataFrame, lines: DataFrame, least: float = LINE_MIN, letters: int = 14) -> DataFrame:
     """(query, line, sim): for each query (ord, skeleton) of 6 letters or more the line (ord, skeleton) most like its opening, within the
     lines of one first letter; first of equals; from ``least`` on.
 
     The query's first ``letters`` letters are compared with as many of the line, or with all of a shorter one. Every pair of a block is
-    tried, once for each distinct opening: a ratio of ``least`` over t letters needs least t / 2 common ones and leaves (1 - least) t edits at most, which the
-    lengths, the letters and the built-in levenshtein test before the ratio is worked out. Lines of a letter are spread over ``parts``, so that no task has a whole block.
+    tried, once for each distinct opening, in ``best_openings``: a ratio of ``least`` over t letters needs least t / 2 common ones in order. The queries of a letter are
+    spread over parts of some thousand, each of which meets all lines of the letter; a task holds those and its queries.
     """
-    parts = 16
     opening = F.left("skeleton", F.lit(letters))
     q = cut_lineage(queries.where(F.length("skeleton") >= 6).select(F.col("ord").alias("query"), opening.alias("x")))
+    parts = max(1, -(-q.count() // 50_000))  # one number
     s = lines.where(F.length("skeleton") > 0).groupBy(opening.alias("y")).agg(F.min("ord").alias("line"))
-    signs, beyond = _letter_signs(F.col("x"))
-    asked = q.select("x").distinct().select("x", signs.alias("xs"), beyond.alias("beyond"), F.left("x", F.lit(1)).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    there = s.select("y", "line", _letter_signs(F.col("y"))[0].alias("ys"), F.left("y", F.lit(1)).alias("k"), F.pmod(F.hash("y"), F.lit(parts)).alias("part"))
-    piece = F.left("y", F.length("x"))
-    letters_of_both = F.length("x") + F.least(F.length("x"), F.length("y"))
-    edits = F.floor(letters_of_both * (1 - least) + 1e-9).cast("int")
-    # Letters that both have, counted up to four of each in one number; what x has beyond four counts as common.
-    common = F.bit_count(F.col("xs").bitwiseAND(F.col("ys"))) + F.col("beyond")
-    near = asked.join(there, ["k", "part"]).where((F.length("x") - F.length("y") <= edits) & (2 * common >= letters_of_both * least - 1e-9) & (F.levenshtein(piece, F.col("x")) <= edits))
-    scored = near.withColumn("sim", ratio_udf(piece, F.col("x"))).where(F.col("sim") >= least)
-    best = scored.groupBy("x").agg(F.min_by(F.struct("line", "sim"), F.struct(-F.col("sim"), "line")).alias("b"))
-    return q.join(best, "x").select("query", "b.line", "b.sim")
+    kind = s.schema["line"].dataType
+    part = F.pmod(F.hash("x"), F.lit(parts)).alias("part")
+    asked = q.select("x").distinct().select(F.left("x", F.lit(1)).alias("k"), part, "x", F.lit(None).cast("string").alias("y"), F.lit(None).cast(kind).alias("line"))
+    there = s.select(F.left("y", F.lit(1)).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("string").alias("x"), "y", "line")
+    # So many partitions, since the time of a cell does not show in its size: joined by size, few tasks would do it all.
+    cells = asked.unionByName(there).repartition(32 * parts, "k", "part")
+
+    def tried(cell: pa.Table) -> pa.Table:
+        asked, there = cell.filter(pc.is_valid(cell["x"])), cell.filter(pc.is_valid(cell["y"]))
+        line = there["line"].combine_chunks()
+        fields = {str(i): c for i, c in enumerate(line.flatten())} if pa.types.is_struct(line.type) else {"0": line}
+        there = there.take(pc.sort_indices(pa.table(fields), sort_keys=[(c, "ascending") for c in fields], null_placement="at_start"))
+        texts = asked["x"].to_pylist()
+        found = best_openings(texts, there["y"].to_pylist(), least, letters)
+        lines = there["line"].take(pa.array([line for _, line, _ in found], pa.int64()))
+        return pa.table({"x": pa.array([texts[at] for at, _, _ in found], pa.string()), "line": lines, "sim": pa.array([sim for _, _, sim in found], pa.float64())})
+
+    schema = T.StructType([T.StructField("x", T.StringType()), T.StructField("line", kind), T.StructField("sim", T.DoubleType())])
+    return q.join(cells.groupBy("k", "part").applyInArrow(tried, schema), "x").select("query", "line", "sim")
 
 
 def link(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -290,6 +290,24 @@ def test_best_in_block_finds_what_all_lines_give(spark):
     assert got == want and got[0] == (0, 0, 0.75) and len(got) > 10
 
 
+def test_best_openings_works_out_few_ratios_of_many_pairs(monkeypatch):
+    from sargam.functions import similarity
+
+    rng = random.Random(8)
+    word = lambda n: "k" + "".join(rng.choice("kgncjtdrpbmls") for _ in range(n))
+    lines = [word(rng.randrange(0, 16)) for _ in range(3000)]
+    asked = sorted({lines[k][:14] for k in range(0, 300, 5)} | {word(rng.randrange(5, 14)) for _ in range(60)} | {"kkkkkkkkgg"})
+    asked = [x for x in asked if len(x) >= 6]
+    want = []
+    for i, x in enumerate(asked):
+        r, j = min((-similarity.ratio(y[: len(x)], x), j) for j, y in enumerate(lines))
+        want += [(i, j, -r)] if -r >= 0.75 else []
+    calls, plain = [], similarity.ratio
+    monkeypatch.setattr(similarity, "ratio", lambda a, b: calls.append(1) or plain(a, b))
+    assert sorted(similarity.best_openings(asked, lines, 0.75, 14)) == want and len(want) > 40
+    assert len(calls) < len(asked) * len(lines) / 100
+
+
 def test_claims_and_clusters(spark):
     m = spark.createDataFrame([(1, 1, 0.6), (2, 1, 0.95), (3, 1, 0.92), (4, 2, 0.5)], "a_ord int, b_ord int, sim double")
     assert rows(linkage.resolved_claims(m), "a_ord") == [(2,), (3,), (4,)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
@@ -82,23 +83,38 @@ def fuzzy_candidates(a: DataFrame, b: DataFrame, least: float = FUZZY_MIN, least
     return full.withColumn("sim", opening_udf(least=least_letters, most=most)("y", "x")).where(F.col("sim") >= least).select("a_ord", "b_ord", "sim")
 
 
-def greedy_assignment(candidates: DataFrame, rounds: int = 100) -> DataFrame:
+def greedy_assignment(candidates: DataFrame, rounds: int = 6) -> DataFrame:
     """(a_ord, b_ord, sim): each a in order takes the free b most similar to it, the first of equals (by a column place, if any, before b_ord).
 
-    All b prefer the lowest a, so the serial rule equals deferred acceptance (Gale and Shapley 1962): every free a
-    proposes to its best b that has not refused it; each b keeps the lowest a and refuses the rest. Rounds are grouped
-    joins; the state is cut each round.
+    All b prefer the lowest a, so the serial rule equals deferred acceptance (Gale and Shapley 1962): every a proposes to the best b
+    left to it, and since a b never turns to a later a, all pairs of it with an a after its lowest proposer go. Rounds are grouped joins; the state is cut each round.
+    Where many a want the same b in the same order, one of them is settled a round, however many rounds there are: what is open
+    after ``rounds`` goes through one task in order, which keeps the numbers of the b that are taken and nothing else.
     """
     left = cut_lineage(candidates.select("a_ord", "b_ord", "sim", (F.col("place") if "place" in candidates.columns else F.lit(0)).alias("place")))
+    best = [F.col("sim").desc(), F.col("place").asc(), F.col("b_ord").asc()]
+    n = left.count()
     for _ in range(rounds):
-        proposal = left.withColumn("__r", F.row_number().over(Window.partitionBy("a_ord").orderBy(F.col("sim").desc(), "place", "b_ord"))).where("__r = 1").drop("__r")
+        proposal = left.withColumn("__r", F.row_number().over(Window.partitionBy("a_ord").orderBy(*best))).where("__r = 1").drop("__r")
         kept = proposal.groupBy("b_ord").agg(F.min("a_ord").alias("keeper"))
-        refused = proposal.join(kept, "b_ord").where("a_ord <> keeper").select("a_ord", "b_ord")
-        after = cut_lineage(left.join(refused, ["a_ord", "b_ord"], "left_anti"))
-        if refused.isEmpty():
+        left = cut_lineage(left.join(kept, "b_ord", "left").where("keeper is null or a_ord <= keeper").drop("keeper"))
+        before, n = n, left.count()
+        if n == before:  # none was refused
             return proposal.drop("place")
-        left = after
-    raise RuntimeError(f"no stable assignment after {rounds} rounds")
+
+    def serial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, last = set(), None
+        for batch in batches:
+            chosen = []
+            for k, (a, b) in enumerate(zip(batch["a_ord"].to_pylist(), batch["b_ord"].to_pylist())):
+                if a != last and b not in taken:
+                    taken.add(b)
+                    last = a
+                    chosen.append(k)
+            yield batch.take(pa.array(chosen, pa.int64())).select(["a_ord", "b_ord", "sim"])
+
+    ordered = left.repartition(1).sortWithinPartitions(F.col("a_ord").asc(), *best)
+    return ordered.mapInArrow(serial, left.select("a_ord", "b_ord", "sim").schema)
 
 
 def line_skeletons(native: Column | str, latin: Column | str) -> tuple[Column, Column]:

@@ -196,6 +196,12 @@ def test_greedy_assignment(spark):
     assert linkage.greedy_assignment(spark.createDataFrame([], "a_ord int, b_ord int, sim double")).count() == 0
 
 
+def test_greedy_assignment_settles_a_long_queue_for_the_same_rows(spark):
+    n = 120  # all want the same rows in the same order: one is settled by each round
+    df = spark.range(n).select(F.col("id").alias("a_ord")).crossJoin(spark.range(n).select(F.col("id").alias("b_ord"))).withColumn("sim", 1 - F.col("b_ord") / 1000)
+    assert rows(linkage.greedy_assignment(df), "a_ord", "b_ord") == [(k, k) for k in range(n)]
+
+
 def test_fuzzy_candidates_find_what_all_pairs_find(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("kgncjtdrpbmls") for _ in range(rng.randrange(4, 16))) for _ in range(40)]

@@ -127,6 +127,51 @@ def best_openings(asked: list[str], lines: list[str], least: float, letters: int
     return found
 
 
+def near_openings(asked: list[str], others: list[str], need: dict[int, int], letters: int, longer: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in asked, in others) of all pairs of an asked opening of n letters and another as long or longer (longer only, with ``longer``) whose first n
+    letters have a common subsequence of ``need[n]``; none for an n without need. Every pair is tried as in ``best_openings``."""
+    if letters > 64:
+        raise ValueError("openings of more than 64 letters")
+    word = np.uint16 if letters <= 16 else np.uint32 if letters <= 32 else np.uint64
+    split = lambda texts: np.array([x[:letters] for x in texts], dtype=f"U{letters}").view(np.uint32).reshape(len(texts), letters)
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not asked or not others:
+        return i[0], j[0]
+    q, s = split(asked), split(others)
+    alphabet = np.setdiff1d(np.concatenate([q.ravel(), s.ravel()]), [0])  # sorted
+    small = np.uint8 if len(alphabet) < 256 else np.uint32
+    number = lambda raw: np.where(raw == 0, 0, np.searchsorted(alphabet, raw) + 1).astype(small)
+    q, s = number(q), number(s)
+    lengths, s_lengths = (q > 0).sum(axis=1), (s > 0).sum(axis=1)
+    q_bits, q_beyond = _letter_bits(q)
+    order = np.argsort(-s_lengths, kind="stable")  # the longest first, so that those long enough are a beginning
+    s, s_lengths = s[order], s_lengths[order]
+    columns, bits_to, bits = np.ascontiguousarray(s.T), 0, None
+    for n in np.unique(lengths):
+        if int(n) not in need:
+            continue
+        fit = int(np.searchsorted(-s_lengths, -n, side="left" if longer else "right"))
+        if bits_to < n:  # letters up to the next multiple of 4: a little more than the n compared, which loses none
+            bits_to = min(letters, -(-int(n) // 4) * 4)
+            bits = _letter_bits(s[:fit, :bits_to])[0]
+        full = word((1 << int(n)) - 1)
+        for at in np.flatnonzero(lengths == n):
+            near = np.flatnonzero(np.bitwise_count(q_bits[at] & bits[:fit]) >= np.uint8(max(0, need[int(n)] - int(q_beyond[at]))))
+            if not len(near):
+                continue
+            places = np.zeros(len(alphabet) + 1, word)
+            for k in range(n):
+                places[q[at, k]] |= word(1 << k)
+            v = np.full(len(near), full, word)
+            for column in columns[:n]:
+                u = v & places[column[near]]
+                v = (v + u) | (v - u)
+            near = near[int(n) - np.bitwise_count(v & full).astype(np.int64) >= need[int(n)]]
+            i.append(np.full(len(near), at, np.int64))
+            j.append(order[near])
+    return np.concatenate(i), np.concatenate(j)
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -15,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.similarity import best_openings, block_overlap, block_overlap_udf, opening_udf
+from ..functions.similarity import best_openings, block_overlap, block_overlap_udf, near_openings, opening_udf
 from ..session import cut_lineage
 from .ranking import with_position
 
@@ -54,33 +52,45 @@ def _common_least(n: int, least: float) -> int:
     return next(m for m in range(n + 1) if 2.0 * m / (2 * n) >= least or m == n)
 
 
-def fuzzy_candidates(a: DataFrame, b: DataFrame, least: float = FUZZY_MIN, least_letters: int = 5, most: int = 12) -> DataFrame:
-    """(a_ord, b_ord, sim) of rows (ord, skeleton) whose first letters agree by ``least``; none is missed.
+def near_pairs(a: DataFrame, b: DataFrame, need: dict[int, int], letters: int) -> DataFrame:
+    """(a_ord, b_ord, x, y) of rows (ord, skeleton) whose first n letters, n the shorter length and ``letters`` at most, have need[n] common ones in order.
 
-    The compared length n is the shorter one, ``most`` at most, and a ratio of ``least`` needs m common letters in order. Two such
-    openings are equal once each lacks the right n - m letters, so candidates come from an equi-join on n and the rests.
-    One side has exactly n letters (or both have ``most`` or more): only its own n is joined to every n of the other. The
-    rests of an opening number n over n - m, which suits thresholds from about 0.75 on. Both sides are cut first: else the
-    planner would work out the skeleton anew for each rest.
+    Every pair is tried, in cells of rows of both sides (``near_openings``): some hundred thousand rows of one side and as many of the other as
+    make half a billion pairs, so that neither a task nor its memory grows with the tables. The shorter text of a pair asks.
     """
-    a, b = (cut_lineage(df.where(F.length("skeleton") >= least_letters).select("ord", "skeleton")) for df in (a, b))
+    a, b = (cut_lineage(df.where(F.length("skeleton") >= min(need)).select("ord", F.left("skeleton", F.lit(letters)).alias("t"))) for df in (a, b))
+    sizes = a.count(), b.count()  # two numbers
+
+    def one_way(asked: DataFrame, others: DataFrame, n: int, m: int, names: tuple[str, str], longer: bool) -> DataFrame:
+        blocks = max(1, -(-m // 200_000))
+        parts = max(1, -(-n * m // (500_000_000 * blocks)))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        none = lambda side: F.lit(None).cast(side.schema["ord"].dataType)
+        one = asked.select(F.pmod(F.hash("ord"), F.lit(parts)).alias("part"), every(blocks).alias("block"), F.col("ord").alias("p"), none(others).alias("q"), "t")
+        two = others.select(every(parts).alias("part"), F.pmod(F.hash("ord"), F.lit(blocks)).alias("block"), none(asked).alias("p"), F.col("ord").alias("q"), "t")
+        cells = one.unionByName(two).repartition(4 * parts * blocks, "part", "block")  # the time of a cell does not show in its size
+
+        def tried(cell: pa.Table) -> pa.Table:
+            first, second = cell.filter(pc.is_valid(cell["p"])), cell.filter(pc.is_valid(cell["q"]))
+            i, j = near_openings(first["t"].to_pylist(), second["t"].to_pylist(), need, letters, longer)
+            first, second = first.take(pa.array(i)), second.take(pa.array(j))
+            return pa.table({"p": first["p"], "q": second["q"], "x": first["t"], "y": second["t"]})
+
+        kinds = (("p", asked.schema["ord"].dataType), ("q", others.schema["ord"].dataType), ("x", T.StringType()), ("y", T.StringType()))
+        found = cells.groupBy("part", "block").applyInArrow(tried, T.StructType([T.StructField(*k) for k in kinds]))
+        texts = ("x", "y") if names[0] == "a_ord" else ("y", "x")
+        return found.select(F.col("p").alias(names[0]), F.col("q").alias(names[1]), F.col("x").alias(texts[0]), F.col("y").alias(texts[1]))
 
-    gone = {n: n - _common_least(n, least) for n in range(least_letters, most + 1)}
-    places = max(gone.values())
-    cuts = [(n, *c, *[n + 1] * (places - g)) for n, g in gone.items() for c in combinations(range(1, n + 1), g)]
-    table = F.broadcast(a.sparkSession.createDataFrame(cuts, ", ".join(["n int", *(f"c{k} int" for k in range(places))])))  # some hundred rows, however many texts
+    return one_way(a, b, *sizes, ("a_ord", "b_ord"), False).unionByName(one_way(b, a, *sizes[::-1], ("b_ord", "a_ord"), True))
 
-    def rests(df: DataFrame, name: str, exact: bool) -> DataFrame:
-        length = F.least(F.length("skeleton"), F.lit(most))
-        at = [F.lit(0), *(F.col(f"c{k}") for k in range(places)), F.col("n") + 1]
-        rest = F.concat(*[F.col("skeleton").substr(x + 1, y - x - 1) for x, y in zip(at, at[1:])])
-        return df.join(table, (F.col("n") == length) if exact else (F.col("n") <= length)).select(F.col("ord").alias(name), "n", rest.alias("v")).distinct()
 
-    one = rests(a, "a_ord", True).join(rests(b, "b_ord", False), ["n", "v"])
-    other = rests(a, "a_ord", False).join(rests(b, "b_ord", True), ["n", "v"])
-    pairs = one.select("a_ord", "b_ord").union(other.select("a_ord", "b_ord")).distinct()
-    full = pairs.join(a.select(F.col("ord").alias("a_ord"), F.col("skeleton").alias("x")), "a_ord").join(b.select(F.col("ord").alias("b_ord"), F.col("skeleton").alias("y")), "b_ord")
-    return full.withColumn("sim", opening_udf(least=least_letters, most=most)("y", "x")).where(F.col("sim") >= least).select("a_ord", "b_ord", "sim")
+def fuzzy_candidates(a: DataFrame, b: DataFrame, least: float = FUZZY_MIN, least_letters: int = 5, most: int = 12) -> DataFrame:
+    """(a_ord, b_ord, sim) of rows (ord, skeleton) whose first letters agree by ``least``; none is missed.
+
+    The compared length n is the shorter one, ``most`` at most, and a ratio of ``least`` needs so many common letters in order (``near_pairs``).
+    """
+    pairs = near_pairs(a, b, {n: _common_least(n, least) for n in range(least_letters, most + 1)}, most)
+    return pairs.withColumn("sim", opening_udf(least=least_letters, most=most)("y", "x")).where(F.col("sim") >= least).select("a_ord", "b_ord", "sim")
 
 
 def greedy_assignment(candidates: DataFrame, rounds: int = 6) -> DataFrame:
@@ -132,33 +142,10 @@ def line_skeletons(native: Column | str, latin: Column | str) -> tuple[Column, C
 def line_candidates(a: DataFrame, b: DataFrame, least: float = RELINK_MIN, least_letters: int = 6) -> DataFrame:
     """(a_ord, b_ord, sim) of rows (ord, skeleton) of ``line_skeletons`` with a block overlap of ``least``; none is missed.
 
-    Of n compared letters at most e = n - least * n are unmatched on either side, so one of any 2 e + 1 pieces of a's opening
-    stands unbroken in b's, at most e places away: the key of the equi-join is n's e, the piece and its place. At most 2 e edits
-    lead from one opening to the other, which the built-in levenshtein tests before the score is worked out.
+    Of n compared letters least n stand in common blocks, so as many are common in order (``near_pairs``).
     """
-    a, b = (cut_lineage(df.where(F.length("skeleton") >= least_letters).select("ord", "skeleton")) for df in (a, b))
-    gone = {n: n - next(m for m in range(n + 1) if m / n >= least) for n in range(least_letters, LINE_LETTERS + 1)}
-    # Every n of one e is cut into the same pieces, those of the least n: letters after them are left to the score.
-    pieces = {e: [(k * n // (2 * e + 1), (k + 1) * n // (2 * e + 1)) for k in range(2 * e + 1)] for e in set(gone.values()) for n in [min(m for m in gone if gone[m] == e)]}
-    least_of, most_of = ({e: f(m for m in gone if gone[m] == e) for e in pieces} for f in (min, max))
-
-    def keyed(df: DataFrame, name: str, shifted: bool, shorter: bool) -> DataFrame:
-        cuts = [
-            {"e": e, "k": k, "at": at + 1, "n": to - at, "low": least_of[e], "high": most_of[e] if shorter else LINE_LETTERS}
-            for e, cut in pieces.items() for k, (start, end) in enumerate(cut) for shift in (range(-e, e + 1) if shifted else (0,)) for at, to in [(start + shift, end + shift)] if at >= 0
-        ]
-        # One constant, not an expression for each cut: a plan of hundreds of expressions takes longer to make than to run.
-        table = F.from_json(F.lit(json.dumps(cuts)), "array<struct<e:int,k:int,at:int,n:int,low:int,high:int>>")
-        fitting = F.filter(table, lambda c: F.length("skeleton").between(c["low"], c["high"]))
-        keys = F.transform(fitting, lambda c: F.struct(c["e"].alias("e"), c["k"].alias("k"), F.col("skeleton").substr(c["at"], c["n"]).alias("g")))
-        return df.select(F.col("ord").alias(name), "skeleton", F.explode(F.array_distinct(keys)).alias("p")).select(name, F.col("skeleton").alias("x" if name == "a_ord" else "y"), "p.e", "p.k", "p.g")
-
-    n = F.least(F.length("x"), F.length("y"), F.lit(LINE_LETTERS))
-    allowed = F.element_at(F.create_map(*[F.lit(v) for item in gone.items() for v in item]), n)
-    # The shorter opening sets n, so it needs the pieces of its own e only.
-    met = [keyed(a, "a_ord", False, first).join(keyed(b, "b_ord", True, not first), ["e", "k", "g"]).select("a_ord", "b_ord", "x", "y", "e") for first in (True, False)]
-    near = met[0].union(met[1]).where((allowed == F.col("e")) & (F.levenshtein(F.substring("x", F.lit(1), n), F.substring("y", F.lit(1), n)) <= 2 * F.col("e")))
-    pairs = near.select("a_ord", "b_ord", "x", "y").distinct()
+    need = {n: next(m for m in range(n + 1) if m / n >= least) for n in range(least_letters, LINE_LETTERS + 1)}
+    pairs = near_pairs(a, b, need, LINE_LETTERS)
     return pairs.withColumn("sim", block_overlap_udf("y", "x")).where(F.col("sim") >= least).select("a_ord", "b_ord", "sim")
 
 

@@ -10,7 +10,7 @@ from ..functions import calendar as C
 from ..functions import markup as M
 from ..functions import text as X
 from ..operators import catalog, linkage, ranking
-from ..session import shared_folder, table
+from ..session import cut_lineage, shared_folder, table
 from ..sources import readers
 from . import state_queries
 from .registry import ORACLES, query
@@ -44,7 +44,7 @@ def merged_records(spark, root):
 @query()
 def link_audit(spark, root):
     """Every kind of decision of the linker with how many rows it has and the first of them on either side; scores have no SQL."""
-    tables = readers.audit(state_queries.fuzzy_link(spark, root))
+    tables = readers.audit(cut_lineage(state_queries.fuzzy_link(spark, root)))  # cut: each kind reads all decisions
     parts = [t.agg(F.first("decision").alias("decision"), F.count("*").alias("n"), F.min("a_ord").alias("first_a"), F.min("b_ord").alias("first_b")) for t in tables.values()]
     out = parts[0]
     for p in parts[1:]:
